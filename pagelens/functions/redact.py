@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagelens.functions.text import ws
+from pagelens.functions.text import bind, ws
 
 MASK = "[REDACTED]"
 
@@ -50,9 +50,19 @@ def redact(text: Column) -> Column:
 
 def pii_types(text: Column) -> Column:
     """Kinds found, in the order applied; later kinds look at the text as masked so far."""
-    found = [F.when(F.exists(_cards(text), luhn_ok), F.lit("credit_card"))]
-    out = _mask_cards(text)
-    for kind, pattern in PATTERNS.items():
-        found.append(F.when(out.rlike(ws(pattern)), F.lit(kind)))
-        out = F.regexp_replace(out, ws(pattern), MASK)
-    return F.array_compact(F.array(*found))
+    found = F.filter(
+        F.array(F.when(F.exists(_cards(text), luhn_ok), F.lit("credit_card"))),
+        lambda kind: kind.isNotNull(),
+    )
+
+    def look(rest: list[tuple[str, str]], masked: Column) -> Column:
+        if not rest:
+            return F.array().cast("array<string>")
+        (kind, pattern), *later = rest
+        here = F.when(masked.rlike(ws(pattern)), F.array(F.lit(kind))).otherwise(
+            F.array().cast("array<string>")
+        )
+        after = bind(F.regexp_replace(masked, ws(pattern), MASK), lambda t: look(later, t))
+        return F.concat(here, after)
+
+    return F.concat(found, bind(_mask_cards(text), lambda t: look(list(PATTERNS.items()), t)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -26,6 +27,11 @@ def ws(pattern: str) -> str:
     )
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     """Every run of whitespace becomes one blank; none at the ends."""
     return F.trim(F.regexp_replace(text, WS + "+", " "))
@@ -66,11 +72,18 @@ def last_index(text: Column, needle: str) -> Column:
 
 def excerpt(text: Column, whole: int = 220, cut: int = 240, least: int = 80) -> Column:
     """Opening of a text, cut at a word, as a stand-in for a summary."""
-    clean = collapse(text)
-    head = F.substring(clean, 1, cut)
-    space = last_index(head, " ")
-    kept = F.when(space > least, F.substring(head, F.lit(1), space)).otherwise(head)
-    return F.when(F.length(clean) <= whole, clean).otherwise(F.concat(kept, F.lit("…")))
+
+    def opening(head: Column) -> Column:
+        space = last_index(head, " ")
+        kept = F.when(space > least, F.substring(head, F.lit(1), space)).otherwise(head)
+        return F.concat(kept, F.lit("…"))
+
+    return bind(
+        collapse(text),
+        lambda clean: F.when(F.length(clean) <= whole, clean).otherwise(
+            bind(F.substring(clean, 1, cut), opening)
+        ),
+    )
 
 
 def truncate_words(text: Column, size: int = 800) -> Column:
@@ -126,32 +139,51 @@ def links(text: Column) -> Column:
 
 def snippet(text: Column, query: Column, size: int = 200) -> Column:
     """A window of ``size`` characters around the first query word found, cut at a sentence."""
-    clean = collapse(text)
-    lower = F.lower(clean)
-    long_words = F.filter(tokens(query), lambda w: F.length(w) >= 3)
-    places = F.filter(F.transform(long_words, lambda w: F.instr(lower, w)), lambda at: at > 0)
-    hit = F.coalesce(F.get(places, F.lit(0)) - 1, F.lit(-1))
-    rough = F.greatest(F.lit(0), hit - 48)
-
-    dot = last_index(F.substring(clean, F.lit(1), rough + 2), ". ")
-    space = last_index(F.substring(clean, F.lit(1), rough + 1), " ")
-    start = (
-        F.when(rough == 0, rough)
-        .when((dot != -1) & (rough - dot < 100), dot + 2)
-        .when((dot == -1) | (rough - dot >= 100),
-              F.when((space != -1) & (rough - space < 40), space + 1).otherwise(rough))
-    )
-    part = F.trim(F.substring(clean, start + 1, F.lit(size)))
-    # A sentence end counts from offset 73 up to 25 characters before the window's end.
-    tail = F.substring(part, F.lit(74), F.lit(size - 24 - 73 + 1))
-    stop = F.regexp_instr(tail, F.lit("[.!?] "))
-    cut = F.when(stop > 0, F.lit(73) + stop + 1).otherwise(F.length(part))
-    blank = last_index(part, " ")
-    short = (
-        F.when(cut < F.length(part) - 12, F.trim(F.substring(part, F.lit(1), cut)))
-        .when(blank >= size * 0.5, F.trim(F.substring(part, F.lit(1), blank)))
-        .otherwise(part)
-    )
-    more = (start + F.length(short) < F.length(clean)) | (start > 0)
-    marked = F.when(more, F.concat(short, F.lit("…"))).otherwise(short)
-    return F.when(clean == "", F.lit("")).otherwise(marked)
+
+    def rough_start(clean: Column) -> Column:
+        long_words = F.filter(tokens(query), lambda w: F.length(w) >= 3)
+        places = bind(
+            F.lower(clean),
+            lambda lower: F.filter(F.transform(long_words, lambda w: F.instr(lower, w)), lambda at: at > 0),
+        )
+        return F.greatest(F.lit(0), F.coalesce(F.get(places, F.lit(0)), F.lit(0)) - 49)
+
+    def start_at(clean: Column, rough: Column) -> Column:
+        dot = last_index(F.substring(clean, F.lit(1), rough + 2), ". ")
+        space = last_index(F.substring(clean, F.lit(1), rough + 1), " ")
+        at_word = bind(
+            space, lambda sp: F.when((sp != -1) & (rough - sp < 40), sp + 1).otherwise(rough)
+        )
+        return F.when(rough == 0, rough).otherwise(
+            bind(dot, lambda d: F.when((d != -1) & (rough - d < 100), d + 2).otherwise(at_word))
+        )
+
+    def shorten(part: Column) -> Column:
+        # A sentence end counts from offset 73 up to 25 characters before the window's end.
+        tail = F.substring(part, F.lit(74), F.lit(size - 24 - 73 + 1))
+        at_word = bind(
+            last_index(part, " "),
+            lambda sp: F.when(sp >= size * 0.5, F.trim(F.substring(part, F.lit(1), sp))).otherwise(part),
+        )
+        return bind(
+            F.regexp_instr(tail, F.lit("[.!?] ")),
+            lambda stop: F.when(
+                (stop > 0) & (stop + 74 < F.length(part) - 12),
+                F.trim(F.substring(part, F.lit(1), stop + 74)),
+            ).otherwise(at_word),
+        )
+
+    def mark(clean: Column, start: Column, short: Column) -> Column:
+        more = (start + F.length(short) < F.length(clean)) | (start > 0)
+        return F.when(more, F.concat(short, F.lit("…"))).otherwise(short)
+
+    def show(clean: Column) -> Column:
+        return bind(
+            bind(rough_start(clean), lambda rough: start_at(clean, rough)),
+            lambda start: bind(
+                bind(F.trim(F.substring(clean, start + 1, F.lit(size))), shorten),
+                lambda short: mark(clean, start, short),
+            ),
+        )
+
+    return bind(collapse(text), show)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagelens.functions.text import nonempty, strip
+from pagelens.functions.text import bind, nonempty, strip
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 # scheme, authority, path, query, fragment
@@ -17,74 +19,105 @@ def _tidy(url: Column) -> Column:
     return F.regexp_replace(strip(url), r"[\t\r\n]", "")
 
 
-def _authority(url: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(_tidy(url), WEB, 2), "^.*@", "")
+def _host(tidy: Column) -> Column:
+    """Host and port, without user information."""
+    return F.regexp_replace(F.regexp_extract(tidy, WEB, 2), "^.*@", "")
+
+
+def _port(tidy: Column) -> Column:
+    return F.regexp_extract(_host(tidy), ":([0-9]*)$", 1)
+
 
+def _name(tidy: Column) -> Column:
+    return F.regexp_replace(_host(tidy), ":[0-9]*$", "")
+
+
+def _is_web(tidy: Column) -> Column:
+    port_ok = bind(
+        _port(tidy),
+        lambda port: (F.length(port) <= 8) & (F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535),
+    )
+    return F.coalesce(tidy.rlike(WEB) & _name(tidy).rlike(HOST_OK) & port_ok, F.lit(False))
 
-def _port(url: Column) -> Column:
-    return F.regexp_extract(_authority(url), ":([0-9]*)$", 1)
+
+def _path(tidy: Column) -> Column:
+    raw = F.regexp_replace(F.regexp_extract(tidy, WEB, 3), r"\\", "/")
+    return F.coalesce(nonempty(raw), F.lit("/"))
+
+
+def _scheme(tidy: Column) -> Column:
+    return F.lower(F.regexp_extract(tidy, SCHEME, 1))
+
+
+def _base(tidy: Column) -> Column:
+    default = F.when(_scheme(tidy) == "http", F.lit("80")).otherwise(F.lit("443"))
+    shown = bind(
+        F.regexp_replace(_port(tidy), "^0+(?=[0-9])", ""),
+        lambda port: F.when((port == "") | (port == default), F.lit("")).otherwise(
+            F.concat(F.lit(":"), port)
+        ),
+    )
+    return F.concat(_scheme(tidy), F.lit("://"), F.lower(_name(tidy)), shown, _path(tidy))
+
+
+def _web(url: Column, value: Callable[[Column], Column]) -> Column:
+    """``value`` of a web address; null for anything else."""
+    return bind(_tidy(url), lambda tidy: F.when(_is_web(tidy), value(tidy)))
 
 
 def is_web(url: Column) -> Column:
     """True for http and https addresses with a usable host and port."""
-    host = F.regexp_replace(_authority(url), ":[0-9]*$", "")
-    port_ok = F.coalesce(_port(url).try_cast("int"), F.lit(0)) <= 65535
-    return F.coalesce(
-        _tidy(url).rlike(WEB) & host.rlike(HOST_OK) & port_ok & (F.length(_port(url)) <= 8),
-        F.lit(False),
-    )
+    return F.coalesce(bind(_tidy(url), _is_web), F.lit(False))
 
 
 def is_url(url: Column) -> Column:
     """True for anything a browser would accept as an absolute address."""
-    other = _tidy(url).rlike(SCHEME) & ~_tidy(url).rlike("(?i)^(https?|wss?|ftp):")
-    return F.coalesce(is_web(url) | other, F.lit(False))
+    return F.coalesce(
+        bind(
+            _tidy(url),
+            lambda t: _is_web(t) | (t.rlike(SCHEME) & ~t.rlike("(?i)^(https?|wss?|ftp):")),
+        ),
+        F.lit(False),
+    )
 
 
 def scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(_tidy(url), SCHEME, 1))
+    return _scheme(_tidy(url))
 
 
 def hostname(url: Column) -> Column:
     """Lower-case host; empty for anything that is not a web address."""
-    host = F.lower(F.regexp_replace(_authority(url), ":[0-9]*$", ""))
-    return F.when(is_web(url), host).otherwise(F.lit(""))
+    return F.coalesce(_web(url, lambda t: F.lower(_name(t))), F.lit(""))
 
 
 def path(url: Column) -> Column:
-    raw = F.regexp_replace(F.regexp_extract(_tidy(url), WEB, 3), r"\\", "/")
-    return F.when(is_web(url), F.coalesce(nonempty(raw), F.lit("/")))
+    return _web(url, _path)
 
 
 def path_and_query(url: Column) -> Column:
-    query = F.regexp_extract(_tidy(url), WEB, 4)
-    return F.concat(path(url), F.when(query == "?", F.lit("")).otherwise(query))
-
-
-def _base(url: Column) -> Column:
-    default = F.when(scheme(url) == "http", F.lit("80")).otherwise(F.lit("443"))
-    port = F.regexp_replace(_port(url), "^0+(?=[0-9])", "")
-    shown = F.when((port == "") | (port == default), F.lit("")).otherwise(F.concat(F.lit(":"), port))
-    return F.concat(scheme(url), F.lit("://"), hostname(url), shown, path(url))
+    return _web(
+        url, lambda t: F.concat(_path(t), F.regexp_replace(F.regexp_extract(t, WEB, 4), r"^\?$", ""))
+    )
 
 
 def strip_fragment(url: Column) -> Column:
     """Web address without its fragment, in normal form; null for anything else."""
-    query = F.regexp_extract(_tidy(url), WEB, 4)
-    return F.when(is_web(url), F.concat(_base(url), query))
+    return _web(url, lambda t: F.concat(_base(t), F.regexp_extract(t, WEB, 4)))
 
 
 def safe_http(url: Column) -> Column:
     """Normal form of a web address that is safe to link to; null for anything else."""
-    query = F.regexp_extract(_tidy(url), WEB, 4)
-    fragment = F.regexp_extract(_tidy(url), WEB, 5)
-    return F.when(is_web(url), F.concat(_base(url), query, fragment))
+    return _web(
+        url, lambda t: F.concat(_base(t), F.regexp_extract(t, WEB, 4), F.regexp_extract(t, WEB, 5))
+    )
 
 
 def host_suffixes(host: Column) -> Column:
     """``a.b.c`` gives ``[a.b.c, b.c, c]``: the names a domain rule for this host may carry."""
-    parts = F.split(host, r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."),
+    return bind(
+        F.split(host, r"\."),
+        lambda parts: F.transform(
+            F.sequence(F.lit(1), F.size(parts)),
+            lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."),
+        ),
     )

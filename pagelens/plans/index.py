@@ -13,10 +13,9 @@ from pagelens.model import Library
 
 @dataclass(frozen=True)
 class TermIndex:
-    """``postings(document_id, chunk_id, dl, term, tf)`` and ``lengths(document_id, chunk_id, dl)``."""
+    """``postings(document_id, chunk_id, dl, term, tf)``, with ``WHOLE_CHUNK`` as a term."""
 
     postings: DataFrame
-    lengths: DataFrame
 
 
 def corpus(documents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -38,13 +37,21 @@ def chunk_lengths(corpus_rows: DataFrame) -> DataFrame:
     return corpus_rows.select("document_id", "chunk_id", size.cast("long").alias("dl"))
 
 
+# Stands for the chunk itself among its terms: every chunk holds it once.
+WHOLE_CHUNK = ""
+
+
 def term_freq(corpus_rows: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """Occurrences of each term in each chunk; with a small ``terms(term)``, of those only."""
+    """Occurrences of each term in each chunk; with a small ``terms(term)``, of those only.
+
+    ``WHOLE_CHUNK`` counts as a term of every chunk, so that lengths and chunk numbers come out
+    of the same pass over the texts.
+    """
     found = T.tokens(F.col("corpus"))
     rows = corpus_rows.select("document_id", "chunk_id", found.alias("_tokens")).select(
         "document_id", "chunk_id",
         F.greatest(F.size("_tokens"), F.lit(1)).cast("long").alias("dl"),
-        F.explode("_tokens").alias("term"),
+        F.explode(F.array_append("_tokens", F.lit(WHOLE_CHUNK))).alias("term"),
     )
     if terms is not None:
         rows = rows.join(F.broadcast(terms), "term")
@@ -62,8 +69,7 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 
 
 def build_index(library: Library) -> TermIndex:
-    rows = corpus(library.documents, library.chunks)
-    return TermIndex(term_freq(rows), chunk_lengths(rows))
+    return TermIndex(term_freq(corpus(library.documents, library.chunks)))
 
 
 def write_index(index: TermIndex, directory: str) -> None:
@@ -76,10 +82,7 @@ def write_index(index: TermIndex, directory: str) -> None:
         .sortWithinPartitions("term", "document_id")
         .write.mode("overwrite").parquet(f"{directory}/postings")
     )
-    index.lengths.write.mode("overwrite").parquet(f"{directory}/lengths")
 
 
 def read_index(spark: SparkSession, directory: str) -> TermIndex:
-    return TermIndex(
-        spark.read.parquet(f"{directory}/postings"), spark.read.parquet(f"{directory}/lengths")
-    )
+    return TermIndex(spark.read.parquet(f"{directory}/postings"))

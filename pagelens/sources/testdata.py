@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from pagelens.functions import text as T
 from pagelens.functions import urls as U
 from pagelens.model import Library
 from pagelens.operators.chunks import chunk_rows
-from pagelens.session import use_utc
+from pagelens.session import materialise, use_utc
 
 AS_OF_MS = 1_706_659_200_000
 
@@ -93,8 +95,17 @@ def page_visits(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=4)
+def _stored(app: str, sf: str) -> Library:
+    spark = SparkSession.getActiveSession()
+    return Library(
+        materialise(documents(spark, sf)), materialise(chunks(spark, sf)), materialise(visits(spark, sf))
+    )
+
+
 def library(spark: SparkSession, sf: str) -> Library:
-    return Library(documents(spark, sf), chunks(spark, sf), visits(spark, sf))
+    """The library as stored tables, written once per session: a search does not cut texts anew."""
+    return _stored(use_utc(spark).sparkContext.applicationId, sf)
 
 
 def queries(spark: SparkSession, sf: str, vectors: bool = False) -> DataFrame:

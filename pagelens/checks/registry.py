@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from pagelens.checks import text
+from pagelens.checks import retrieval, text
 
-CHECKS = {**text.CHECKS}
+CHECKS = {**text.CHECKS, **retrieval.CHECKS}

@@ -96,14 +96,14 @@ CHUNKS = chunks()
 
 VISITS = """visits AS (
   SELECT e.user_id AS tenant_id, 'https://' || d.source || '.example/' || d.doc_id AS url,
-    e.event_type AS title, d.source || '.example' AS hostname, epoch_ms(e.ts) AS visited_ms,
+    e.event_type AS title, d.source || '.example' AS hostname, epoch_us(e.ts) // 1000 AS visited_ms,
     epoch_us(e.ts) AS visited_us, d.n_chars AS text_length
   FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents))"""
 
 PAGE_VISITS = f"""page_visits AS (
   SELECT e.event_id AS seq, e.user_id AS tenant_id, p.url, {host('p.url')} AS domain,
     CASE WHEN e.event_type = 'error' THEN '' ELSE e.event_type || ' ' || p.page_id END AS title,
-    e.props AS summary, epoch_ms(e.ts) AS visited_ms, epoch_us(e.ts) AS visited_us
+    e.props AS summary, epoch_us(e.ts) // 1000 AS visited_ms, epoch_us(e.ts) AS visited_us
   FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages))"""
 
 MESSAGES = f"""messages AS (

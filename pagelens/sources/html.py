@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pagelens.functions.text import collapse, nonempty, strip_noise
 from pagelens.functions.urls import hostname
@@ -145,11 +146,13 @@ def parse_page(html: str | None, host: str) -> tuple[str, ...]:
     return parser.result()
 
 
-@F.pandas_udf("title string, body string, readable string, main string, site string")
+PARTS = ("title", "body", "readable", "main", "site")
+
+
+@F.pandas_udf(StructType([StructField(name, StringType()) for name in PARTS]))
 def _candidates(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    names = ["title", "body", "readable", "main", "site"]
     for html, host in batches:
-        yield pd.DataFrame([parse_page(h, s) for h, s in zip(html, host)], columns=names)
+        yield pd.DataFrame([parse_page(h, s) for h, s in zip(html, host)], columns=PARTS)
 
 
 def extract_html(pages: DataFrame) -> DataFrame:

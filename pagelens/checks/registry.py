@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from pagelens.checks import retrieval, text, upkeep
+from pagelens.checks import asking, retrieval, text, upkeep
 
-CHECKS = {**text.CHECKS, **upkeep.CHECKS, **retrieval.CHECKS}
+CHECKS = {**text.CHECKS, **upkeep.CHECKS, **retrieval.CHECKS, **asking.CHECKS}

@@ -143,8 +143,8 @@ def vector_queries(spark, sf):
 
 def ranged_queries(spark, sf):
     """Each query with a window of its own; the last days of them hold no visit at all."""
-    start = F.lit(TD.AS_OF_MS) - (F.col("query_id") % 7) * int(DAY) * 4
-    end = start + F.when(F.col("query_id") % 7 == 0, 3_600_000).otherwise(int(DAY))
+    start = F.lit(TD.AS_OF_MS) - (F.col("query_id") % 7) * QU.DAY_MS * 4
+    end = start + F.when(F.col("query_id") % 7 == 0, 3_600_000).otherwise(QU.DAY_MS)
     return TD.queries(spark, sf, vectors=True).withColumns({"start_ms": start, "end_ms": end})
 
 

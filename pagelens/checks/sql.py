@@ -8,7 +8,7 @@ from __future__ import annotations
 from pagelens.sources.testdata import AS_OF_MS
 
 AS_OF = str(AS_OF_MS)
-DAY = "86400000"
+DAY = "86400000::BIGINT"
 WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 NOT_WS = WS.replace("[", "[^", 1)
 
@@ -65,7 +65,7 @@ def host(x: str) -> str:
 
 
 def recency(ms: str) -> str:
-    days = f"(({AS_OF} - {ms}) / {DAY}.0)"
+    days = f"(({AS_OF} - {ms}) / 86400000.0)"
     return f"(CASE WHEN {days} <= 0 THEN 1.0 ELSE power(0.5, {days} / 18) END)"
 
 

@@ -297,14 +297,27 @@ SELECT query_id, count(*) AS hits, 'Showing ' || count(*) || ' saved page' || CA
 FROM hits GROUP BY query_id"""
 
 
+def passage_holders(documents, passages):
+    """Documents ``(document_id, text)`` that hold a passage, as ``(query_id, document_id)``.
+
+    A token inside a passage is a whole token of any text that holds the passage, so the passage's
+    longest inner token leads to the candidates.
+    """
+    inner = F.expr("slice(ts, 2, greatest(size(ts) - 2, 0))")
+    longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    keyed = passages.withColumn("ts", T.tokens(F.col("text"))).select(
+        "query_id", F.col("text").alias("passage"), longest.alias("term"))
+    held = documents.select("document_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    candidates = held.join(keyed, "term").select("document_id", "query_id", "passage")
+    return candidates.join(documents, "document_id").filter(F.contains("text", "passage")).select(
+        "query_id", "document_id")
+
+
 def search_quality(spark, sf):
     """Whether each passage finds a document that holds it; a passage nobody holds has no such check."""
     lib, asked = TD.library(spark, sf), plain_queries(spark, sf)
-    passages = [(r["query_id"], r["text"]) for r in asked.collect()]
-    rows = F.array(*[F.struct(F.lit(i).alias("query_id"), F.lit(t).alias("text")) for i, t in passages])
-    body = F.col("text")
-    holders = TD.documents(spark, sf, with_text=True).select(
-        "url", F.explode(F.filter(rows, lambda p: F.contains(body, p["text"]))["query_id"]).alias("query_id"))
+    texts = TD.documents(spark, sf, with_text=True)
+    holders = passage_holders(texts.select("document_id", "text"), asked).join(texts.select("document_id", "url"), "document_id")
     firsts = holders.groupBy("query_id").agg(F.min("url").alias("any_url"))
     none = F.lit(None).cast("string")
     wanted = asked.join(firsts, "query_id", "left").select(

@@ -36,9 +36,9 @@ def stream_ingest(
     if lateness is not None:
         stream = drop_repeats(stream, lateness)
     if per_minute is not None:
-        calls = stream.withColumn("_host", hostname(F.col("url"))).withColumn("ts", F.col("visited_at"))
-        admitted = rate_limit_stream(calls, "_host", per_minute, order="seq")
-        stream = admitted.filter("allowed").drop("_host", "ts", "allowed")
+        calls = stream.withColumn("host_key", hostname(F.col("url"))).withColumn("ts", F.col("visited_at"))
+        admitted = rate_limit_stream(calls, "host_key", per_minute, order="seq")
+        stream = admitted.filter("allowed").drop("host_key", "ts", "allowed")
 
     def append(batch: DataFrame, batch_id: int) -> None:
         cleaned = clean_pages(batch, policy)

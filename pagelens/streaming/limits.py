@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,12 +27,13 @@ class Admission(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # Micro-batches arrive in order; within one, calls are decided in time order.
-        batch = pd.concat(list(rows)).sort_values(["_ms", self.order])
+        batch = pd.concat(list(rows)).sort_values(["ts", self.order])
+        times = batch["ts"].astype("datetime64[ms]").astype("int64")
         known = self.recent.get() if self.recent.exists() else None
         recent = deque(known[0] if known else ())
-        batch["allowed"] = admit(batch["_ms"].to_numpy(), recent, self.limit, self.window_ms)
+        batch["allowed"] = admit(times.to_numpy(), recent, self.limit, self.window_ms)
         self.recent.update(([int(t) for t in recent],))
-        yield batch.drop(columns=["_ms"])
+        yield batch
 
     def close(self) -> None:
         pass
@@ -46,8 +46,7 @@ def rate_limit_stream(
     calls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     out = T.StructType([*calls.schema.fields, T.StructField("allowed", T.BooleanType())])
     return (
-        calls.withColumn("_ms", F.unix_millis("ts"))
-        .groupBy(key)
+        calls.groupBy(key)
         .transformWithStateInPandas(
             Admission(order, limit, window_ms), outputStructType=out, outputMode="Append",
             timeMode="None",

@@ -59,6 +59,15 @@ def save_digests(digests: DataFrame, directory: str) -> None:
     )
 
 
+def balanced(df: DataFrame, key: str) -> DataFrame:
+    """Small files come in fewer partitions than there are cores: spread those by ``key``.
+
+    A scan with a partition for every core is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Raw pages; rows with a content type other than HTML are left out."""
     pages = spark.read.parquet(path)

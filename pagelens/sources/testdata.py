@@ -12,6 +12,7 @@ from pagelens.functions import urls as U
 from pagelens.model import Library
 from pagelens.operators.chunks import chunk_rows
 from pagelens.session import materialise, use_utc
+from pagelens.sources.tables import balanced
 
 AS_OF_MS = 1_706_659_200_000
 
@@ -20,8 +21,13 @@ def as_of() -> Column:
     return F.timestamp_millis(F.lit(AS_OF_MS))
 
 
+# Tables of long texts, and the key their rows are spread by when they come in one piece.
+TEXTS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf}/{name}.parquet")
+    df = use_utc(spark).read.parquet(f"{sf}/{name}.parquet")
+    return balanced(df, TEXTS[name]) if name in TEXTS else df
 
 
 def documents(spark: SparkSession, sf: str, with_text: bool = False) -> DataFrame:

@@ -142,17 +142,24 @@ def _nearest(vectors: DataFrame, block: DataFrame, k: int) -> DataFrame:
     units = {n: (part["query_id"].to_numpy(), unit_rows(part["vector"].tolist())) for n, part in by_size.items()}
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Best rows of this task so far, per query; they leave the task once, at its end.
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             ids = batch["vec_id"].to_numpy()
             for query_ids, matrix in units.values():
                 scores = cosines(batch["embedding"], matrix)
-                keyed = np.round(scores, TIE_DIGITS)
-                picks = [best_rows(keyed[:, j], ids, k) for j in range(len(query_ids))]
-                rows_ = np.concatenate(picks)
-                cols = np.repeat(np.arange(len(query_ids)), [len(p) for p in picks])
-                yield pd.DataFrame(
-                    {"query_id": query_ids[cols], "vec_id": ids[rows_], "cosine": scores[rows_, cols]}
-                )
+                for j, query_id in enumerate(query_ids):
+                    old_ids, old = kept.get(query_id, (ids[:0], scores[:0, j]))
+                    every_id, every = np.concatenate([old_ids, ids]), np.concatenate([old, scores[:, j]])
+                    picks = best_rows(np.round(every, TIE_DIGITS), every_id, k)
+                    kept[query_id] = (every_id[picks], every[picks])
+        if kept:
+            sizes = [len(found_ids) for found_ids, _ in kept.values()]
+            yield pd.DataFrame({
+                "query_id": np.repeat(np.array(list(kept)), sizes),
+                "vec_id": np.concatenate([found_ids for found_ids, _ in kept.values()]),
+                "cosine": np.concatenate([found for _, found in kept.values()]),
+            })
 
     found = vectors.select("vec_id", "embedding").mapInPandas(
         scan, "query_id long, vec_id long, cosine double"

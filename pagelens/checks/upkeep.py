@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagelens.checks import sql as Q
 from pagelens.checks.sql import AS_OF, CHUNKS, DAY, DOCS, MESSAGES, PAGE_VISITS, VISITS, WS, with_
 from pagelens.functions import text as T
-from pagelens.model import Library, Policy
+from pagelens.model import TABLES, Library, Policy
 from pagelens.operators import activity as A
 from pagelens.operators import chunks as C
 from pagelens.operators import conversations as CO
 from pagelens.operators import gate as G
 from pagelens.operators import history as H
 from pagelens.operators import library as L
-from pagelens.operators import spread as SP
 from pagelens.operators import vectors as V
 from pagelens.plans import ingest as IN
 from pagelens.plans.report import library_report
+from pagelens.session import shared_folder
 from pagelens.sources import html as HT
 from pagelens.sources import testdata as TD
+from pagelens.streaming.events import drop_repeats
+from pagelens.streaming.ingest import stream_ingest
+from pagelens.streaming.limits import rate_limit_stream
+from pagelens.streaming.store import open_library
 
 
 def _round(name):
@@ -240,7 +246,6 @@ def ingest_outcomes(spark, sf):
 
 
 def _empty(spark):
-    from pagelens.model import TABLES
     return Library(**{n: spark.createDataFrame([], TABLES[n]) for n in ("documents", "chunks", "visits")})
 
 
@@ -337,10 +342,68 @@ def longest_chunks(spark, sf):
 LONGEST = "WITH " + CHUNKS + """ SELECT document_id, chunk_id, md5(text) AS digest FROM (SELECT *, row_number() OVER (
   PARTITION BY document_id ORDER BY length(text) DESC, chunk_id) AS n FROM chunks) WHERE n = 1"""
 
+EMBEDDING_JOB = "WITH " + CHUNKS + f""", s AS (SELECT CASE WHEN vec_id IS NOT NULL THEN 'given-64' END AS given,
+  {Q.collapse('text')} AS t FROM chunks LEFT JOIN embeddings ON vec_id = document_id AND ord = 0),
+e AS (SELECT given, CASE WHEN given IS NOT NULL THEN 'embedded' WHEN t = '' THEN 'skipped'
+  WHEN len({Q.tokens('substring(t, 1, 8000)')}) = 0 THEN 'failed' ELSE 'embedded' END AS embed_state FROM s)
+SELECT embed_state, CASE WHEN embed_state = 'embedded' THEN coalesce(given, 'hashing-384') END AS embed_model, count(*) AS chunks,
+  sum(CASE WHEN given IS NOT NULL THEN 64 WHEN embed_state = 'embedded' THEN 384 END)::BIGINT AS numbers FROM e GROUP BY 1, 2"""
+
+# One step per call of a user: what is still inside the window decides, and is carried on.
+RATE_LIMITS = """WITH RECURSIVE c AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms,
+  row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+steps AS (SELECT event_id, user_id, n, [ms] AS recent, true AS allowed FROM c WHERE n = 1
+  UNION ALL SELECT event_id, user_id, n, CASE WHEN len(live) < 3 THEN list_append(live, ms) ELSE live END, len(live) < 3 FROM (
+    SELECT c.event_id, c.user_id, c.n, c.ms, list_filter(s.recent, lambda t: c.ms - t < 21600000) AS live
+    FROM steps s JOIN c ON c.user_id = s.user_id AND c.n = s.n + 1))
+SELECT event_id AS call_id, user_id, allowed FROM steps"""
+
+
+def _calls_stream(spark, sf):
+    schema = TD.table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _drained(stream):
+    """Everything the stream holds now, written to the shared folder and read back."""
+    spark = stream.sparkSession
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{home}/out").option(
+        "checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{home}/out")
+
+
+def stream_rate_limits(spark, sf):
+    calls = _calls_stream(spark, sf).select("user_id", "ts", F.col("event_id").alias("call_id"))
+    return _drained(rate_limit_stream(calls, "user_id", 3, 6 * 3_600_000)).select("call_id", "user_id", "allowed")
+
+
+def stream_repeats(spark, sf):
+    """Events as captures of one page per user and kind, with their properties as text."""
+    captures = _calls_stream(spark, sf).select(
+        F.concat_ws("/", F.lit("https://a.example"), "user_id", "event_type").alias("url"), F.col("props").alias("text"),
+        F.col("ts").alias("visited_at"))
+    return _drained(drop_repeats(captures, "40 days")).select("url", "text")
+
+
+STREAM_REPEATS = "SELECT DISTINCT 'https://a.example/' || user_id || '/' || event_type AS url, props AS text FROM events"
+
+
+def stream_pages(spark, sf):
+    """Raw pages streamed through gate and cleaning into a growing library."""
+    schema = spark.read.parquet(f"{sf}/pages.parquet").schema
+    pages = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf).select(
+        F.lit(0).cast("long").alias("tenant_id"), "url", "html", TD.as_of().alias("visited_at"), F.col("page_id").alias("seq"))
+    home = f"{shared_folder(spark)}/library-{uuid.uuid4().hex}"
+    stream_ingest(pages, home, f"{home}/state", Policy(), per_minute=None).awaitTermination()
+    return L.library_counts(open_library(spark, home, TD.as_of()))
+
+
 CHECKS = {
     "table_counts": (table_counts, TABLE_COUNTS),
     "embed_coverage": (embed_coverage, EMBED_COVERAGE),
-    "embedding_job": (embedding_job, None),
+    "embedding_job": (embedding_job, EMBEDDING_JOB),
     "recent_visits": (recent_visits, RECENT_VISITS),
     "document_lookup": (document_lookup, DOCUMENT_LOOKUP),
     "visits_in_range": (visits_in_range, VISITS_IN_RANGE),
@@ -361,7 +424,10 @@ CHECKS = {
     "transcripts": (transcripts, TRANSCRIPTS),
     "recent_conversations": (recent_conversations, RECENT_CONVERSATIONS),
     "deleted_conversations": (deleted_conversations, DELETED),
-    "rate_limits": (rate_limits, None),
+    "rate_limits": (rate_limits, RATE_LIMITS),
+    "stream_rate_limits": (stream_rate_limits, RATE_LIMITS),
+    "stream_repeats": (stream_repeats, STREAM_REPEATS),
+    "stream_pages": (stream_pages, None),
     "idle_captures": (idle_captures, IDLE),
     "visit_activity": (visit_activity, VISIT_ACTIVITY),
 }

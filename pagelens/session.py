@@ -34,18 +34,26 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the cluster's checkpoint folder and read it back from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate tables, reachable by every executor.
 
-    Used where several later passes read one expensive intermediate. The folder comes from
-    ``spark.checkpoint.dir``; only a local session without one gets a folder of its own.
+    It comes from ``spark.checkpoint.dir``; only a local session without one gets its own.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             shared = tempfile.mkdtemp(prefix="pagelens-checkpoint-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back from there.
+
+    Used where several later passes read one expensive intermediate.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

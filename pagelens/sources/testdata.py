@@ -103,7 +103,7 @@ def page_visits(spark: SparkSession, sf: str) -> DataFrame:
 
 @lru_cache(maxsize=4)
 def _stored(app: str, sf: str) -> Library:
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.builder.getOrCreate()
     return Library(
         materialise(documents(spark, sf)), materialise(chunks(spark, sf)), materialise(visits(spark, sf))
     )

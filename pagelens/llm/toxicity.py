@@ -1,6 +1,6 @@
 """Toxicity by a classifier whose scores don't hang on who is mentioned.
 
-Features are the words of a text and their beginnings, each present or not. Logistic regression is
+Features are the words of a text, those said again and their beginnings, each present or not. Logistic regression is
 fitted in numpy with one more term: in labelled texts that mention a group, the term is swapped for
 another of its kind, and the squared change of the score is penalised, so that identity terms carry
 no weight of their own and neutral mentions aren't taken for insults.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,28 +48,30 @@ IDENTITIES = [terms.split() for terms in (
 KIND = {t: terms for terms in IDENTITIES for t in terms}
 
 
-def words(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+def words(text: str) -> list[str]:
+    return WORD.findall(text.lower())
 
 
-def features(found: set[str]) -> set[str]:
-    """Words themselves and their first four and five letters, marked with a star."""
+def features(found: list[str]) -> set[str]:
+    """Words themselves, their first four and five letters (with a star), and words said again (with a plus)."""
     out = set(found)
-    out.update(w[:4] + "*" for w in found if len(w) > 4)
-    out.update(w[:5] + "*" for w in found if len(w) > 5)
+    if len(out) < len(found):
+        out.update([w + "+" for w, n in Counter(found).items() if n > 1])
+    out.update([w[:4] + "*" for w in found if len(w) > 4])
+    out.update([w[:5] + "*" for w in found if len(w) > 5])
     return out
 
 
-def swapped(found: set[str], seed: int) -> set[str] | None:
+def swapped(found: list[str], seed: int) -> list[str] | None:
     """The words with every identity term replaced by another of its kind; None if there is none."""
-    named = found & KIND.keys()
+    named = KIND.keys() & set(found)
     if not named:
         return None
-    out = found - named
-    for term in sorted(named):
-        others = [t for t in KIND[term] if t not in found] or [t for t in KIND[term] if t != term]
-        out.add(others[(seed + zlib.crc32(term.encode())) % len(others)])
-    return out
+    new = {}
+    for term in named:
+        others = [t for t in KIND[term] if t not in named] or [t for t in KIND[term] if t != term]
+        new[term] = others[(seed + zlib.crc32(term.encode())) % len(others)]
+    return [new.get(w, w) for w in found]
 
 
 @dataclass
@@ -78,10 +81,10 @@ class Model:
 
     def __post_init__(self):
         # Nearly all words have no feature; their first letters tell.
-        self.gate = {f.rstrip("*")[:4] for f in self.weights}
+        self.gate = {f.rstrip("*+")[:4] for f in self.weights}
 
     def score(self, text: str) -> float:
-        near = {w for w in words(text) if w[:4] in self.gate}
+        near = [w for w in words(text) if w[:4] in self.gate]
         z = self.bias + sum(self.weights.get(f, 0.0) for f in features(near))
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
@@ -169,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     strong = seen.withColumn("g", _association(F.col("a"), F.col("c"), toxic, clean)).filter(F.col("g") >= LEAST_G)
     strong = strong.orderBy(F.col("g").desc(), "feature").limit(FEATURES)
     names = [r["feature"] for r in strong.select("feature").collect()]
-    names += sorted(features(set(KIND)).difference(names))
+    names += sorted(features(list(KIND)).difference(names))
     place = {f: i for i, f in enumerate(names)}
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

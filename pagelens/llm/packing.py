@@ -19,43 +19,167 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.llm.common import one_thread, slices, stored
+from pagelens.llm.fingerprints import of_ranges
 
 LENGTH, SEPARATOR, TOKENIZER = 4096, 2, "word_bpe_49k.json"
 
-#: Words whose ids a Python worker remembers, and the longest of them.
-REMEMBERED, WORD_CHARS = 250_000, 48
+#: Words whose ids a Python worker remembers (some 30 bytes each), and the bytes of text it looks at together.
+REMEMBERED, BLOCK_BYTES = 3_000_000, 4 << 20
+
+BLANK, LETTER, DIGIT, SIGN, OTHER = range(5)
+
+
+def _classes() -> np.ndarray:
+    kinds = np.full(256, OTHER, np.uint8)
+    kinds[[9, 10, 11, 12, 13, 32]] = BLANK
+    kinds[ord("a") : ord("z") + 1] = LETTER
+    kinds[ord("0") : ord("9") + 1] = DIGIT
+    kinds[[c for c in range(33, 127) if not chr(c).isalnum() and c != ord("'")]] = SIGN
+    return kinds
+
+
+KINDS = _classes()
+LOWER = np.array([c | 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit numbers.
+    """Ids of texts as little-endian unsigned 32-bit numbers, each distinct word encoded once.
 
-    For vocabularies whose tokens never cross white space: words between blanks and line feeds are
-    encoded one by one, each distinct one once. Everything else about a word is the tokenizer's.
+    For vocabularies that lower-case, drop white space and mark the end of a word in its last token.
+    They cut a text into runs of letters, single digits and runs of signs; where a stretch between
+    blanks has only ASCII and Latin-1 characters of those kinds, these words are found for a whole
+    block of texts at once and told by their fingerprints. Any other stretch counts as one word, and
+    the tokenizer cuts it. Other vocabularies get the texts as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.by_words = getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>" and "Lowercase" in str(self.tokenizer.normalizer)
+        self.forget()
 
-    def _ids(self, words: list[str]) -> Iterator[bytes]:
-        for encoded in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
-            yield np.array(encoded.ids, "<u4").tobytes()
+    def forget(self) -> None:
+        self.hashes, self.places, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.filled = np.zeros(1 << 16, "<u4"), 0
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        unknown = set().union(*parts).difference(self.known)
-        if len(self.known) + len(unknown) > REMEMBERED:
-            self.known.clear()
-            unknown = set().union(*parts)
-        unknown = list(unknown)
-        known = self.known
-        known.update(zip(unknown, self._ids(unknown), strict=True))
-        out = [b"".join([known[w] for w in words]) for words in parts]
-        for word in unknown:
-            if len(word) > WORD_CHARS:
-                del known[word]
-        return out
+        if not self.by_words:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out, held, size = [], [], 0
+        for text in texts:
+            data = text.encode()
+            if held and size + len(data) > BLOCK_BYTES:
+                out += self._block(held)
+                held, size = [], 0
+            if len(data) > BLOCK_BYTES:
+                out.append(b"".join(b"".join(self._block([part])) for part in _cut(data)))
+            else:
+                held.append(data)
+                size += len(data)
+        return out + (self._block(held) if held else [])
+
+    def _block(self, texts: list[bytes]) -> list[bytes]:
+        joined = b"\n".join(texts)
+        data = np.frombuffer(joined, np.uint8)
+        if not len(data):
+            return [b""] * len(texts)
+        lower, starts, ends, other = _words(data)
+        found, first, word = np.unique(of_ranges(lower, starts, ends), return_index=True, return_inverse=True)
+        rows = self._rows(found, lower, starts[first], ends[first], other[first])[word]
+        size = self.sizes[rows]
+        total = np.cumsum(size)
+        whole = self.pool[np.repeat(self.places[rows] - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        cuts = np.append(0, total)[np.append(np.searchsorted(starts, begins), len(starts))]
+        return [whole[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _rows(self, found: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Where the table has each of the words; new ones are encoded and put in."""
+        at = np.searchsorted(self.hashes, found)
+        new = np.ones(len(found), bool)
+        if len(self.hashes):
+            new = self.hashes[np.minimum(at, len(self.hashes) - 1)] != found
+        if new.any() and len(self.hashes) + new.sum() > REMEMBERED:
+            self.forget()
+            at, new = np.zeros(len(found), np.int64), np.ones(len(found), bool)
+        if new.any():
+            strings = [data[a:b].tobytes().decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            ids, sizes = self._encoded(strings, other[new])
+            if self.filled + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.filled], np.zeros(max(len(self.pool), len(ids)), "<u4")])
+            self.pool[self.filled : self.filled + len(ids)] = ids
+            places = self.filled + np.cumsum(sizes) - sizes
+            self.filled += len(ids)
+            self.hashes = np.insert(self.hashes, at[new], found[new])
+            self.places = np.insert(self.places, at[new], places)
+            self.sizes = np.insert(self.sizes, at[new], sizes)
+            at = np.searchsorted(self.hashes, found)
+        return at
+
+    def _encoded(self, words: list[str], other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        sizes = np.zeros(len(words), np.int64)
+        parts: list = [None] * len(words)
+        plain, odd = np.flatnonzero(~other), np.flatnonzero(other)
+        if len(plain):
+            # One call for all: the last token of a word says that it ends.
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([words[i] for i in plain])], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(plain):
+                odd, plain = np.arange(len(words)), plain[:0]
+            else:
+                for i, a, b in zip(plain.tolist(), [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                    parts[i] = ids[a:b]
+        if len(odd):
+            for i, e in zip(odd.tolist(), self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False), strict=True):
+                parts[i] = np.array(e.ids, "<u4")
+        sizes[:] = [len(p) for p in parts]
+        return np.concatenate(parts) if parts else np.zeros(0, "<u4"), sizes
+
+
+def _cut(data: bytes) -> Iterator[bytes]:
+    """A long text in parts that end at blanks."""
+    at = 0
+    while at < len(data):
+        end = data.find(b" ", at + BLOCK_BYTES)
+        end = len(data) if end < 0 else end + 1
+        yield data[at:end]
+        at = end
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes in lower case, where words start and end, and which of them the tokenizer has to cut."""
+    lower = LOWER[data]
+    kinds = KINDS[lower]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    after = data[lead + 1]
+    latin = lead[(after != 0x97) & (after != 0xB7)]  # all but the signs for times and division
+    kinds[latin] = kinds[latin + 1] = LETTER
+    capital = latin[data[latin + 1] < 0x9F] + 1
+    lower[capital] |= 0x20
+    kinds[np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))] = OTHER  # may begin a special token
+    full = kinds != BLANK
+    begins = full.copy()
+    begins[1:] &= ~full[:-1]
+    odd = kinds == OTHER
+    if odd.any():
+        stretch = np.cumsum(begins)
+        strange = np.zeros(stretch[-1] + 1, bool)
+        strange[stretch[odd]] = True
+        whole = strange[stretch] & full
+        kinds[whole] = OTHER
+        lower[whole] = data[whole]
+    change = begins.copy()
+    change[1:] |= full[1:] & ((kinds[1:] != kinds[:-1]) | (kinds[1:] == DIGIT))
+    starts = np.flatnonzero(change)
+    stops = full.copy()
+    stops[:-1] &= ~full[1:] | change[1:]
+    ends = np.flatnonzero(stops) + 1
+    return lower, starts, ends, kinds[starts] == OTHER
 
 
 @cache

@@ -2,9 +2,9 @@
 
 The index has a posting (term, document, position) for every word of every text, in segments: each
 task writes its own documents' postings in the order of the terms, so that building needs no shuffle
-and a term's postings are runs of a file. A search starts from the rarest term of each window of test
-words. Its postings less its offset are the places where the window may begin; only there the postings
-of the other words are looked up, and runs of agreeing positions are phrases.
+and a term's postings are runs of a file. A search starts from the rarest terms of each window of test
+words. Postings less their offsets are the places where the window may begin; only where those lists
+agree the postings of the other words are looked up, and runs of agreeing positions are phrases.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pagelens.llm.common import stored
 
 WIDTH = 10
+#: Terms of a window whose postings are intersected before all the others are looked up.
+RAREST = 2
 #: Rows up to which terms or documents are broadcast (some tens of MB); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -74,15 +76,22 @@ def phrases(index: DataFrame, items: DataFrame, width: int = WIDTH, broadcast_ro
     vocabulary = _small(terms.select("term").distinct(), broadcast_rows)
     counts = stored(index.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("occurrences")), "term-counts")
 
-    # The rarest term of each window; a window with a term that never occurs has no place.
+    # The rarest terms of each window; a window with a term that never occurs has no place.
     size = F.least(F.col("n"), F.lit(width))
     rated = terms.join(counts, "term", "left").withColumn("occurrences", F.coalesce("occurrences", F.lit(0)))
     window = F.explode(F.sequence(F.greatest(F.lit(0), F.col("q") - size + 1), F.least(F.col("q"), F.col("n") - size))).alias("window")
-    rarest = rated.select("item", window, F.struct("occurrences", "q", "term").alias("place")).groupBy("item", "window").agg(F.min("place").alias("place"))
-    anchors = stored(rarest.filter("place.occurrences > 0").select("item", "place.term", "place.q").distinct(), "anchors")
-
-    starts = index.join(_small(anchors, broadcast_rows), "term").select(*DOC, "item", (F.col("pos") - F.col("q")).alias("diagonal"))
-    starts = stored(starts.distinct(), "starts")
+    ranked = F.array_sort(F.collect_list(F.struct("occurrences", "q", "term")))
+    windows = rated.select("item", window, "occurrences", "q", "term").groupBy("item", "window").agg(F.slice(ranked, 1, RAREST).alias("rarest"))
+    windows = stored(windows.filter("rarest[0].occurrences > 0"), "windows")
+    rarest = windows.select("item", F.explode("rarest").alias("place")).select("item", "place.q", "place.term").distinct()
+
+    # Their postings less their offsets: where an item would have to begin. There must be all the
+    # rarest terms of one of its windows.
+    begins = index.join(_small(rarest, broadcast_rows), "term").select(*DOC, "item", (F.col("pos") - F.col("q")).alias("diagonal"), "q")
+    met = begins.groupBy(*DOC, "item", "diagonal").agg(F.collect_set("q").alias("met"))
+    wanted = windows.groupBy("item").agg(F.collect_set(F.transform("rarest", lambda r: r["q"])).alias("wanted"))
+    starts = met.join(wanted, "item").filter(F.exists("wanted", lambda w: F.size(F.array_except(w, "met")) == 0))
+    starts = stored(starts.select(*DOC, "item", "diagonal"), "starts")
 
     # All words of the items there, to be found among the postings of just those documents.
     asked = starts.join(terms.select("item", "item_id", "n", "q", "term"), "item").withColumn("pos", F.col("diagonal") + F.col("q")).filter("pos >= 0")

@@ -1,7 +1,7 @@
 """Benchmark passages in training texts, by a positional inverted index.
 
 The index has a posting (term, document, position) for every word of every text, in segments: each
-task writes its own documents' postings in the order of the terms, so that building needs no shuffle
+task writes its own documents' postings in the order of the terms' hashes, so that building needs no shuffle
 and a term's postings are runs of a file. A search starts from the rarest terms of each window of test
 words. Postings less their offsets are the places where the window may begin; only where those lists
 agree the postings of the other words are looked up, and runs of agreeing positions are phrases.
@@ -23,7 +23,7 @@ RAREST = 2
 BROADCAST_ROWS = 500_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: A document is told by its id and, should ids repeat, the hash of its text.
 DOC = ["doc_id", "copy"]
@@ -44,8 +44,10 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     A text's end has a posting too, of the empty term, whose position is the number of words.
     """
     given = docs.select(F.col(id).cast("long").alias("doc_id"), F.hash(text).alias("copy"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    postings = given.select(*DOC, F.posexplode(F.array_append(words(F.col("text")), F.lit(""))).alias("pos", "term"))
-    return stored(postings.select("term", *DOC, "pos").sortWithinPartitions("term"), "postings")
+    # Words are lowered one by one: most are ASCII, also in texts that aren't.
+    found = F.array_append(F.array_remove(F.split("text", NO_WORD), ""), F.lit(""))
+    postings = given.select(*DOC, F.posexplode(found).alias("pos", "term")).select(lowered(F.col("term")).alias("term"), *DOC, "pos")
+    return stored(postings.sortWithinPartitions(F.xxhash64("term")), "postings")
 
 
 def _small(df: DataFrame, most: int) -> DataFrame:
@@ -57,6 +59,10 @@ def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) if c in DOC else left[c] == right[c] for c in columns])
 
 
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+
+
 def item_terms(items: DataFrame, id: str = "item_id", text: str = "text") -> DataFrame:
     """``item_id, item, q, term, n``: the words of each test text, with their places and number.
 
@@ -86,11 +92,13 @@ def phrases(index: DataFrame, items: DataFrame, width: int = WIDTH, broadcast_ro
     rarest = windows.select("item", F.explode("rarest").alias("place")).select("item", "place.q", "place.term").distinct()
 
     # Their postings less their offsets: where an item would have to begin. There must be all the
-    # rarest terms of one of its windows.
-    begins = index.join(_small(rarest, broadcast_rows), "term").select(*DOC, "item", (F.col("pos") - F.col("q")).alias("diagonal"), "q")
-    met = begins.groupBy(*DOC, "item", "diagonal").agg(F.collect_set("q").alias("met"))
-    wanted = windows.groupBy("item").agg(F.collect_set(F.transform("rarest", lambda r: r["q"])).alias("wanted"))
-    starts = met.join(wanted, "item").filter(F.exists("wanted", lambda w: F.size(F.array_except(w, "met")) == 0))
+    # rarest terms of one of its windows. Places in an item are bits, those of long items share them;
+    # whether the words are all there is found below.
+    begins = index.join(_small(rarest, broadcast_rows), "term").select(*DOC, "item", (F.col("pos") - F.col("q")).alias("diagonal"), _bit(F.col("q")).alias("bit"))
+    met = begins.groupBy(*DOC, "item", "diagonal").agg(F.bit_or("bit").alias("met"))
+    masks = F.aggregate("rarest", F.lit(0).cast("long"), lambda a, r: a.bitwiseOR(_bit(r["q"])))
+    wanted = windows.groupBy("item").agg(F.collect_set(masks).alias("wanted"))
+    starts = met.join(wanted, "item").filter(F.exists("wanted", lambda w: F.col("met").bitwiseAND(w) == w))
     starts = stored(starts.select(*DOC, "item", "diagonal"), "starts")
 
     # All words of the items there, to be found among the postings of just those documents.

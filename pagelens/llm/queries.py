@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import chat, decontam, nearest, packing, pii, sharding, toxicity
+from pagelens.llm import chat, decontam, jaccard, nearest, packing, pii, sharding, toxicity
 from pagelens.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 8))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.digest(toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels"))))
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_nearest": op2_nearest,
     "op3_shards": op3_shards,
+    "op4_jaccard": op4_jaccard,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op8_pii": op8_pii,
@@ -60,4 +65,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontaminate": decontam.ORACLE_SQL,
+    "op4_jaccard": jaccard.ORACLE_SQL,
 }

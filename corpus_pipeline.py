@@ -1,15 +1,53 @@
-"""The corpus pipeline: stages that follow each other over the documents."""
+"""The corpus pipeline: each stage works on all documents that the one before it kept.
+
+Toxic documents go, of each group of near duplicates one stays, documents with benchmark passages go,
+personal data is masked, and what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from pagelens.llm import decontam, jaccard, packing, pii, toxicity
+from pagelens.llm.common import stored, table
+from pagelens.llm.queries import toxicity_model
+
+
+def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
+def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.mask(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(docs))
+
+
+STAGES = [
+    ("toxicity", clean_of_toxicity),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", clean_of_benchmarks),
+    ("personal_data", masked),
+    ("packing", packed),
+]
+
+#: SQL can't express the classifier or the tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over ``documents``; each one's rows are written and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import stored
+from pagelens.llm.common import discard, stored
 
 WIDTH = 10
 #: Terms of a window whose postings are intersected before all the others are looked up.
@@ -165,8 +165,11 @@ def report(docs: DataFrame, items: DataFrame, width: int = WIDTH, broadcast_rows
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without any occurring window, with all their columns."""
-    hit = phrases(build_index(docs, id, text), items, width).select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy")).distinct()
-    hit = _small(stored(hit, "contaminated"), BROADCAST_ROWS)
+    index = build_index(docs, id, text)
+    hit = phrases(index, items, width).select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy")).distinct()
+    hit = stored(hit, "contaminated")
+    discard(index)
+    hit = _small(hit, BROADCAST_ROWS)
     return docs.join(hit, F.col(id).cast("long").eqNullSafe(F.col("_doc")) & (F.hash(F.col(text)) == F.col("_copy")), "left_anti")
 
 

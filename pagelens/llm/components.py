@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import stored
+from pagelens.llm.common import discard, stored
 
 
 def _lowest(links: DataFrame) -> DataFrame:
@@ -32,5 +32,6 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(_lowest(both), "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         small = large.join(large.groupBy("a").agg(F.min("b").alias("low")), "a")
         hung = small.select(F.col("b").alias("a"), F.col("low").alias("b")).unionAll(small.select("a", F.col("low").alias("b")))
-        now = stored(hung.filter("a != b").distinct(), "links")
+        last, now = now, stored(hung.filter("a != b").distinct(), "links")
+        discard(last)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import slices, stored
+from pagelens.llm.common import discard, slices, stored
 from pagelens.llm.components import components
 from pagelens.llm.fingerprints import mixed, of_ranges
 
@@ -145,7 +145,16 @@ def _whole_sets(docs: DataFrame, id: str, text: str, wanted: DataFrame, width: i
     wanted = _small(wanted)
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"]), "left_semi").select("text")
-    return stored(texts.mapInArrow(build, "set long, members binary").dropDuplicates(["set"]), "sets")
+    return _once(stored(texts.mapInArrow(build, "set long, members binary"), "sets"))
+
+
+def _once(sets: DataFrame) -> DataFrame:
+    """One row per set. They come from one document each; only rows that repeat its id make more."""
+    if not sets.groupBy("set").count().filter("count > 1").limit(1).count():
+        return sets
+    out = stored(sets.dropDuplicates(["set"]), "sets")
+    discard(sets)
+    return out
 
 
 def _verified(percent: int):
@@ -209,9 +218,13 @@ def spanning(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple
 
 def links(docs: DataFrame, all: DataFrame, id: str, text: str, width: int, percent: int) -> DataFrame:
     """``a, b``, written: links between sets that connect all that are connected."""
-    first_of = Window.partitionBy("set").orderBy("doc_id")
-    sets = all.filter("n > 0").withColumn("order", F.row_number().over(first_of)).filter("order = 1").select("set", "n", F.col("doc_id").alias("rep"), "first", "second")
-    sets = stored(sets, "classes")
+    # Copies leave their class by their ids, so that the prefixes stay where they were written.
+    several = all.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).filter("rows > 1")
+    several = _small(stored(several.select(F.col("set").alias("of"), "rep"), "several"))
+    copies = all.filter("n > 0").select("set", "doc_id").join(several, F.col("set") == F.col("of")).filter(~F.col("doc_id").eqNullSafe(F.col("rep")))
+    copies = _small(stored(copies.select("of", F.col("doc_id").alias("copy")).distinct(), "copies"))
+    sets = all.filter("n > 0").join(copies, F.col("doc_id").eqNullSafe(F.col("copy")) & (F.col("set") == F.col("of")), "left_anti")
+    sets = _once(stored(sets.select("set", "n", F.col("doc_id").alias("rep"), "first", "second"), "classes"))
     shared = Window.partitionBy("shingle")
     met = sets.select("set", "n", F.explode("first").alias("shingle")).withColumn("met", F.count("*").over(shared)).withColumn("total", F.sum("n").over(shared))
     met = stored(met.filter("met > 1"), "met")
@@ -230,9 +243,9 @@ def links(docs: DataFrame, all: DataFrame, id: str, text: str, width: int, perce
     wanted = pairs.select(F.col("a").alias("set")).unionAll(pairs.select(F.col("b").alias("set"))).unionAll(many.select("set")).distinct()
     whole = _whole_sets(docs, id, text, stored(sets.join(wanted, "set", "left_semi").select("rep"), "wanted"), width)
 
-    ones = whole.select(F.col("set").alias("a"), F.lit(None).cast("long").alias("b"), "members").join(pairs.select("a").distinct(), "a", "left_semi")
-    others = pairs.join(whole.select(F.col("set").alias("b"), "members"), "b").select("a", "b", "members")
-    found = ones.unionAll(others).repartition("a").sortWithinPartitions("a", "b").mapInArrow(_verified(percent), "a long, b long")
+    asked = pairs.select(F.col("b").alias("set"), "a", "b").unionAll(pairs.select(F.col("a").alias("set"), "a", F.lit(None).cast("long").alias("b")).distinct())
+    asked = _small(stored(asked, "asked"))
+    found = whole.join(asked, "set").select("a", "b", "members").repartition("a").sortWithinPartitions("a", "b").mapInArrow(_verified(percent), "a long, b long")
 
     parts = F.greatest(F.lit(1), F.ceil(F.col("total") * 8 / MEETING_BYTES)).cast("int")
     dealt = many.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
@@ -244,8 +257,11 @@ def links(docs: DataFrame, all: DataFrame, id: str, text: str, width: int, perce
         own = [np.frombuffer(m.as_buffer(), np.uint64) for m in group.column("members")]
         return pa.Table.from_batches([_links(spanning(ids, own, percent) if len(ids) > 1 else [])])
 
-    meetings = dealt.join(whole, "set").groupBy("shingle", "low", "high").applyInArrow(compare, "a long, b long")
-    return stored(found.unionAll(meetings).distinct(), "links")
+    dealt = _small(stored(dealt, "dealt"))
+    meetings = whole.join(dealt, "set").groupBy("shingle", "low", "high").applyInArrow(compare, "a long, b long")
+    out = stored(found.unionAll(meetings).distinct(), "links")
+    discard(sets, met, pairs, whole)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -261,8 +277,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     repeated rows. A null id is reported as null and never the smallest, unless all of a component are.
     Very long texts are read whole. Empty table: no rows. Other columns are ignored.
     """
-    all = described(docs, id, text, width, percent)
-    roots = components(links(docs, all, id, text, width, percent))
+    whole = described(docs, id, text, width, percent)
+    found = links(docs, whole, id, text, width, percent)
+    all = stored(whole.select("doc_id", "n", "set"), "sets-of-documents")
+    discard(whole)
+    roots = components(found)
     classes = all.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"))
     rooted = classes.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     lowest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelens.llm.common import tidied
+
 TURN, SAYS, END = "<s>", "[INST]", "[/INST]</s>"
 MARK = re.compile("|".join(map(re.escape, (TURN, SAYS, END))))
 CONTROL = re.compile(r"([<\[])(\\*)(?=/?(?:s>|INST\]))")
@@ -79,6 +81,7 @@ def render(role: str, text: str) -> str:
                 shown[i] = escape(source)
 
 
+@tidied
 def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         conv, turn, role, text = (batch.column(i) for i in range(4))
@@ -86,6 +89,7 @@ def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([conv, turn, role, turns], ["conv_id", "turn", "role", "rendered"])
 
 
+@tidied
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rendered turns in order, put together to parts; only one part is held at a time."""
     schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("text", pa.string()),
@@ -132,6 +136,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     return ordered.select("conv_id", "rendered").mapInArrow(_joined, PARTS)
 
 
+@tidied
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     started, conv = False, None

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import discard, slices, stored
+from pagelens.llm.common import discard, slices, stored, tidied
 from pagelens.llm.components import components
 from pagelens.llm.fingerprints import mixed, of_ranges
 
@@ -76,6 +76,7 @@ def count_cells(docs: DataFrame, width: int) -> np.ndarray:
     """How often the shingles of each cell occur, each once a document; a table of 16 MB whatever the corpus."""
     rows = 1 << (CELL_BITS - ROW_BITS)
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, np.uint32)
         for batch in batches:
@@ -88,6 +89,7 @@ def count_cells(docs: DataFrame, width: int) -> np.ndarray:
             for row in range(rows):
                 yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([short[row].tobytes()], pa.binary())], ["row", "counts"])
 
+    @tidied
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -111,6 +113,7 @@ def described(docs: DataFrame, id: str, text: str, width: int, percent: int) ->
     given = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = docs.sparkSession.sparkContext.broadcast(count_cells(given.select("text"), width))
 
+    @tidied
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
@@ -136,6 +139,7 @@ def _small(df: DataFrame) -> DataFrame:
 def _whole_sets(docs: DataFrame, id: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
     """``set, members``, written: the fingerprints of the sets of some documents, each set once."""
 
+    @tidied
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
@@ -160,6 +164,7 @@ def _once(sets: DataFrame) -> DataFrame:
 def _verified(percent: int):
     """Streams ``a, b, members`` sorted by ``a`` and ``b``; the row of ``a`` itself, with no ``b``, comes first."""
 
+    @tidied
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, np.zeros(0, np.uint64)
         for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import scratch, stored
+from pagelens.llm.common import scratch, stored, tidied
 from pagelens.operators.spread import top_n
 
 #: Vectors that the rotations are learned from, at most.
@@ -134,6 +134,7 @@ def classes(vectors: DataFrame, id: str, vector: str, keep: int) -> DataFrame:
 def build_index(distinct: DataFrame, codes: Codes) -> DataFrame:
     """One row per slab: vectors, members, codes and sorted substrings, packed."""
 
+    @tidied
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, SLAB):
@@ -157,6 +158,7 @@ def _search(index: DataFrame, queries: list, codes: Codes, k: int, radius: int |
     """Rows of each slab for a block of queries; without ``radius`` all rows, for measuring."""
     shared = index.sparkSession.sparkContext.broadcast(queries)
 
+    @tidied
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for packed in batch.column(0):

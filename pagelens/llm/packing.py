@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import one_thread, slices, stored
+from pagelens.llm.common import one_thread, slices, stored, tidied
 from pagelens.llm.fingerprints import of_ranges
 
 LENGTH, SEPARATOR, TOKENIZER = 4096, 2, "word_bpe_49k.json"
@@ -197,6 +197,7 @@ def tokenized(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer
     """``doc_id, task, before, n, ids``: ids of each text with the separator, and its place in its task."""
     end = np.array([separator], "<u4").tobytes()
 
+    @tidied
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, task, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelens.llm.common import slices
+from pagelens.llm.common import slices, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -251,6 +251,7 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     or not, with null ids kept; other columns are ignored. Empty table: no rows.
     """
 
+    @tidied
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
@@ -280,6 +281,7 @@ def mask(docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFra
     """
     place, whole = docs.columns.index(text), [f.name for f in docs.schema.fields]
 
+    @tidied
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, place):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelens.llm.common import slices, stored
+from pagelens.llm.common import slices, stored, tidied
 
 #: Labelled rows that are learned from, at most, of each label.
 SAMPLE = 8000
@@ -151,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     order = F.xxhash64("no", F.lit("toxicity"))
     drawn = F.broadcast(known.filter("y = 1").orderBy(order).limit(SAMPLE).unionAll(known.filter("y = 0").orderBy(order).limit(SAMPLE)))
 
+    @tidied
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
@@ -175,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     names += sorted(features(list(KIND)).difference(names))
     place = {f: i for i, f in enumerate(names)}
 
+    @tidied
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ones = [pa.array([None if r is None else sorted(place[f] for f in r if f in place) for r in batch.column(i).to_pylist()], pa.list_(pa.int32())) for i in (1, 2)]
@@ -196,6 +198,7 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
     other columns are ignored. Empty table: no rows.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
@@ -208,6 +211,7 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: flo
     """The rows of ``docs`` scored below ``threshold``, with all their columns."""
     place = docs.columns.index(text)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, place):

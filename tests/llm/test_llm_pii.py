@@ -1,0 +1,78 @@
+import random
+import re
+import time
+
+import pytest
+
+from pagelens.llm import pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute(text):
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in CARD.finditer(text):
+        digits = [int(c) for c in m.group() if c.isdigit()]
+        doubled = [d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))]
+        if 12 <= len(digits) <= 19 and sum(doubled) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m.group()) <= 15]
+    return [(a, b, pii.KINDS[k]) for a, k, b in sorted(out)]
+
+
+def test_plain_identifiers_are_what_the_patterns_say():
+    random.seed(4)
+    for _ in range(20_000):
+        text = "".join(random.choices("a.@-+_ 0123456789()éZ%", k=random.randint(0, 50)))
+        assert pii.plain(text) == brute(text), text
+    for text in ("4111 1111 1111 1111", "x 4111-1111-1111-1111.", "a@b@c.de", "+1 (555) 123-4567", "1.2.3.4.5.6.7.8", "0256.1.1.1"):
+        assert pii.plain(text) == brute(text)
+
+
+@pytest.mark.parametrize("text, kind, found", [
+    ("mail john.doe (at) example (dot) com now", "email", "john.doe (at) example (dot) com"),
+    ("anna[at]mail[dot]example[dot]org!", "email", "anna[at]mail[dot]example[dot]org"),
+    ("write john at example dot com", "email", "john at example dot com"),
+    ("jоhn@exаmple.com", "email", "jоhn@exаmple.com"),
+    ("a​nna@example.com", "email", "a​nna@example.com"),
+    ("１９２.168.0.1", "ip", "１９２.168.0.1"),
+    ("call plus four four two zero seven nine four six zero nine five eight", "phone", "plus four four two zero seven nine four six zero nine five eight"),
+    ("ruf null eins sieben sechs eins zwei drei vier fünf an", "phone", "null eins sieben sechs eins zwei drei vier fünf"),
+    ("card four one one one one one one one one one one one one one one one", "card", "four one one one one one one one one one one one one one one one"),
+])
+def test_disguises(text, kind, found):
+    _, more = pii.spans(text)
+    assert [(k, text[a:b]) for a, b, k in more] == [(kind, found)]
+
+
+@pytest.mark.parametrize("text", [
+    "we met at the dot com office", "see you at noon. dot", "un un un un un un un un un un", "one or two of the three", "meet at example.com",
+    "Écoute, c'est à nous de voir", "", "the the the", "six of one, half a dozen of the other",
+])
+def test_clean_texts_are_left_alone(text):
+    assert pii.spans(text) == ([], []) and pii.masked(text) == text
+
+
+@pytest.mark.parametrize("piece", ["a", "1", "1 ", ".", "a@", "+1", "1.", "one ", "dot ", "(at)", "x at y dot ", "[", "​"])
+def test_long_texts_take_linear_time(piece):
+    started = time.time()
+    pii.masked(piece * (200_000 // len(piece)))
+    assert time.time() - started < 10
+
+
+def test_operator(spark):
+    rows = [(1, "a@b.co and +1 (555) 123-4567", 3, "x"), (1, "a@b.co and +1 (555) 123-4567", 3, "x"), (2, None, None, None), (None, "", 0, "x"), (3, "j at b dot co", 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
+    got = sorted(pii.digest(pii.find(docs)).collect(), key=str)
+    assert len(got) == 5
+    by = {r["doc_id"]: r for r in got}
+    assert by[1]["spans"] == "email:0:6,phone:11:28" and (by[1]["n_email"], by[1]["n_phone"]) == (1, 1)
+    assert by[3]["spans"] == "email:0:13" and by[3]["n_email"] == 0 and by[2]["spans"] == ""
+    masked = {r["doc_id"]: r for r in pii.mask(docs).collect()}
+    assert masked[1]["text"] == "[EMAIL] and [PHONE]" and masked[1]["n_chars"] == 19
+    assert masked[2]["text"] is None and masked[3]["text"] == "[EMAIL]" and masked[3].asDict().keys() == set(docs.columns)
+    assert pii.find(docs.limit(0)).count() == 0

@@ -88,7 +88,7 @@ windows AS (
   FROM window_numbers {limit}),
 chunks AS (
   SELECT doc_id AS document_id, doc_id * 1000000 + i AS chunk_id, i AS ord,
-    CASE WHEN length(part) > 40 THEN part ELSE {strip('substring(text, 1, 8000)')} END AS text
+    CASE WHEN length(part) > 40 THEN part ELSE {strip('text')} END AS text
   FROM windows)"""
 
 

@@ -42,7 +42,7 @@ CHUNK_WINDOWS = with_(CHUNKS) + "SELECT document_id, ord, md5(text) AS digest FR
 
 def chunk_windows_page_cap(spark, sf):
     raw = TD.table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text")
-    return C.chunk(raw).select(
+    return C.chunk(raw, cap=C.PAGE_CAP).select(
         "document_id", F.col("ord").cast("long").alias("ord"), F.md5("text").alias("digest"))
 
 

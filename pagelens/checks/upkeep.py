@@ -133,7 +133,7 @@ short AS (SELECT doc_id, text, ws, unnest(range(0, CASE WHEN len(ws) = 0 THEN 0
   ELSE ceil((len(ws) - 200) / 180.0)::BIGINT + 1 END)) AS i FROM split_docs WHERE doc_id IN (SELECT doc_id FROM labels)),
 cut AS (SELECT doc_id AS document_id, array_to_string(ws[180 * i + 1 : 180 * i + 200], ' ') AS text FROM short),
 kept AS (SELECT * FROM cut WHERE length(text) > 40
-  UNION ALL SELECT doc_id, {Q.strip('substring(text, 1, 8000)')} FROM split_docs WHERE doc_id IN (SELECT doc_id FROM labels)
+  UNION ALL SELECT doc_id, {Q.strip('text')} FROM split_docs WHERE doc_id IN (SELECT doc_id FROM labels)
   AND len(ws) > 0 AND doc_id NOT IN (SELECT document_id FROM cut WHERE length(text) > 40))
 SELECT document_id, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM (
   SELECT document_id, text FROM chunks WHERE document_id NOT IN (SELECT doc_id FROM labels)
@@ -215,7 +215,7 @@ def history_recent(spark, sf):
 
 
 HISTORY_RECENT = with_(PAGE_VISITS.replace("page_visits AS (", "raw_visits AS ("), f"""page_visits AS (SELECT * FROM raw_visits
-  WHERE visited_ms >= {AS_OF} - 20 * {DAY} ORDER BY visited_us DESC, seq LIMIT 1000)""", HISTORY) + """
+  WHERE visited_ms >= {AS_OF} - 20 * {DAY})""", HISTORY) + """
 SELECT url, title, visited_ms FROM deduped ORDER BY visited_us DESC, url LIMIT 50"""
 
 
@@ -345,7 +345,7 @@ LONGEST = "WITH " + CHUNKS + """ SELECT document_id, chunk_id, md5(text) AS dige
 EMBEDDING_JOB = "WITH " + CHUNKS + f""", s AS (SELECT CASE WHEN vec_id IS NOT NULL THEN 'given-64' END AS given,
   {Q.collapse('text')} AS t FROM chunks LEFT JOIN embeddings ON vec_id = document_id AND ord = 0),
 e AS (SELECT given, CASE WHEN given IS NOT NULL THEN 'embedded' WHEN t = '' THEN 'skipped'
-  WHEN len({Q.tokens('substring(t, 1, 8000)')}) = 0 THEN 'failed' ELSE 'embedded' END AS embed_state FROM s)
+  WHEN len({Q.tokens('t')}) = 0 THEN 'failed' ELSE 'embedded' END AS embed_state FROM s)
 SELECT embed_state, CASE WHEN embed_state = 'embedded' THEN coalesce(given, 'hashing-384') END AS embed_model, count(*) AS chunks,
   sum(CASE WHEN given IS NOT NULL THEN 64 WHEN embed_state = 'embedded' THEN 384 END)::BIGINT AS numbers FROM e GROUP BY 1, 2"""
 

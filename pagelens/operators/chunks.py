@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from pagelens.functions.text import strip, words
 
-# Window size and overlap in words, windows per page, shortest chunk, raw fallback.
+# Window size and overlap in words, windows per page, shortest chunk.
 WINDOW, OVERLAP, PAGE_CAP = 420, 75, 36
-LEAST_CHARS, RAW_CHARS = 40, 8_000
+LEAST_CHARS = 40
 ID_STRIDE = 1_000_000
 
 
 def chunk(
-    documents: DataFrame, window: int = WINDOW, overlap: int = OVERLAP, cap: int | None = PAGE_CAP
+    documents: DataFrame, window: int = WINDOW, overlap: int = OVERLAP, cap: int | None = None
 ) -> DataFrame:
     """Rows ``(document_id, ord, text)`` from ``(document_id, text)``; no shuffle.
 
-    ``cap`` limits the windows of one page; ``None`` cuts the whole text.
+    The whole text is cut; ``cap`` limits the windows of one page (``PAGE_CAP`` is usual). A text with a
+    single window of ``LEAST_CHARS`` characters or fewer is kept as it stands, blanks at its ends aside.
     """
     step = max(1, window - overlap)
     n = F.size("_words")
@@ -29,10 +30,10 @@ def chunk(
         F.sequence(F.lit(0), windows - 1),
         lambda i: F.array_join(F.slice("_words", i * step + 1, F.lit(window)), " "),
     )
-    kept = F.filter(parts, lambda t: F.length(t) > LEAST_CHARS)
+    kept = F.filter(parts, lambda t: (F.length(t) > LEAST_CHARS) | (windows > 1))
     if cap is not None:
         kept = F.slice(kept, 1, cap)
-    raw = F.array(strip(F.substring("text", 1, RAW_CHARS)))
+    raw = F.array(strip(F.col("text")))
     none = F.array().cast("array<string>")
     return (
         documents.select("document_id", "text", words(F.col("text")).alias("_words"))

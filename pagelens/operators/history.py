@@ -50,13 +50,20 @@ def dedupe_history(history: DataFrame, as_of: Column, block: int = BLOCK) -> Dat
     )
 
 
-def history_slice(history: DataFrame, as_of: Column, days: int = 30, n: int = 300) -> DataFrame:
-    """Newest ``n`` addresses of the last ``days`` days; both arguments are clamped."""
-    days, n = min(365, max(1, days)), min(500, max(5, n))
-    raw_cap = min(max(n * 20, 50), 2_500)
-    since = as_of - F.make_dt_interval(F.lit(days))
-    raw = history.filter(F.col("visited_at") >= since).orderBy(F.col("visited_at").desc(), "seq").limit(raw_cap)
-    return dedupe_history(raw, as_of).orderBy(F.col("visited_at").desc(), "url").limit(n)
+def history_slice(
+    history: DataFrame, as_of: Column, days: int | None = 30, n: int | None = 300, raw_cap: int | None = None
+) -> DataFrame:
+    """Newest ``n`` addresses of the last ``days`` days; ``None`` for all.
+
+    ``raw_cap`` lets only so many of the newest visits count, before addresses are told apart.
+    """
+    raw = history
+    if days is not None:
+        raw = raw.filter(F.col("visited_at") >= as_of - F.make_dt_interval(F.lit(days)))
+    if raw_cap is not None:
+        raw = raw.orderBy(F.col("visited_at").desc(), "seq").limit(raw_cap)
+    found = dedupe_history(raw, as_of)
+    return found if n is None else found.orderBy(F.col("visited_at").desc(), "url").limit(n)
 
 
 def import_funnel(outcomes: DataFrame, total: int | None = None) -> DataFrame:

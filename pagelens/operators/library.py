@@ -13,6 +13,8 @@ from pagelens.operators.spread import bucket_totals, dense_ids, top_n
 # Engagement per visit and the retention limits.
 FIRST_VISIT, REVISIT, LENGTH_GAIN, LENGTH_SCALE, MIGRATED = 0.12, 0.07, 0.15, 25_000, 0.15
 MAX_DOCUMENTS, MAX_CHUNKS, CHUNK_HEADROOM, MAX_VISITS = 10_000, 250_000, 44, 50_000
+#: Where documents without a visit stand: the first second of year 1.
+NEVER = -62_135_596_800
 
 
 def lookup(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -89,9 +91,11 @@ def replace_chunks(chunks: DataFrame, new: DataFrame, documents: DataFrame) -> D
     return kept.unionByName(new.select(chunks.columns))
 
 
-def append_visits(log: DataFrame, new: DataFrame, cap: int = MAX_VISITS) -> DataFrame:
-    """Visit log with the newest ``cap`` visits of each tenant."""
+def append_visits(log: DataFrame, new: DataFrame, cap: int | None = None) -> DataFrame:
+    """Visit log with the new visits; with a ``cap`` (``MAX_VISITS`` is usual), each tenant's newest."""
     both = log.unionByName(new)
+    if cap is None:
+        return both
     newest = [F.col("visited_at").desc(), F.col("url"), F.col("title")]
     both = both.withColumn("_spread", F.xxhash64("url", "visited_at"))
     return top_n(both, ["tenant_id"], newest, cap, "_spread").drop("rank", "_spread")
@@ -133,8 +137,9 @@ def retain(
     max_chunks: int = MAX_CHUNKS - CHUNK_HEADROOM,
     bucket: str = "HOUR",
 ) -> DataFrame:
-    """Newest documents that fit both limits; the oldest go first.
+    """Newest documents that fit both limits; the oldest go first, those never visited before all.
 
+    Documents with a null key form a group like any other.
     Whole time buckets are kept or dropped on their totals; only the one bucket per key in which
     a limit is reached is ordered row by row.
     """
@@ -142,8 +147,13 @@ def retain(
     sized = (
         documents.join(chunk_counts.select("document_id", "n_chunks"), "document_id", "left")
         .withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0).cast("long")))
-        .withColumn("_bucket", F.date_trunc(bucket, "last_visited_at"))
+        .withColumn("_bucket", F.coalesce(F.date_trunc(bucket, "last_visited_at"), F.timestamp_seconds(F.lit(NEVER))))
     )
+    # Joins by equality lose null keys: groups are told by keys that are never null.
+    plain = [f"_key{i}" for i in range(len(keys))]
+    for name, key in zip(plain, keys, strict=True):
+        sized = sized.withColumn(name, F.struct(F.col(key).isNull().alias("none"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key")))
+    keys = plain
     totals = bucket_totals(
         sized, keys, "_bucket",
         {"_docs": F.lit(1).cast("long"), "_chunks": F.col("n_chunks")}, descending=True,
@@ -155,7 +165,7 @@ def retain(
     placed = sized.join(
         totals.withColumn("_fits", fits).filter(open_).drop("_docs", "_chunks"), [*keys, "_bucket"]
     )
-    order = [F.col("last_visited_at").desc(), F.col("document_id").desc()]
+    order = [F.col("last_visited_at").desc_nulls_last(), F.col("document_id").desc()]
     border = top_n(placed.filter(~F.col("_fits")), keys, order, max_documents, "document_id")
 
 

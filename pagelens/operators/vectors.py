@@ -21,7 +21,6 @@ from pagelens.model import EMBEDDED, FAILED, PENDING, SKIPPED
 from pagelens.operators.ranking import TIE_DIGITS
 
 BLOCK_ROWS = 4_096
-MAX_EMBED_CHARS = 8_000
 DIMENSIONS = 384
 DEFAULT_MODEL = "hashing-384"
 
@@ -43,11 +42,11 @@ def hashing_embedder(texts: list[str]) -> list[np.ndarray | None]:
 
 def embed_chunks(
     chunks: DataFrame, as_of, make_embedder: Callable[[], Embedder] = lambda: hashing_embedder,
-    model: str = DEFAULT_MODEL,
+    model: str = DEFAULT_MODEL, max_chars: int | None = None,
 ) -> DataFrame:
     """Fill in vectors of pending chunks; other chunks pass through untouched.
 
-    ``make_embedder`` is called once per task. Blank chunks are skipped; a text the embedder
+    ``make_embedder`` is called once per task; ``max_chars`` is for models that read no further. Blank chunks are skipped; a text the embedder
     cannot handle is marked failed and does not stop the others.
     """
 
@@ -67,7 +66,9 @@ def embed_chunks(
                         made.append(None)
             yield pd.Series([None if v is None else np.asarray(v, dtype="float32") for v in made])
 
-    source = F.substring(collapse(F.col("text")), 1, MAX_EMBED_CHARS)
+    source = collapse(F.col("text"))
+    if max_chars is not None:
+        source = F.substring(source, 1, max_chars)
     waiting = chunks.filter(F.col("embed_state") == PENDING).withColumn("_source", source)
     done = waiting.withColumn("embedding", vectors("_source"))
     state = (

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "2024-01-31T00:00:00Z"
@@ -37,16 +35,13 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for intermediate tables, reachable by every executor.
 
-    It comes from ``spark.checkpoint.dir``; only a local session without one gets its own.
+    It comes from ``spark.checkpoint.dir``; where that is unset it lies beside the warehouse, which
+    executors share too.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="pagelens-checkpoint-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
     return sc.getCheckpointDir()
 
 

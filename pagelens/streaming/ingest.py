@@ -8,12 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pagelens.functions.urls import hostname
 from pagelens.model import Policy
-from pagelens.operators.activity import LIMITS
 from pagelens.operators.vectors import embed_chunks
 from pagelens.plans.ingest import clean_pages
 from pagelens.streaming.events import drop_repeats
 from pagelens.streaming.limits import rate_limit_stream
-from pagelens.streaming.store import append_batch
+from pagelens.streaming.store import append_batch, append_outcomes
 
 DRAIN = {"availableNow": True}
 
@@ -23,26 +22,30 @@ def stream_ingest(
     directory: str,
     checkpoint: str,
     policy: Policy,
-    per_minute: int | None = LIMITS["index"],
+    per_minute: int | None = None,
     lateness: str | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Gate, clean and append a stream ``pages(tenant_id, url, title, text | html, visited_at, seq)``.
 
-    ``per_minute`` limits calls per host before anything else is looked at; ``lateness`` turns on
-    the suppression of repeated captures.
+    ``per_minute`` limits each tenant's calls per host before anything else is looked at
+    (``LIMITS["index"]`` is usual; without it no call is refused); ``lateness`` turns on the suppression
+    of repeated captures. What became of each page, refused ones included, is under ``outcomes``.
     """
-    stream = pages
+    stream = pages.withColumn("allowed", F.lit(True))
     if lateness is not None:
         stream = drop_repeats(stream, lateness)
     if per_minute is not None:
-        calls = stream.withColumn("host_key", hostname(F.col("url"))).withColumn("ts", F.col("visited_at"))
-        admitted = rate_limit_stream(calls, "host_key", per_minute, order="seq")
-        stream = admitted.filter("allowed").drop("host_key", "ts", "allowed")
+        host_key = F.concat_ws("/", F.coalesce("tenant_id", F.lit(0)), hostname(F.col("url")))
+        calls = stream.drop("allowed").withColumn("host_key", host_key).withColumn("ts", F.col("visited_at"))
+        stream = rate_limit_stream(calls, "host_key", per_minute, order="seq").drop("host_key", "ts")
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        cleaned = clean_pages(batch, policy)
+        cleaned = clean_pages(batch.filter("allowed").drop("allowed"), policy).persist()
         append_batch(cleaned.filter("reason is null"), directory, batch_id)
+        refused = batch.filter(~F.col("allowed")).withColumn("reason", F.lit("rate_limited"))
+        append_outcomes(cleaned, refused, directory, batch_id)
+        cleaned.unpersist()
 
     writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or DRAIN)).start()

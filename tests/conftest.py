@@ -9,8 +9,9 @@ from pagelens import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     spark = session.build("tests", "local[4]", spark__sql__shuffle__partitions="4",
                           spark__driver__memory="4g")
+    spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield spark
     spark.stop()

@@ -62,7 +62,7 @@ def test_prompt_or_message_for_every_question(spark):
     questions = spark.createDataFrame([(1, "what do llamas eat"), (2, "@@@ yesterday"), (3, "x" * 12_001)], "question_id long, question string")
     contexts, sources = ASK.build_contexts(questions, lib, as_of())
     got = {r["question_id"]: r for r in contexts.collect()}
-    assert set(got) == {1, 2}
+    assert set(got) == {1, 2, 3} and got[3]["prompt"] is None and got[3]["message"] == ASK.TOO_LONG
     assert got[1]["prompt"].startswith('Today is 2023-11-14.\n\nSOURCES FROM USER\'S LIBRARY:\n\n[1] "Llamas" (ex.test, visited 2023-11-13)\nURL: https://a.test/1\nContent: llamas eat')
     assert got[1]["prompt"].endswith("...\n\nUSER QUESTION: what do llamas eat\n\nANSWER (with [N] citations):") and got[1]["tier"] == "small"
     assert got[2]["prompt"] is None and got[2]["message"] == "I don't have anything indexed from yesterday matching your question."

@@ -94,6 +94,17 @@ def test_calls_over_the_limit_are_not_indexed(spark, tmp_path):
     stream = files(spark, rows, PAGE, str(tmp_path / "in"), 1)
     SI.stream_ingest(stream, str(tmp_path / "l"), str(tmp_path / "c"), Policy(), per_minute=2).awaitTermination()
     assert ST.open_library(spark, str(tmp_path / "l"), as_of()).documents.count() == 2
+    told = spark.read.parquet(str(tmp_path / "l" / "outcomes")).collect()
+    assert sorted((r["seq"], r["outcome"], r["reason"]) for r in told) == [(i, *(("indexed", None) if i < 2 else ("skipped", "rate_limited"))) for i in range(5)]
+
+
+def test_tenants_have_limits_of_their_own(spark, tmp_path):
+    text = "some words to read about things " * 10
+    rows = [(i % 3, f"https://a.test/{i}", "T", text, NOW + timedelta(seconds=i), i) for i in range(9)]
+    for name, limit, kept in (("each", 2, 6), ("none", None, 9)):
+        stream = files(spark, rows, PAGE, str(tmp_path / f"in-{name}"), 1)
+        SI.stream_ingest(stream, str(tmp_path / name), str(tmp_path / f"c-{name}"), Policy(), per_minute=limit).awaitTermination()
+        assert ST.open_library(spark, str(tmp_path / name), as_of()).documents.count() == kept
 
 
 def test_vectors_on_a_stream_and_failures(spark, tmp_path):

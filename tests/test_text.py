@@ -87,7 +87,8 @@ def test_windows_cover_the_text(spark, words, windows):
     df = spark.createDataFrame([(1, text)], "document_id long, text string")
     whole = [r["text"].split(" ") for r in C.chunk(df, cap=None).orderBy("ord").collect()]
     assert len(whole) == windows
-    assert len(C.chunk(df).collect()) == min(windows, 36)
+    assert len(C.chunk(df).collect()) == windows
+    assert len(C.chunk(df, cap=C.PAGE_CAP).collect()) == min(windows, 36)
     joined = whole[0] + [w for part in whole[1:] for w in part[75:]] if whole else []
     assert joined == text.split()
 
@@ -97,9 +98,11 @@ def test_short_texts_become_one_raw_chunk(spark):
     df = spark.createDataFrame(rows, "document_id long, text string")
     got = {r["document_id"]: (r["ord"], r["text"]) for r in C.chunk(df).collect()}
     assert got == {1: (0, "tiny \n text"), 2: (0, "a" * 40), 3: (0, "b" * 41)}
-    # With windows shorter than the least length some are dropped, and the rest renumbered.
-    parts = spark.createDataFrame([(1, " ".join(["x"] * 30 + ["y" * 50] * 3))], "document_id long, text string")
-    assert [r["ord"] for r in C.chunk(parts, window=10, overlap=0).orderBy("ord").collect()] == [0]
+    # Windows shorter than the least length are kept where a text has several.
+    words = ["x"] * 30 + ["y" * 50] * 3
+    parts = spark.createDataFrame([(1, " ".join(words))], "document_id long, text string")
+    got = C.chunk(parts, window=10, overlap=0).orderBy("ord").collect()
+    assert [r["ord"] for r in got] == [0, 1, 2, 3] and " ".join(r["text"] for r in got).split() == words
 
 
 def test_snippet_opens_near_the_first_word_found(spark):

@@ -1,0 +1,69 @@
+"""Nothing is left out unless the caller asks for a limit."""
+
+import numpy as np
+from helpers import NOW, ago, as_of, library
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from pagelens.model import TABLES, Library, Policy
+from pagelens.operators import history as H
+from pagelens.operators import library as L
+from pagelens.operators import vectors as V
+from pagelens.plans import ask, ingest
+
+
+def empty(spark):
+    return Library(**{n: spark.createDataFrame([], TABLES[n]) for n in ("documents", "chunks", "visits")})
+
+
+def test_all_visits_and_all_words_of_a_page_are_kept(spark):
+    words = " ".join(f"w{i}" for i in range(20_000))
+    pages = spark.createDataFrame([("https://a.test/x", "T", words, NOW, 1)], "url string, title string, text string, visited_at timestamp, seq long")
+    old = spark.range(60_000).select(
+        F.lit(0).cast("long").alias("tenant_id"), F.concat(F.lit("https://v.test/"), "id").alias("url"), F.lit("t").alias("title"),
+        F.lit("v.test").alias("hostname"), F.timestamp_seconds(F.col("id") + 1_600_000_000).alias("visited_at"), F.lit(9).alias("text_length"))
+    got, _ = ingest.ingest_pages(pages, empty(spark).with_tables(visits=old), Policy(), as_of())
+    assert got.visits.count() == 60_001
+    parts = [r["text"].split() for r in got.chunks.orderBy("ord").collect()]
+    assert parts[0] + [w for p in parts[1:] for w in p[75:]] == words.split()
+    few, _ = ingest.ingest_pages(pages, empty(spark).with_tables(visits=old), Policy(), as_of(), visit_cap=50_000, page_cap=36)
+    assert few.visits.count() == 50_000 and few.chunks.count() == 36
+
+
+def test_retention_keeps_what_was_never_visited(spark):
+    rows = [(1, "a", None), (2, None, ago(days=1)), (3, None, None), (4, "a", ago(days=2)), (5, "a", ago(days=3))]
+    docs = spark.createDataFrame(rows, "document_id long, domain string, last_visited_at timestamp")
+    counts = spark.createDataFrame([(i, 1) for i in range(1, 6)], "document_id long, n_chunks long")
+
+    def kept(keys, n):
+        return sorted(r["document_id"] for r in L.retain(docs, counts, keys, n, 10**6).collect())
+
+    assert kept((), 9_999) == kept(("domain",), 9_999) == [1, 2, 3, 4, 5]
+    assert kept((), 3) == [2, 4, 5] and kept((), 4) == [2, 3, 4, 5]
+    assert kept(("domain",), 1) == [2, 4] and kept(("domain",), 2) == [2, 3, 4, 5]
+
+
+def test_history_of_many_repeats_and_many_addresses(spark):
+    rows = [(f"https://a.test/{i % 800}", "t", ago(minutes=i), i) for i in range(4_000)]
+    visits = spark.createDataFrame(rows, "url string, title string, visited_at timestamp, seq long")
+    assert H.history_slice(visits, as_of(), days=365, n=700).count() == 700
+    assert H.history_slice(visits, as_of(), days=None, n=None).count() == 800
+    assert H.history_slice(visits, as_of(), days=365, n=700, raw_cap=100).count() == 100
+
+
+def test_long_questions_get_a_message(spark):
+    lib = library(spark, [(1, "https://a.test/", "spark notes", NOW, 1.0)], [(1, 0, "spark shuffles rows", None)])
+    questions = spark.createDataFrame([(1, "what about spark"), (2, "spark " * 3_000)], "question_id long, question string")
+    prompts, sources = ask.build_contexts(questions, lib, as_of())
+    got = {r["question_id"]: r for r in prompts.collect()}
+    assert got[1]["prompt"] and got[2]["prompt"] is None and got[2]["message"] == ask.TOO_LONG and got[2]["tier"] is None
+    assert {r["question_id"] for r in sources.collect()} == {1}
+
+
+def test_vectors_see_whole_chunks(spark):
+    text = "alpha " * 2_000 + "omega"
+    schema = StructType(TABLES["chunks"].fields)
+    chunks = spark.createDataFrame([(1, 1, 0, text, None, "pending", None, None)], schema)
+    whole = V.embed_chunks(chunks, as_of()).first()["embedding"]
+    cut = V.embed_chunks(chunks, as_of(), max_chars=8_000).first()["embedding"]
+    assert np.allclose(whole, V.hashing_embedder([text])[0]) and not np.allclose(whole, cut)

@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch that Python code handles at once; long texts are cut further by bytes.
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 2 << 20
+#: The option of glibc's ``mallopt`` from which size on an allocation is the system's own.
+MMAP_THRESHOLD = -3
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -61,13 +63,15 @@ def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
 
 
 def tidied(function):
-    """For functions over Arrow batches: free memory goes back to the system at a task's end.
+    """For functions over Arrow batches: free memory goes back to the system, large arrays at once.
 
     Python workers stay for later tasks, beside a JVM that wants all of its heap.
     """
 
     @wraps(function)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).mallopt(MMAP_THRESHOLD, 1 << 20)
         yield from function(batches)
         pa.default_memory_pool().release_unused()
         with suppress(OSError, AttributeError):

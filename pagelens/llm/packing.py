@@ -24,7 +24,7 @@ from pagelens.llm.fingerprints import of_ranges
 LENGTH, SEPARATOR, TOKENIZER = 4096, 2, "word_bpe_49k.json"
 
 #: Words whose ids a Python worker remembers (some 30 bytes each), and the bytes of text it looks at together.
-REMEMBERED, BLOCK_BYTES = 3_000_000, 4 << 20
+REMEMBERED, BLOCK_BYTES = 2_000_000, 1 << 20
 
 BLANK, LETTER, DIGIT, SIGN, OTHER = range(5)
 

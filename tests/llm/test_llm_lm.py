@@ -11,7 +11,10 @@ def sentences(n, seed):
     return [" ".join(w for _ in range(12) for k in [random.randrange(20)] for w in ("the", nouns[k], verbs[k], "it")) for _ in range(n)]
 
 
-def test_shuffled_texts_score_lower(spark):
+def test_shuffled_texts_score_lower(spark, monkeypatch):
+    # So small a corpus is learned from whole and in small steps.
+    monkeypatch.setattr(lm, "SHARE", 1)
+    monkeypatch.setattr(lm, "BATCH", 32)
     texts = sentences(600, 1)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_words string").repartition(3)
     vocabulary, network = lm.fit(docs)

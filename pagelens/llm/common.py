@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS, BATCH_BYTES = 256, 2 << 20
 #: The option of glibc's ``mallopt`` from which size on an allocation is the system's own.
 MMAP_THRESHOLD = -3
+#: Bytes of the batches in which Spark hands rows to Python, but for a single longer row.
+ARROW_BYTES, ARROW_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -51,6 +53,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python by bytes, not rows alone; a setting of the session's own stays."""
+    if spark.conf.get(ARROW_SETTING, None) is None:
+        spark.conf.set(ARROW_SETTING, ARROW_BYTES)
+
+
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bound on rows and, but for a single longer text, on bytes of ``text``."""
     start = 0

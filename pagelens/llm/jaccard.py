@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import discard, slices, stored, tidied
+from pagelens.llm.common import bounded_batches, discard, slices, stored, tidied
 from pagelens.llm.components import components
 from pagelens.llm.fingerprints import mixed, of_ranges
 
@@ -110,6 +110,7 @@ def count_cells(docs: DataFrame, width: int) -> np.ndarray:
 
 def described(docs: DataFrame, id: str, text: str, width: int, percent: int) -> DataFrame:
     """``doc_id, n, set, first, second``, written: size and id of each text's set, its prefixes under both orders."""
+    bounded_batches(docs.sparkSession)
     given = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = docs.sparkSession.sparkContext.broadcast(count_cells(given.select("text"), width))
 

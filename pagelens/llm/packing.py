@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import one_thread, slices, stored, tidied
+from pagelens.llm.common import bounded_batches, one_thread, slices, stored, tidied
 from pagelens.llm.fingerprints import of_ranges
 
 LENGTH, SEPARATOR, TOKENIZER = 4096, 2, "word_bpe_49k.json"
@@ -210,6 +210,7 @@ def tokenized(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer
                     [part.column(0), pa.array(np.full(len(n), task), pa.int32()), pa.array(places), pa.array(n), pa.array(ids, pa.binary())],
                     ["doc_id", "task", "before", "n", "ids"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
         encode, "doc_id long, task int, before long, n long, ids binary")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelens.llm.common import slices, tidied
+from pagelens.llm.common import bounded_batches, slices, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -259,6 +259,7 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
                         for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, ARROW_SPANS)], ["doc_id", "spans"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(search, f"doc_id long, spans {SPANS}")
 
 
@@ -290,6 +291,7 @@ def mask(docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFra
                 columns[place] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, whole)
 
+    bounded_batches(docs.sparkSession)
     out = docs.mapInArrow(rewrite, T.StructType(docs.schema.fields))
     if chars in whole:
         out = out.withColumn(chars, F.char_length(text).cast(docs.schema[chars].dataType))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelens.llm.common import slices, stored, tidied
+from pagelens.llm.common import bounded_batches, slices, stored, tidied
 
 #: Labelled rows that are learned from, at most, of each label.
 SAMPLE = 8000
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     ``labels`` must hold only rows to learn from. Rows with a null id or label are left out, ids
     without a document too. With one label alone, or none, the model has only a bias.
     """
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col(id).cast("long").alias("no"), (F.col(label) == 1).cast("int").alias("y")).filter("no is not null and y is not null")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
@@ -204,6 +204,7 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
             for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_scores(model, part.column(1)), pa.float64())], ["doc_id", "score"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
@@ -217,6 +218,7 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: flo
             for part in slices(batch, place):
                 yield part.filter(pa.array([s < threshold for s in _scores(model, part.column(place))], pa.bool_()))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
 
 

@@ -101,31 +101,31 @@ SELECT query_id, rank, vec_id, round(c, 6) AS cosine FROM r WHERE rank <= 10"""
 
 
 def profile_scores(spark, sf):
-    """The two other scoring profiles, each document's opening asked of its own text."""
+    """The two other scoring profiles: each chunk, asked for its document's domain and title."""
     lib = TD.library(spark, sf)
-    first = lib.chunks.filter("ord = 0").select("document_id", "text", F.col("embedding").alias("b"))
+    first = lib.chunks.select("document_id", "chunk_id", "text", F.col("embedding").alias("b"))
     other = TD.table(spark, sf, "embeddings").select(
         (F.col("vec_id") + 1).alias("document_id"), F.col("embedding").alias("a"))
     rows = first.join(lib.documents, "document_id").join(other, "document_id", "left")
     ask = F.concat_ws(" ", F.col("domain"), F.col("title"))
     kw, tm = S.keyword_score(F.col("text"), ask), S.title_match(F.col("title"), F.col("summary"))
     rec, cos = S.recency(F.col("last_visited_at"), TD.as_of()), S.cosine(F.col("a"), F.col("b"))
-    scored = rows.select("document_id", "importance", kw.alias("keyword"), tm.alias("title_match"),
+    scored = rows.select("document_id", "chunk_id", "importance", kw.alias("keyword"), tm.alias("title_match"),
                          rec.alias("recency"), cos.alias("cosine"))
     c = F.col
     return scored.select(
-        "document_id", _round("keyword"), _round("title_match"), _round("recency"), _round("cosine"),
+        "document_id", "chunk_id", _round("keyword"), _round("title_match"), _round("recency"), _round("cosine"),
         F.round(S.profile_hybrid(c("cosine"), c("keyword"), c("title_match"), c("recency")), 6).alias("hybrid"),
         F.round(S.profile_production(c("cosine"), c("keyword"), c("title_match"), c("recency"), c("importance")), 6).alias("production"))
 
 
 PROFILE_SCORES = "WITH " + DOCS + ", " + CHUNKS + f""",
-x AS (SELECT c.document_id, d.importance AS e, {Q.keyword_score('c.text', "d.domain || ' ' || d.title")} AS k,
+x AS (SELECT c.document_id, c.chunk_id, d.importance AS e, {Q.keyword_score('c.text', "d.domain || ' ' || d.title")} AS k,
   {Q.keyword_score('d.title', 'd.summary')} AS t, {Q.recency('visited_ms')} AS r,
   coalesce({COSINE}, 0.0) AS c
   FROM chunks c JOIN docs d USING (document_id) LEFT JOIN embeddings b ON b.vec_id = c.document_id
-  LEFT JOIN embeddings a ON a.vec_id = c.document_id - 1 WHERE ord = 0)
-SELECT document_id, round(k, 6) AS keyword, round(t, 6) AS title_match, round(r, 6) AS recency, round(c, 6) AS cosine,
+  LEFT JOIN embeddings a ON a.vec_id = c.document_id - 1)
+SELECT document_id, chunk_id, round(k, 6) AS keyword, round(t, 6) AS title_match, round(r, 6) AS recency, round(c, 6) AS cosine,
   round(CASE WHEN c > 0.02 THEN 0.58*c + 0.17*k + 0.13*t + 0.12*r ELSE 0.52*k + 0.28*t + 0.2*r END, 6) AS hybrid,
   round(CASE WHEN c > 0.02 THEN 0.55*c + 0.25*(0.82*k + 0.18*t) + 0.1*r + 0.1*e
     ELSE 0.42*(0.82*k + 0.18*t) + 0.33*r + 0.25*e END, 6) AS production FROM x"""

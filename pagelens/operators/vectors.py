@@ -1,8 +1,7 @@
-"""Vector work on Arrow batches: embedding chunks and exact nearest neighbours.
+"""Vector work on Arrow batches: embedding texts, and exact nearest neighbours.
 
-A block of query vectors travels with the task; its size is bounded by the caller. Each batch of
-library vectors is compared with the whole block in one matrix product and only the batch's best
-rows per query leave the task.
+Neighbours are found on a grid: library vectors and queries are cut into parts, and each cell compares
+one part of either in one matrix product. Only a cell's best rows per query leave it.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from pagelens.functions.text import collapse
 from pagelens.model import EMBEDDED, FAILED, PENDING, SKIPPED
 from pagelens.operators.ranking import TIE_DIGITS
 
+#: Vectors on either side of a cell, give or take the unevenness of a hash.
 BLOCK_ROWS = 4_096
 DIMENSIONS = 384
 DEFAULT_MODEL = "hashing-384"
@@ -40,15 +40,8 @@ def hashing_embedder(texts: list[str]) -> list[np.ndarray | None]:
     return out
 
 
-def embed_chunks(
-    chunks: DataFrame, as_of, make_embedder: Callable[[], Embedder] = lambda: hashing_embedder,
-    model: str = DEFAULT_MODEL, max_chars: int | None = None,
-) -> DataFrame:
-    """Fill in vectors of pending chunks; other chunks pass through untouched.
-
-    ``make_embedder`` is called once per task; ``max_chars`` is for models that read no further. Blank chunks are skipped; a text the embedder
-    cannot handle is marked failed and does not stop the others.
-    """
+def _vectors(make_embedder: Callable[[], Embedder]):
+    """Vectors of a column of texts; null where the embedder cannot handle one."""
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -66,11 +59,33 @@ def embed_chunks(
                         made.append(None)
             yield pd.Series([None if v is None else np.asarray(v, dtype="float32") for v in made])
 
+    return vectors
+
+
+def embed_queries(
+    queries: DataFrame, make_embedder: Callable[[], Embedder] = lambda: hashing_embedder, text: str = "text"
+) -> DataFrame:
+    """``queries`` with the ``vector`` of each text, for searches; null for null and blank texts."""
+    source = collapse(F.coalesce(F.col(text), F.lit("")))
+    made = queries.withColumn("vector", _vectors(make_embedder)(source))
+    return made.withColumn("vector", F.when(source != "", F.col("vector")))
+
+
+def embed_chunks(
+    chunks: DataFrame, as_of, make_embedder: Callable[[], Embedder] = lambda: hashing_embedder,
+    model: str = DEFAULT_MODEL, max_chars: int | None = None,
+) -> DataFrame:
+    """Fill in vectors of pending chunks; other chunks pass through untouched.
+
+    ``make_embedder`` is called once per task; ``max_chars`` is for models that read no further. Blank chunks are skipped; a text the embedder
+    cannot handle is marked failed and does not stop the others.
+    """
+
     source = collapse(F.col("text"))
     if max_chars is not None:
         source = F.substring(source, 1, max_chars)
     waiting = chunks.filter(F.col("embed_state") == PENDING).withColumn("_source", source)
-    done = waiting.withColumn("embedding", vectors("_source"))
+    done = waiting.withColumn("embedding", _vectors(make_embedder)("_source"))
     state = (
         F.when(F.col("_source") == "", SKIPPED)
         .when(F.col("embedding").isNull(), FAILED)
@@ -118,52 +133,40 @@ def best_rows(scores: np.ndarray, ties: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([above, level])
 
 
-def query_blocks(queries: DataFrame, key: str, rows: int = BLOCK_ROWS) -> list[DataFrame]:
-    """Split a query table into parts small enough to travel with every task."""
-    total = queries.count()
-    if total <= rows:
-        return [queries]
-    parts = -(-2 * total // rows)
-    part = F.pmod(F.xxhash64(key), F.lit(parts))
-    return [queries.filter(part == i) for i in range(parts)]
-
+def semantic_top_k(vectors: DataFrame, queries: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact ``k`` nearest ``vectors(vec_id, embedding)`` by cosine of ``queries(query_id, vector)``.
 
-def semantic_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact ``k`` nearest ``vectors(vec_id, embedding)`` by cosine of ``queries(query_id, vector)``."""
-    out = None
-    for block in query_blocks(queries.filter("vector is not null"), "query_id"):
-        found = _nearest(vectors, block, k)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _nearest(vectors: DataFrame, block: DataFrame, k: int) -> DataFrame:
-    rows = block.select("query_id", "vector").toPandas()
-    by_size = {n: part for n, part in rows.groupby(rows["vector"].map(len)) if n > 0}
-    units = {n: (part["query_id"].to_numpy(), unit_rows(part["vector"].tolist())) for n, part in by_size.items()}
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Best rows of this task so far, per query; they leave the task once, at its end.
-        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            ids = batch["vec_id"].to_numpy()
-            for query_ids, matrix in units.values():
-                scores = cosines(batch["embedding"], matrix)
-                for j, query_id in enumerate(query_ids):
-                    old_ids, old = kept.get(query_id, (ids[:0], scores[:0, j]))
-                    every_id, every = np.concatenate([old_ids, ids]), np.concatenate([old, scores[:, j]])
-                    picks = best_rows(np.round(every, TIE_DIGITS), every_id, k)
-                    kept[query_id] = (every_id[picks], every[picks])
-        if kept:
-            sizes = [len(found_ids) for found_ids, _ in kept.values()]
-            yield pd.DataFrame({
-                "query_id": np.repeat(np.array(list(kept)), sizes),
-                "vec_id": np.concatenate([found_ids for found_ids, _ in kept.values()]),
-                "cosine": np.concatenate([found for _, found in kept.values()]),
-            })
-
-    found = vectors.select("vec_id", "embedding").mapInPandas(
-        scan, "query_id long, vec_id long, cosine double"
-    )
+    Both sides are dealt into parts of about ``rows`` rows by their ids, and every part of one meets
+    every part of the other in a cell. Vectors that are missing or of another length count as cosine 0;
+    queries without a vector have no neighbours.
+    """
+    asked = queries.filter(F.size("vector") > 0).select("query_id", "vector")
+    across = max(1, -(-asked.count() // rows))
+    # Small libraries are cut finer, so that there is a cell for every core.
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    down = max(-(-vectors.count() // rows), -(-cores // across))
+
+    def dealt(df: DataFrame, id: str, own: str, parts: int, other: str, copies: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64(id), F.lit(parts)).cast("int").alias(own)
+        return df.select("*", mine, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other))
+
+    ids = {name: df.schema[name].dataType.simpleString() for df, name in ((asked, "query_id"), (vectors, "vec_id"))}
+
+    def nearest(library: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        vec_ids, found = library["vec_id"].to_numpy(), []
+        for _, part in block.groupby(block["vector"].map(len)) if len(library) else ():
+            scores = cosines(library["embedding"], unit_rows(part["vector"].tolist()))
+            rounded = np.round(scores, TIE_DIGITS)
+            for j, query_id in enumerate(part["query_id"]):
+                picks = best_rows(rounded[:, j], vec_ids, k)
+                found.append(pd.DataFrame({"query_id": query_id, "vec_id": vec_ids[picks], "cosine": scores[picks, j]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "cosine": []})
+
+    left = dealt(vectors.select("vec_id", "embedding"), "vec_id", "row", down, "column", across)
+    right = dealt(asked, "query_id", "column", across, "row", down)
+    cells = left.groupBy("row", "column").cogroup(right.groupBy("row", "column"))
     best = Window.partitionBy("query_id").orderBy(F.round("cosine", TIE_DIGITS).desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return (
+        cells.applyInPandas(nearest, f"query_id {ids['query_id']}, vec_id {ids['vec_id']}, cosine double")
+        .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    )

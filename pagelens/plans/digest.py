@@ -14,6 +14,7 @@ from pagelens.operators.budget import fit_budget
 from pagelens.operators.chunks import representative
 from pagelens.operators.spread import top_n
 from pagelens.plans.ask import SMALL_PROMPT, join_blocks
+from pagelens.session import written
 
 # Periods, sizes in characters, listed sources, minutes a digest stays fresh.
 RANGES = {"today": "today", "yesterday": "yesterday", "last_7_days": "in the last 7 days"}
@@ -57,12 +58,17 @@ def digest_order() -> list[Column]:
 
 
 def pack_digest(by_period: DataFrame, chunks: DataFrame, max_chars: int = SMALL_PROMPT) -> DataFrame:
-    """Longest chunk of each document, as many per period as the prompt takes."""
-    wanted = by_period.select("document_id").distinct()
+    """Longest chunk of each document, as many per period as the prompt takes.
+
+    The order does not hang on the texts, so they are read for the documents only that could fit.
+    """
+    room = max_chars - RESERVED
+    cut = by_period.join(chunks.select("document_id"), "document_id", "left_semi")
+    first = written(top_n(cut, ["range"], digest_order(), max(1, room // PER_SOURCE), "document_id").drop("rank"))
+    wanted = F.broadcast(first.select("document_id").distinct())  # a few rows for each period
     best = representative(chunks.join(wanted, "document_id", "left_semi"))
-    rows = by_period.join(best, "document_id")
+    rows = first.join(best, "document_id")
     size = F.least(F.length("text"), F.lit(SHOWN)) + PER_SOURCE
-    room = max_chars - RESERVED
     return fit_budget(
         rows, ["range"], digest_order(), size, F.lit(room), room, PER_SOURCE, "document_id"
     ).drop("used")

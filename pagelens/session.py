@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "2024-01-31T00:00:00Z"
@@ -46,9 +48,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back from there.
+    """Write ``df`` once to the shared folder and read it back, partitioned as it was.
 
-    Used where several later passes read one expensive intermediate.
+    For intermediates whose layout later passes rely on; they read all of its columns.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder as columns: later passes read only those they need."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/written-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

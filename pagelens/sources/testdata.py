@@ -11,7 +11,7 @@ from pagelens.functions import text as T
 from pagelens.functions import urls as U
 from pagelens.model import Library
 from pagelens.operators.chunks import chunk_rows
-from pagelens.session import materialise, use_utc
+from pagelens.session import written, use_utc
 from pagelens.sources.tables import balanced
 
 AS_OF_MS = 1_706_659_200_000
@@ -105,7 +105,7 @@ def page_visits(spark: SparkSession, sf: str) -> DataFrame:
 def _stored(app: str, sf: str) -> Library:
     spark = SparkSession.builder.getOrCreate()
     return Library(
-        materialise(documents(spark, sf)), materialise(chunks(spark, sf)), materialise(visits(spark, sf))
+        written(documents(spark, sf)), written(chunks(spark, sf)), written(visits(spark, sf))
     )
 
 

@@ -71,6 +71,16 @@ def test_backfill_counts_every_address(spark):
     assert library.documents.first()["title"] == "One"
 
 
+def test_backfill_takes_the_version_fetched_last(spark):
+    visits = spark.createDataFrame([("https://a.test/1", "One", ago(days=1), 1)], "url string, title string, visited_at timestamp, seq long")
+    rows = [("https://a.test/1", body("zebra "), 1), ("https://a.test/1#top", body("alpha "), 2), ("https://b.test/", body("other "), 3)]
+    pages = spark.createDataFrame(rows, "url string, html string, fetched_at long")
+    library, funnel = IN.backfill_history(visits, pages, empty(spark), Policy(), as_of())
+    assert funnel.first()["indexed"] == 1
+    texts = [r["text"] for r in library.chunks.collect()]
+    assert texts and all("alpha" in t and "zebra" not in t for t in texts)
+
+
 def test_paused_and_incognito_come_first(spark):
     from pagelens.operators import gate as G
     df = spark.createDataFrame([("not a url", True), ("https://ok.test", False)], "url string, incognito boolean")

@@ -133,4 +133,9 @@ def test_nearest_vectors(spark):
     for q in range(5):
         sims = sorted(((-np.float32(v) @ np.float32(data[q][1]) / np.linalg.norm(np.float32(v)) / np.linalg.norm(np.float32(data[q][1])), i) for i, v in data[:50]))
         assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for _, i in sims[:3]]
+    cells = V.semantic_top_k(vectors, asked, 3, rows=2)
+    assert sorted(cells.collect()) == sorted(got) and "Broadcast" not in cells._jdf.queryExecution().toString()
+    named = V.semantic_top_k(vectors.withColumn("vec_id", F.format_string("%03d", "vec_id")), asked.withColumn("query_id", F.col("query_id").cast("string")), 3, rows=7)
+    assert {(int(r["query_id"]), int(r["vec_id"]), r["rank"]) for r in named.collect()} == {(r["query_id"], r["vec_id"], r["rank"]) for r in got}
+    assert V.semantic_top_k(vectors.limit(0), asked, 3).count() == V.semantic_top_k(vectors, asked.limit(0), 3).count() == 0
     assert pytest and F

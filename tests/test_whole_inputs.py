@@ -67,3 +67,18 @@ def test_vectors_see_whole_chunks(spark):
     whole = V.embed_chunks(chunks, as_of()).first()["embedding"]
     cut = V.embed_chunks(chunks, as_of(), max_chars=8_000).first()["embedding"]
     assert np.allclose(whole, V.hashing_embedder([text])[0]) and not np.allclose(whole, cut)
+
+
+def test_questions_are_compared_by_meaning_with_an_embedder(spark):
+    def by_animal(texts):
+        return [np.array([1.0, 0.0]) if "cat" in t or "feline" in t else np.array([0.0, 1.0]) for t in texts]
+
+    lib = library(spark, [(1, "https://a.test/", "notes", NOW, 0.1), (2, "https://b.test/", "notes", NOW, 0.1)],
+                  [(1, 0, "a feline sleeps", [1.0, 0.0]), (2, 0, "bread is baked", [0.0, 1.0])])
+    questions = spark.createDataFrame([(1, "where does the cat rest")], "question_id long, question string")
+    _, plain = ask.build_contexts(questions, lib, as_of())
+    _, meant = ask.build_contexts(questions, lib, as_of(), embedder=lambda: by_animal)
+    assert {r["cosine"] for r in plain.collect()} <= {None, 0.0}
+    assert meant.orderBy("n").first()["document_id"] == 1 and meant.orderBy("n").first()["cosine"] > 0.99
+    blank = spark.createDataFrame([(1, " "), (2, None)], "query_id long, text string")
+    assert [r["vector"] for r in V.embed_queries(blank).collect()] == [None, None]

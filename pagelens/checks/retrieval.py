@@ -123,7 +123,7 @@ PROFILE_SCORES = "WITH " + DOCS + ", " + CHUNKS + f""",
 x AS (SELECT c.document_id, c.chunk_id, d.importance AS e, {Q.keyword_score('c.text', "d.domain || ' ' || d.title")} AS k,
   {Q.keyword_score('d.title', 'd.summary')} AS t, {Q.recency('visited_ms')} AS r,
   coalesce({COSINE}, 0.0) AS c
-  FROM chunks c JOIN docs d USING (document_id) LEFT JOIN embeddings b ON b.vec_id = c.document_id
+  FROM chunks c JOIN docs d USING (document_id) LEFT JOIN embeddings b ON b.vec_id = c.document_id AND c.ord = 0
   LEFT JOIN embeddings a ON a.vec_id = c.document_id - 1)
 SELECT document_id, chunk_id, round(k, 6) AS keyword, round(t, 6) AS title_match, round(r, 6) AS recency, round(c, 6) AS cosine,
   round(CASE WHEN c > 0.02 THEN 0.58*c + 0.17*k + 0.13*t + 0.12*r ELSE 0.52*k + 0.28*t + 0.2*r END, 6) AS hybrid,

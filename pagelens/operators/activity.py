@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.operators.spread import next_value, running
+from pagelens.session import written
 
 WINDOW_MS = 60_000
 # Allowed calls per minute for each kind of request.
@@ -40,23 +41,26 @@ def rate_limit(
     A pause of a whole window clears a key's state, so calls are cut into runs at such pauses.
     Runs of at most ``limit`` calls are all allowed without any ordering work. The others are
     streamed in time order through a task that remembers ``limit`` times, never a whole key.
+    A null key is a key like others; calls without a time are refused.
     """
-    timed = calls.withColumn("_ms", F.unix_millis("ts")).withColumn(
+    undated = calls.filter("ts is null").withColumn("allowed", F.lit(False))
+    timed = calls.filter("ts is not null").withColumn("_ms", F.unix_millis("ts")).withColumn(
         "_bucket", F.date_trunc("HOUR", "ts")
     )
     after = [F.col("_ms"), F.col(order)]
     ends = next_value(timed, [key], "_bucket", after, "_ms", "_next")
     last = (F.col("_next").isNull() | (F.col("_next") - F.col("_ms") >= window_ms)).cast("long")
     runs = running(ends, [key], "_bucket", after, {"_ended": last})
-    runs = runs.withColumn("_run", F.col("_ended") - last).drop("_next", "_ended")
-    sizes = runs.groupBy(key, "_run").agg(F.count("*").alias("_size"))
-    sized = runs.join(sizes, [key, "_run"])
+    runs = runs.withColumn("_run", F.to_json(F.struct(key, (F.col("_ended") - last).alias("_run"))))
+    runs = written(runs.select(*calls.columns, "_ms", "_run"))
+    sizes = runs.groupBy("_run").agg(F.count("*").alias("_size"))
+    sized = runs.join(sizes, "_run")
 
     quiet = sized.filter(F.col("_size") <= limit).select(*calls.columns, F.lit(True).alias("allowed"))
     busy = (
         sized.filter(F.col("_size") > limit)
-        .repartition(key, "_run")
-        .sortWithinPartitions(key, "_run", "_ms", order)
+        .repartition("_run")
+        .sortWithinPartitions("_run", "_ms", order)
         .select(*calls.columns, "_run", "_ms")
     )
 
@@ -64,9 +68,9 @@ def rate_limit(
         current, recent = None, deque()
         for batch in batches:
             verdicts = []
-            starts = batch[[key, "_run"]].ne(batch[[key, "_run"]].shift()).any(axis=1).cumsum()
+            starts = batch["_run"].ne(batch["_run"].shift()).cumsum()
             for _, part in batch.groupby(starts, sort=False):
-                run = (part[key].iat[0], part["_run"].iat[0])
+                run = part["_run"].iat[0]
                 if run != current:
                     current, recent = run, deque()
                 verdicts.append(admit(part["_ms"].to_numpy(), recent, limit, window_ms))
@@ -74,12 +78,15 @@ def rate_limit(
             out["allowed"] = np.concatenate(verdicts) if verdicts else []
             yield out
 
-    return quiet.unionByName(busy.mapInPandas(decide, quiet.schema))
+    return quiet.unionByName(busy.mapInPandas(decide, quiet.schema)).unionByName(undated)
 
 
 def idle_capture(events: DataFrame, key: str, gap_seconds: int, order: str) -> DataFrame:
-    """Last event of each quiet period: nothing of the same key follows within the gap."""
-    timed = events.withColumn("_bucket", F.date_trunc("DAY", "ts"))
+    """Last event of each quiet period: nothing of the same key follows within the gap.
+
+    A null key is a key like others; events without a time belong to no period.
+    """
+    timed = events.filter("ts is not null").withColumn("_bucket", F.date_trunc("DAY", "ts"))
     followed = next_value(timed, [key], "_bucket", [F.col("ts"), F.col(order)], "ts", "_next")
     pause = F.unix_micros("_next") - F.unix_micros("ts")
     quiet = F.col("_next").isNull() | (pause >= gap_seconds * 1_000_000)

@@ -38,6 +38,11 @@ def top_n(
     return kept.withColumn(rank, F.row_number().over(_window(keys, order))).filter(F.col(rank) <= n)
 
 
+def _place(keys: Sequence[str], bucket: str) -> Column:
+    """Key and bucket as one value that is never null, so that joins by equality lose none."""
+    return F.struct(*keys, bucket).alias("_place")
+
+
 def bucket_totals(
     df: DataFrame, keys: Sequence[str], bucket: str, sums: dict[str, Column], descending: bool = False
 ) -> DataFrame:
@@ -63,15 +68,15 @@ def running(
     """Running sums per key up to and including each row.
 
     ``bucket`` must be monotone in ``order``. Each bucket is summed by itself; the sums of the
-    earlier buckets come from one row per key and bucket.
+    earlier buckets come from one row per key and bucket. Null keys and buckets count like others.
     """
     totals = bucket_totals(df, keys, bucket, sums, descending)
-    offsets = totals.drop(*sums)
-    inside = _window([*keys, bucket], order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df
+    offsets = totals.select(_place(keys, bucket), *[f"{name}_before" for name in sums])
+    inside = _window(["_place"], order).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumn("_place", _place(keys, bucket))
     for name, value in sums.items():
         out = out.withColumn(name, F.sum(value).over(inside))
-    out = out.join(offsets, [*keys, bucket])
+    out = out.join(offsets, "_place").drop("_place")
     for name in sums:
         out = out.withColumn(name, F.col(name) + F.col(f"{name}_before")).drop(f"{name}_before")
     return out
@@ -95,13 +100,13 @@ def next_value(
     """``value`` of the following row of the same key, looked up across buckets; null at the end."""
     firsts = df.groupBy(*keys, bucket).agg(F.min(value).alias("_first"))
     over = _window(keys, [F.col(bucket)])
-    following = firsts.withColumn("_following", F.lead("_first").over(over)).drop("_first")
-    inside = F.lead(value).over(_window([*keys, bucket], order))
+    following = firsts.withColumn("_following", F.lead("_first").over(over)).select(_place(keys, bucket), "_following")
     return (
-        df.withColumn(name, inside)
-        .join(following, [*keys, bucket])
+        df.withColumn("_place", _place(keys, bucket))
+        .withColumn(name, F.lead(value).over(_window(["_place"], order)))
+        .join(following, "_place")
         .withColumn(name, F.coalesce(F.col(name), F.col("_following")))
-        .drop("_following")
+        .drop("_following", "_place")
     )
 
 

@@ -1,9 +1,11 @@
 import random
 from datetime import timedelta
 
-from helpers import NOW
+from helpers import NOW, ago
+from pyspark.sql import functions as F
 
 from pagelens.operators import activity as A
+from pagelens.operators.spread import number_rows
 
 
 def calls(spark, rows):
@@ -40,3 +42,21 @@ def test_idle_capture_waits_for_quiet(spark):
     rows = [("a", 0), ("a", 2), ("a", 10), ("a", 14), ("b", 3)]
     got = A.idle_capture(calls(spark, rows), "key", 5, "call_id")
     assert sorted(r["call_id"] for r in got.collect()) == [1, 3, 4]
+
+
+def test_null_keys_and_times_are_decided_too(spark):
+    rows = [(i, None if i % 2 else "a", ago(seconds=100 - i)) for i in range(12)] + [(50, "a", None), (51, None, None)]
+    calls = spark.createDataFrame(rows, "call_id long, key string, ts timestamp")
+    got = {r["call_id"]: r["allowed"] for r in A.rate_limit(calls, "key", 4).collect()}
+    assert got == {i: i < 8 for i in range(12)} | {50: False, 51: False}
+    last = A.idle_capture(calls, "key", 30, "call_id").collect()
+    assert sorted(r["call_id"] for r in last) == [10, 11]
+    every = number_rows(calls.withColumn("day", F.to_date("ts")), ["key"], "day", [F.col("ts"), F.col("call_id")], "n")
+    assert sorted(r["n"] for r in every.collect()) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 6, 7, 7]
+
+
+def test_rate_limits_read_what_was_numbered_once(spark, tmp_path):
+    rows = [(i, f"k{i % 3}", ago(seconds=i)) for i in range(90)]
+    spark.createDataFrame(rows, "call_id long, key string, ts timestamp").write.parquet(str(tmp_path / "calls"))
+    plan = A.rate_limit(spark.read.parquet(str(tmp_path / "calls")), "key", 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 5 and "Window" not in plan

@@ -12,13 +12,16 @@ from pagelens.llm import decontam, jaccard, packing, pii, toxicity
 from pagelens.llm.common import stored, table
 from pagelens.llm.queries import toxicity_model
 
+#: Words of a shingle, and the share of shingles in common from which documents are near duplicates.
+SHINGLE, PERCENT = 5, 80
+
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, width=SHINGLE, percent=PERCENT)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelens.llm.common import bounded_batches, discard, slices, stored, tidied
 from pagelens.llm.components import components
@@ -270,6 +271,22 @@ def links(docs: DataFrame, all: DataFrame, id: str, text: str, width: int, perce
     return out
 
 
+def _grouped(docs: DataFrame, id: str, text: str, width: int, percent: int) -> DataFrame:
+    """``doc_id, n, set, root, component_id``, one row per document; no ``set`` and ``root`` where there are no shingles."""
+    whole = described(docs, id, text, width, percent)
+    found = links(docs, whole, id, text, width, percent)
+    all = stored(whole.select("doc_id", "n", "set"), "sets-of-documents")
+    discard(whole)
+    roots = components(found)
+    classes = all.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"))
+    rooted = classes.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    lowest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = rooted.join(lowest, "root").select("set", "root", "component_id")
+    # Most classes are a single document's; the copies of one class are spread by the join's own splitting.
+    out = all.select("doc_id", "n", "set").join(named, "set", "left")
+    return out.select("doc_id", "n", "set", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row per document.
 
@@ -283,30 +300,48 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     repeated rows. A null id is reported as null and never the smallest, unless all of a component are.
     Very long texts are read whole. Empty table: no rows. Other columns are ignored.
     """
-    whole = described(docs, id, text, width, percent)
-    found = links(docs, whole, id, text, width, percent)
-    all = stored(whole.select("doc_id", "n", "set"), "sets-of-documents")
-    discard(whole)
-    roots = components(found)
-    classes = all.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"))
-    rooted = classes.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    lowest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(lowest, "root").select("set", "component_id")
-    # Most classes are a single document's; the copies of one class are spread by the join's own splitting.
-    out = all.select("doc_id", "n", "set").join(named, "set", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = _grouped(docs, id, text, width, percent)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _with_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """``docs`` with the id of each text's set as ``_set``; null where there are no shingles."""
+    place, names = docs.columns.index(text), docs.columns
+
+    @tidied
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, place):
+                found = [shingles(t or "", width) for t in part.column(place).to_pylist()]
+                ids = pa.array([set_id(f) if len(f) else None for f in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*names, "_set"])
+
+    return docs.mapInArrow(label, T.StructType([*docs.schema.fields, T.StructField("_set", T.LongType())]))
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the document with the smallest id.
 
-    All columns stay. Of rows that repeat an id one stays; rows with null ids stay if no other row is like them.
+    All columns stay. An id may stand for several texts, and be null: each text is decided on by its own
+    component, where null ids come last and of several sets of one id one stays. Of rows equal in id and
+    set one stays; so it does of rows that repeat an id without words, but null ids without words all stay.
     """
-    found = stored(near_duplicates(docs, id, text, width, percent), "near-duplicates")
-    gone = _small(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
-    out = docs.join(gone, F.col(id).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    repeated = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count()
-    return out.dropDuplicates([id]) if repeated else out
+    found = stored(_grouped(docs, id, text, width, percent).select("doc_id", "set", "root", "component_id"), "near-duplicates")
+    own = F.col(id).cast("long")
+    if not found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        gone = _small(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")))
+        return docs.join(gone, own.eqNullSafe(F.col("_gone")), "left_anti")
+    texts = found.filter("set is not null")
+    first = texts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "set")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("_kept"), F.col("first.set").alias("_of"))
+    gone = texts.select(F.col("doc_id").alias("_gone"), F.col("set").alias("_from")).distinct()
+    gone = _small(stored(gone.join(kept, F.col("_gone").eqNullSafe(F.col("_kept")) & (F.col("_from") == F.col("_of")), "left_anti"), "gone"))
+    out = _with_sets(docs, text, width).join(gone, own.eqNullSafe(F.col("_gone")) & (F.col("_set") == F.col("_from")), "left_anti")
+    same = found.filter("doc_id is not null or set is not null").groupBy("doc_id", "set").count().filter("count > 1")
+    if same.limit(1).count():
+        apart = F.when(F.col(id).isNull() & F.col("_set").isNull(), F.monotonically_increasing_id())
+        out = out.withColumn("_apart", apart).dropDuplicates([id, "_set", "_apart"]).drop("_apart")
+    return out.drop("_set")
 
 
 ORACLE_SQL = r"""

@@ -75,6 +75,22 @@ def test_one_of_each_group_stays(spark):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_are_decided_by_text(spark, monkeypatch):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, near, "first"), (None, near + " end", "copy"), (None, "a text of its own", "lone"), (None, "and one more text", "more"), (None, "AND one more text", "again"),
+            (3, near.upper(), "copy"), (3, "the other text of three", "other"), (4, "one text of four", "one"), (4, "another text of four", "two"), (4, "One text of four", "repeat"),
+            (7, near + " last", "copy"), (8, None, "empty"), (8, "", "empty"), (8, "words of eight", "eight"), (None, None, "none"), (None, " ", "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, set string").repartition(3)
+    for bound in (500_000, 0):
+        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", bound)
+        kept = jaccard.keep_one(docs)
+        assert kept.columns == docs.columns
+        got = sorted((str(r["doc_id"]), " ".join((r["text"] or "").lower().split()[:5])) for r in kept.collect())
+        wanted = [("1", "w0 w1 w2 w3 w4"), ("3", "the other text of three"), ("4", "another text of four"), ("4", "one text of four"), ("8", ""), ("8", "words of eight"),
+                  ("None", ""), ("None", ""), ("None", "a text of its own"), ("None", "and one more text")]
+        assert got == wanted
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 50, 1 << jaccard.CELL_BITS).astype(np.uint32)

@@ -3,8 +3,8 @@
 Every word is predicted from the words on both sides of it. The network adds an embedding per place and
 context word, squashes the sum, and gives the word's probability as that of its class times that of the
 word within the class. It is trained in numpy where the documents lie: each task goes down the gradient
-over a fixed share of all windows, and the tasks' weights are averaged by the windows behind them after
-each round. Scores are sums of the conditional log probabilities.
+over its windows, dealt over the rounds so that every one is used, and the tasks' weights are averaged
+by the windows behind them after each round. Scores are sums of the conditional log probabilities.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ WORDS, RARE, CLASSES = 960, 63, 32
 #: One id more for the edge of a text. Width of the hidden layer, words on each side.
 EDGE, WIDTH, REACH = WORDS + RARE, 24, 2
 SIZE = (EDGE + 1) // CLASSES
-#: Every ``SHARE``-th window is trained on; rounds of averaging; step and windows of a step.
-SHARE, ROUNDS, RATE, BATCH = 12, 2, 0.5, 2048
+#: Rounds of averaging; step and windows of a step.
+ROUNDS, RATE, BATCH = 2, 0.5, 2048
+#: A round trains on every ``SHARE``-th window, the next one from another offset on: together on all of them.
+SHARE = ROUNDS
 #: Tokens of a text that are scored together.
 TOKENS = 1 << 16
 
@@ -116,7 +118,10 @@ class Network:
         back *= (1 - h * h) * (rate / n)
         self.bias -= back.sum(axis=0)
         for place, around in zip(self.embed, context, strict=True):
-            np.subtract.at(place, around, back)
+            order = np.argsort(around, kind="stable")
+            sorted_ = around[order]
+            starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+            place[sorted_[starts]] -= np.add.reduceat(back[order], starts, axis=0)
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
@@ -161,7 +166,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fit(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, Network]:
-    """Vocabulary and network of a corpus; both take in all of its texts.
+    """Vocabulary and network of a corpus; both take in all of its texts, the network every window of them.
 
     Ties in frequency go to the smaller fingerprint. Null and empty texts have no words. Without any
     word the network keeps its first weights.

@@ -27,6 +27,17 @@ def test_shuffled_texts_score_lower(spark, monkeypatch):
     assert got[0] > untrained + 1
 
 
+def test_words_of_all_places_are_learned(spark, monkeypatch):
+    # Every text has the same word at the same place; the steps are small, the share of windows is the usual one.
+    monkeypatch.setattr(lm, "BATCH", 32)
+    text = " ".join(f"place{i}" for i in range(24))
+    docs = spark.createDataFrame([(i, text) for i in range(800)], "doc_id long, text string").coalesce(1)
+    vocabulary, network = lm.fit(docs)
+    ids = vocabulary(lm.hashed_words(text))
+    gained = network.log_probabilities(lm.contexts(ids), ids) - lm.Network().log_probabilities(lm.contexts(ids), ids)
+    assert gained.min() > 5
+
+
 def test_probabilities_sum_to_one_and_blocks_agree(monkeypatch):
     random_ = np.random.default_rng(0)
     network = lm.Network(lm.Network().flat * 5)

@@ -4,7 +4,9 @@ Every word is predicted from the words on both sides of it. The network adds an
 context word, squashes the sum, and gives the word's probability as that of its class times that of the
 word within the class. It is trained in numpy where the documents lie: each task goes down the gradient
 over its windows, dealt over the rounds so that every one is used, and the tasks' weights are averaged
-by the windows behind them after each round. Scores are sums of the conditional log probabilities.
+by the windows behind them after each round. Words without an id of their own share one by their hash; such a word has the share of its
+id's probability that it has of the id's occurrences in the corpus, from the table of all counts. Scores
+are sums of the conditional log probabilities.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import slices, tidied
+from pagelens.llm.common import discard, slices, stored, tidied
 from pagelens.llm.fingerprints import of_ranges
 
 #: Words with an id of their own; all others share the last ids by their hash. Classes of equal size.
@@ -31,6 +33,8 @@ ROUNDS, RATE, BATCH = 2, 0.5, 2048
 SHARE = ROUNDS
 #: Tokens of a text that are scored together.
 TOKENS = 1 << 16
+#: Rows of the table of rare words' counts that are sent to all executors; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 LOWER = np.array([c | 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 PLACES = [p for p in range(-REACH, REACH + 1) if p]
@@ -46,9 +50,15 @@ def hashed_words(text: str) -> np.ndarray:
 
 
 class Vocabulary:
-    """Ids of words by their fingerprints: the most frequent words first, in classes of like frequency."""
+    """Ids of words by their fingerprints: the most frequent words first, in classes of like frequency.
 
-    def __init__(self, frequent: list[int]):
+    ``rare`` has ``counted, log_n`` of the words that share an id and were counted more than once; ``shared``
+    how many occurrences each shared id has. One more is left for all words that were never counted.
+    """
+
+    def __init__(self, frequent: list[int], rare: DataFrame | None = None, shared: dict[int, int] | None = None):
+        self.rare = rare
+        self.log_shared = np.log([1.0 + (shared or {}).get(i, 0) for i in range(RARE)])
         found = np.array(frequent[:WORDS], np.int64).view(np.uint64)
         order = np.argsort(found)
         self.hashes, self.ids = found[order], order.astype(np.int32)
@@ -61,6 +71,10 @@ class Vocabulary:
             out[known] = self.ids[at[known]]
         return out
 
+    def __getstate__(self) -> dict:
+        """What tasks need; the table stays with the driver."""
+        return {**self.__dict__, "rare": None}
+
 
 class Network:
     def __init__(self, weights: np.ndarray | None = None):
@@ -171,8 +185,14 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, Network]:
     Ties in frequency go to the smaller fingerprint. Null and empty texts have no words. Without any
     word the network keeps its first weights.
     """
-    frequent = count_words(docs, text).orderBy(F.desc("n"), "word").limit(WORDS).select("word").collect()
-    vocabulary, network = Vocabulary([r["word"] for r in frequent]), Network()
+    counts = stored(count_words(docs, text), "word-counts")
+    frequent = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).select("word").collect()]
+    rare = counts.filter(~F.col("word").isin(frequent))
+    shared = rare.groupBy((F.shiftrightunsigned("word", 7) % RARE).cast("int").alias("id")).agg(F.sum("n").alias("n")).collect()
+    # The logarithm of a single occurrence is 0.
+    several = stored(rare.filter("n > 1").select(F.col("word").alias("counted"), F.log("n").alias("log_n")), "rare-words")
+    discard(counts)
+    vocabulary, network = Vocabulary(frequent, several, {r["id"]: r["n"] for r in shared}), Network()
     texts, context = docs.select(F.col(text).cast("string").alias("text")), docs.sparkSession.sparkContext
     for turn in range(ROUNDS):
         given = context.broadcast(network.flat)
@@ -243,11 +263,13 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, id: str = "
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, with ``times`` 0, and one for each of its words that share an id."""
         known, weights = shared.value
         net = Network(weights)
         for batch in batches:
-            for part in slices(batch, 1):
-                found = [known(hashed_words(t or "")) for t in part.column(1).to_pylist()]
+            for part in slices(batch, 2):
+                words = [hashed_words(t or "") for t in part.column(2).to_pylist()]
+                found = [known(w) for w in words]
                 sizes = np.array([len(f) for f in found])
                 sums = np.zeros(len(found))
                 # Short texts are scored together, up to so many tokens.
@@ -262,8 +284,33 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, id: str = "
                         each = net.log_probabilities(np.concatenate([contexts(f) for f in found[start:end]], axis=1), np.concatenate(found[start:end]))
                         sums[start:end] = np.bincount(np.repeat(np.arange(end - start), sizes[start:end]), each, end - start)
                     start = end
-                means = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(sums), pa.array(means, pa.float64())], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
-
-    given = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return given.mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+                all, of, ids = np.concatenate(words), np.repeat(np.arange(len(found)), sizes), np.concatenate(found)
+                rare = ids >= WORDS
+                all, of = all[rare], of[rare]
+                sums -= np.bincount(of, known.log_shared[ids[rare] - WORDS], len(found))
+                order = np.lexsort((all, of))
+                all, of = all[order], of[order]
+                firsts = np.flatnonzero(np.append(True, (all[1:] != all[:-1]) | (of[1:] != of[:-1]))[: len(all)])
+                times = np.diff(np.append(firsts, len(all)))
+                rows = part.column(0).to_numpy()
+                # Rows of texts are joined with nothing; keys of their own spread them.
+                keys = rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                nothing = pa.nulls(len(firsts), pa.int64())
+                columns = [
+                    (pa.array(rows), pa.array(rows[of[firsts]])), (part.column(1), nothing), (pa.array(sizes, pa.int64()), nothing),
+                    (pa.array(sums), pa.array(np.zeros(len(firsts)))), (pa.array(keys.view(np.int64)), pa.array(all[firsts].view(np.int64))),
+                    (pa.array(np.zeros(len(rows), np.int64)), pa.array(times, pa.int64()))]
+                names = ["row", "doc_id", "n_words", "log_likelihood", "word", "times"]
+                for kind in range(2):
+                    yield pa.RecordBatch.from_arrays([c[kind] for c in columns], names)
+
+    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    out = given.mapInArrow(run, "row long, doc_id long, n_words long, log_likelihood double, word long, times long")
+    if vocabulary.rare is not None:
+        rare = vocabulary.rare
+        rare = F.broadcast(rare) if rare.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rare
+        out = out.join(rare, (F.col("word") == F.col("counted")) & (F.col("times") > 0), "left")
+        out = out.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce(F.col("times") * F.col("log_n"), F.lit(0.0)))
+    out = out.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("log_likelihood").alias("log_likelihood"))
+    mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+    return out.select("doc_id", "n_words", "log_likelihood", mean.alias("mean_log_likelihood"))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -38,6 +39,31 @@ def test_words_of_all_places_are_learned(spark, monkeypatch):
     assert gained.min() > 5
 
 
+def test_rare_words_have_their_share_of_a_shared_id(spark, monkeypatch):
+    words = [f"often{i}" for i in range(lm.WORDS)]
+    rare = [f"rare{i}" for i in range(400) for _ in range(1 + i % 3)]
+    texts = [" ".join(words)] * 4 + [" ".join(rare[i::5]) for i in range(5)] + ["rare1 rare1 often5", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    vocabulary, network = lm.fit(docs)
+    counts = Counter(w for t in texts for w in t.split())
+    shared = Counter()
+    for w, n in counts.items():
+        shared[int(vocabulary(lm.hashed_words(w))[0])] += n
+    fresh = [*texts, "rare3 never rare5 seen often1 rare5"]
+    given = spark.createDataFrame([(7 if i < 2 else None if i == 2 else i, t) for i, t in enumerate(fresh)], "doc_id long, text string")
+    wanted = []
+    for d, t in [(r["doc_id"], r["text"]) for r in given.collect()]:
+        ids = vocabulary(lm.hashed_words(t))
+        total = lm.log_likelihoods(ids, network) if t else 0.0
+        total += sum(np.log(counts.get(w, 1) / (shared[int(i)] + 1)) for w, i in zip(t.split(), ids, strict=True) if i >= lm.WORDS)
+        wanted.append((d, len(ids), round(total, 1)))
+    for bound in (500_000, 0):
+        monkeypatch.setattr(lm, "BROADCAST_ROWS", bound)
+        got = lm.score(given, vocabulary, network).collect()
+        assert sorted(((r["doc_id"], r["n_words"]) for r in got), key=str) == sorted(((d, n) for d, n, _ in wanted), key=str)
+        assert np.allclose(sorted(r["log_likelihood"] for r in got), sorted(x for _, _, x in wanted), atol=0.2)
+
+
 def test_probabilities_sum_to_one_and_blocks_agree(monkeypatch):
     random_ = np.random.default_rng(0)
     network = lm.Network(lm.Network().flat * 5)

@@ -12,6 +12,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -103,7 +104,9 @@ def _folded(c: str) -> str:
     return c
 
 
-FOLDS = re.compile("[" + "".join(map(re.escape, (*LETTERS, *SIGNS, *INVISIBLE))) + "！-～٠-٩۰-۹०-९\U0001d400-\U0001d7ff]")
+#: The first of each ten decimal digits outside ASCII; they follow each other.
+ZEROS = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.decimal(c, None) == 0]
+FOLDS = re.compile("[" + "".join(map(re.escape, (*LETTERS, *SIGNS, *INVISIBLE))) + "！-～" + "".join(f"{z}-{chr(ord(z) + 9)}" for z in ZEROS) + "\U0001d400-\U0001d7ff]")
 
 #: Names of the digits in the languages of the corpus.
 SPELLED = {
@@ -113,14 +116,15 @@ SPELLED = {
     **dict(zip("cero uno dos tres cuatro cinco seis siete ocho nueve".split(), "0123456789", strict=True)),
     "oh": "0", "zwo": "2", "nought": "0",
 }
-NAME = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r"|[0-9])"
+NAME = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r"|[0-9]++)(?!\w)"
 DOT = r"(?:dot|punto|punkt|point)"
-BETWEEN = rf"(?:[\x20,-]{{1,3}}|[\x20]{DOT}[\x20])"
-#: A run of at least this many digits, most of them spelled, is a number; shorter ones are words.
+BETWEEN = rf"(?:[\x20,()-]{{1,3}}|\.|[\x20]{DOT}[\x20])"
+#: A run of at least this many spelled digits is a number; one with fewer if its figures are an address, a card or a phone.
 LEAST_SPELLED = 7
-SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus[\x20])?{NAME}(?:{BETWEEN}{NAME}){{{LEAST_SPELLED - 1},}}+(?!\w)", re.I)
-PIECE = re.compile(rf"plus|{DOT}|{NAME}", re.I)
-SPELLED_HINT = re.compile(rf"(?<!\w)(?:{'|'.join(SPELLED)})[\x20,-]{{1,3}}(?:{'|'.join(SPELLED)}|[0-9])(?!\w)", re.I)
+SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus[\x20]|\+[\x20(]{{0,2}})?{NAME}(?:{BETWEEN}{NAME})++", re.I)
+PIECE = re.compile(rf"plus|\+|(?P<dot>(?<=[\x20]){DOT}(?=[\x20])|\.)|{NAME}", re.I)
+#: Pieces of the longest IP: twelve digits, three dots.
+IP_PIECES = 15
 
 OPEN, CLOSE = r"[\x20]{0,2}[(\[{<][\x20]{0,2}", r"[\x20]{0,2}[)\]}>][\x20]{0,2}"
 AT_WORD = r"(?:at|arroba|arobase)"
@@ -161,25 +165,82 @@ def fold(r: Rewritten) -> None:
     r.replace([(m.start(), m.end(), new) for m in FOLDS.finditer(r.text) if (new := _folded(m.group())) != m.group()])
 
 
-def read_digits(r: Rewritten) -> list[tuple[int, int]]:
-    """Spelled digits to figures; returns where the runs stand in the source."""
-    changes, runs = [], []
-    for run in SPELLED_RUN.finditer(r.text):
-        names, pieces = set(), []
-        spelled = 0
-        for m in PIECE.finditer(run.group()):
+def _figures(pieces: list[tuple]) -> str:
+    return "".join(p[2] for p in pieces)
+
+
+def _long(pieces: list[tuple]) -> bool:
+    # The same word over and over is noise rather than a number.
+    names = [p[3] for p in pieces if p[3] in SPELLED]
+    return len(names) >= LEAST_SPELLED and len(set(names)) >= 2
+
+
+def _shows(pieces: list[tuple]) -> bool:
+    """Whether the figures are an IP, a phone with its plus, or a card."""
+    found = _figures(pieces)
+    if found.count(".") == 3 and "+" not in found:
+        return (ip := IP.fullmatch(found)) is not None and is_ip(ip.groups())
+    if not found or "." in found or len(set(found) - {"+"}) < 2:
+        return False
+    return is_phone(found) if found[0] == "+" else is_card(found)
+
+
+def _numbers(pieces: list[tuple]) -> Iterator[list[tuple]]:
+    """The parts of a run that are read as numbers: all of it, or else what within it is one."""
+    if _shows(pieces):
+        # Words beside a number that stands in figures alone aren't part of it.
+        words = [p[3].isalpha() for p in pieces]
+        first, last = words.index(False) if False in words else 0, len(words) - words[::-1].index(False) if False in words else len(words)
+        if any(words[first:last]) or not _shows(pieces[first:last]):
+            yield pieces
+        return
+    single = [list(g) for same, g in groupby(pieces, lambda p: len(p[2]) == 1) if same]
+    if any(_long(part) for part in single):
+        yield from filter(_long, single)
+        return
+    if _long(pieces):
+        yield pieces
+        return
+    if pieces[0][2] == "+":
+        for end in range(min(len(pieces) - 1, 16), 1, -1):
+            if _shows(pieces[:end]):
+                if any(p[3].isalpha() for p in pieces[:end]):
+                    yield pieces[:end]
+                return
+    at = 0
+    while sum(p[2] == "." for p in pieces[at : at + IP_PIECES]) >= 3 or at + IP_PIECES < len(pieces):
+        end = next((e for e in range(min(at + IP_PIECES, len(pieces)), at + 6, -1) if _ends(pieces, at, e) and _shows(pieces[at:e])), None)
+        if end and any(p[3].isalpha() for p in pieces[at:end]):
+            yield pieces[at:end]
+        at = end or at + 1
+
+
+def _ends(pieces: list[tuple], start: int, end: int) -> bool:
+    """Whether a part that looks like an IP is one of its own, not cut out of a longer dotted row."""
+    return not (start and pieces[start - 1][2] == "." or end < len(pieces) and pieces[end][2] == ".")
+
+
+def spelled_numbers(text: str) -> list[tuple[int, int, str, bool]]:
+    """Where digits spelled as words, all or some of them, are numbers: ``start, end, figures``, and whether a long run."""
+    out = []
+    for run in SPELLED_RUN.finditer(text):
+        pieces = []
+        for m in PIECE.finditer(text, run.start(), run.end()):
             word = m.group().lower()
-            if word in SPELLED:
-                names.add(word)
-                spelled += 1
-                pieces.append(SPELLED[word])
-            else:
-                pieces.append("+" if word == "plus" else word if word.isdigit() else ".")
-        # The same word over and over is noise rather than a number.
-        if spelled >= LEAST_SPELLED and len(names) >= 2:
-            changes.append((run.start(), run.end(), "".join(pieces)))
-            runs.append(r.source(run.start(), run.end()))
-    r.replace(changes)
+            pieces.append((m.start(), m.end(), "+" if word in ("plus", "+") else "." if m["dot"] else SPELLED.get(word, word), word))
+        if not any(p[3].isalpha() for p in pieces):
+            continue
+        # A comma ends what has dots.
+        cuts = [i for i in range(1, len(pieces)) if "," in text[pieces[i - 1][1] : pieces[i][0]]] if any(p[2] == "." for p in pieces) else []
+        for a, b in zip([0, *cuts], [*cuts, len(pieces)], strict=True):
+            out += [(part[0][0], part[-1][1], _figures(part), _long(part)) for part in _numbers(pieces[a:b])]
+    return out
+
+
+def read_digits(r: Rewritten, found: list[tuple[int, int, str, bool]]) -> list[tuple[int, int, str]]:
+    """Spelled numbers to figures; returns where the long ones stand in the source, and their figures."""
+    runs = [(*r.source(a, b), new) for a, b, new, long in found if long]
+    r.replace([(a, b, new) for a, b, new, _ in found])
     return runs
 
 
@@ -193,25 +254,23 @@ def read_addresses(r: Rewritten) -> None:
 def disguised(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Identifiers that show only after rewriting, some of them wider than what a plain one found."""
     folds = not text.isascii() and FOLDS.search(text) is not None
-    spelled, address = SPELLED_HINT.search(text) is not None, ADDRESS_HINT.search(text) is not None
+    spelled, address = [] if folds else spelled_numbers(text), ADDRESS_HINT.search(text) is not None
     if not (folds or spelled or address):
         return []
-    r, runs = Rewritten(text), []
+    r = Rewritten(text)
     if folds:
         fold(r)
-    if spelled or folds:
-        runs = read_digits(r)
+        spelled = spelled_numbers(r.text)
+    runs = read_digits(r, spelled)
     if address or folds:
         read_addresses(r)
     if r.text == text:
         return []
     out = [(*r.source(a, b), kind) for a, b, kind in plain(r.text)]
-    digits = Rewritten(text)
     # A spelled number as long as a phone's is one, also without its plus.
     held = {(a, b) for a, b, _ in out}
-    for a, b in runs:
-        n = sum(w.group().lower() in SPELLED or w.group().isdigit() for w in PIECE.finditer(digits.text[a:b]))
-        if 9 <= n <= 15 and not any(x < b and a < y for x, y in held) and not re.search(rf"[\x20]{DOT}[\x20]", text[a:b], re.I):
+    for a, b, figures in runs:
+        if is_phone(figures) and "." not in figures and not any(x < b and a < y for x, y in held):
             out.append((a, b, "phone"))
     # A span that a plain one covers adds nothing; a wider one of the same kind does.
     fresh, i = [], 0

@@ -53,6 +53,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds the batches that go to Python by bytes, not rows alone; a setting of the session's own stays."""
     if spark.conf.get(ARROW_SETTING, None) is None:

@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelens.llm.common import bounded_batches, discard, slices, stored, tidied
+from pagelens.llm.common import bounded_batches, discard, free, slices, stored, tidied
 from pagelens.llm.components import components
-from pagelens.llm.fingerprints import mixed, of_ranges
+from pagelens.llm.fingerprints import mixed, of_ranges, of_runs
 
 SHINGLE, PERCENT = 3, 90
 
@@ -44,8 +44,7 @@ def shingles(text: str, width: int = SHINGLE) -> np.ndarray:
         return np.zeros(0, np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
-    run = min(width, len(words))
-    return np.unique(of_ranges(np.frombuffer(b" ".join(words), np.uint8), (ends - sizes)[: len(words) - run + 1], ends[run - 1 :]))
+    return np.unique(of_runs(of_ranges(np.frombuffer(b" ".join(words), np.uint8), ends - sizes, ends), min(width, len(words))))
 
 
 def set_id(found: np.ndarray) -> int:
@@ -304,8 +303,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def _with_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """``docs`` with the id of each text's set as ``_set``; null where there are no shingles."""
+def _with_sets(docs: DataFrame, text: str, width: int, name: str) -> DataFrame:
+    """``docs`` with the id of each text's set as column ``name``; null where there are no shingles."""
     place, names = docs.columns.index(text), docs.columns
 
     @tidied
@@ -314,34 +313,39 @@ def _with_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
             for part in slices(batch, place):
                 found = [shingles(t or "", width) for t in part.column(place).to_pylist()]
                 ids = pa.array([set_id(f) if len(f) else None for f in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*names, "_set"])
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*names, name])
 
-    return docs.mapInArrow(label, T.StructType([*docs.schema.fields, T.StructField("_set", T.LongType())]))
+    return docs.mapInArrow(label, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the document with the smallest id.
 
-    All columns stay. An id may stand for several texts, and be null: each text is decided on by its own
-    component, where null ids come last and of several sets of one id one stays. Of rows equal in id and
-    set one stays; so it does of rows that repeat an id without words, but null ids without words all stay.
+    All columns stay, whatever their names. An id may stand for several texts, and be null: each text is decided
+    on by its own component, where null ids come last and of several sets of one id one stays. Of rows equal in id
+    and set one stays; so it does of rows that repeat an id without words, but null ids without words all stay.
+    Null and empty texts are without words, very long ones are read whole. Empty table: no rows.
     """
     found = stored(_grouped(docs, id, text, width, percent).select("doc_id", "set", "root", "component_id"), "near-duplicates")
-    own = F.col(id).cast("long")
+    own, labelled = F.col(id).cast("long"), free(docs, "_set")
+    gone_id, gone_set = free(docs, "_gone"), free(docs, "_from")
     if not found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        gone = _small(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")))
-        return docs.join(gone, own.eqNullSafe(F.col("_gone")), "left_anti")
+        gone = _small(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone_id)))
+        return docs.join(gone, own.eqNullSafe(F.col(gone_id)), "left_anti")
     texts = found.filter("set is not null")
     first = texts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "set")).alias("first"))
-    kept = first.select(F.col("first.doc_id").alias("_kept"), F.col("first.set").alias("_of"))
-    gone = texts.select(F.col("doc_id").alias("_gone"), F.col("set").alias("_from")).distinct()
-    gone = _small(stored(gone.join(kept, F.col("_gone").eqNullSafe(F.col("_kept")) & (F.col("_from") == F.col("_of")), "left_anti"), "gone"))
-    out = _with_sets(docs, text, width).join(gone, own.eqNullSafe(F.col("_gone")) & (F.col("_set") == F.col("_from")), "left_anti")
+    kept = first.select(F.col("first.doc_id").alias("kept"), F.col("first.set").alias("of"))
+    gone = texts.select(F.col("doc_id").alias(gone_id), F.col("set").alias(gone_set)).distinct()
+    gone = gone.join(kept, F.col(gone_id).eqNullSafe(F.col("kept")) & (F.col(gone_set) == F.col("of")), "left_anti")
+    gone = _small(stored(gone, "gone"))
+    out = _with_sets(docs, text, width, labelled)
+    out = out.join(gone, own.eqNullSafe(F.col(gone_id)) & (F.col(labelled) == F.col(gone_set)), "left_anti")
     same = found.filter("doc_id is not null or set is not null").groupBy("doc_id", "set").count().filter("count > 1")
     if same.limit(1).count():
-        apart = F.when(F.col(id).isNull() & F.col("_set").isNull(), F.monotonically_increasing_id())
-        out = out.withColumn("_apart", apart).dropDuplicates([id, "_set", "_apart"]).drop("_apart")
-    return out.drop("_set")
+        apart = free(out, "_apart")
+        wordless = F.when(F.col(id).isNull() & F.col(labelled).isNull(), F.monotonically_increasing_id())
+        out = out.withColumn(apart, wordless).dropDuplicates([id, labelled, apart]).drop(apart)
+    return out.drop(labelled)
 
 
 ORACLE_SQL = r"""

@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.llm.common import bounded_batches, one_thread, slices, stored, tidied
-from pagelens.llm.fingerprints import of_ranges
+from pagelens.llm.fingerprints import SHORT, packed
 
 LENGTH, SEPARATOR, TOKENIZER = 4096, 2, "word_bpe_49k.json"
 
-#: Words whose ids a Python worker remembers (some 30 bytes each), and the bytes of text it looks at together.
-REMEMBERED, BLOCK_BYTES = 2_000_000, 1 << 20
+#: Words whose ids a Python worker remembers (some 30 bytes each), the bytes of the longer of them, and the bytes of text it looks at together.
+REMEMBERED, LONG_BYTES, BLOCK_BYTES = 2_000_000, 64 << 20, 1 << 20
 
 BLANK, LETTER, DIGIT, SIGN, OTHER = range(5)
 
@@ -48,7 +48,7 @@ class Encoder:
     For vocabularies that lower-case, drop white space and mark the end of a word in its last token.
     They cut a text into runs of letters, single digits and runs of signs; where a stretch between
     blanks has only ASCII and Latin-1 characters of those kinds, these words are found for a whole
-    block of texts at once and told by their fingerprints. Any other stretch counts as one word, and
+    block of texts at once and told by their bytes: short ones as numbers, longer ones in a dictionary. Any other stretch counts as one word, and
     the tokenizer cuts it. Other vocabularies get the texts as they are.
     """
 
@@ -63,7 +63,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.places, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.places, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
         self.pool, self.filled = np.zeros(1 << 16, "<u4"), 0
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -87,8 +89,10 @@ class Encoder:
         data = np.frombuffer(joined, np.uint8)
         if not len(data):
             return [b""] * len(texts)
+        if len(self.keys) > REMEMBERED or self.long_bytes > LONG_BYTES:
+            self.forget()
         lower, starts, ends, other = _words(data)
-        found, first, word = np.unique(of_ranges(lower, starts, ends), return_index=True, return_inverse=True)
+        found, first, word = np.unique(self._known(lower, starts, ends), return_index=True, return_inverse=True)
         rows = self._rows(found, lower, starts[first], ends[first], other[first])[word]
         size = self.sizes[rows]
         total = np.cumsum(size)
@@ -97,15 +101,27 @@ class Encoder:
         cuts = np.append(0, total)[np.append(np.searchsorted(starts, begins), len(starts))]
         return [whole[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def _known(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A number for each word, the same for equal words only: its bytes, or its place among the longer ones."""
+        sizes = ends - starts
+        keys = packed(data, starts, sizes)
+        far, raw, places = np.flatnonzero(sizes > SHORT), data.tobytes(), []
+        for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True):
+            word = raw[a:b]
+            place = self.long.get(word)
+            if place is None:
+                place = self.long[word] = len(self.long)
+                self.long_bytes += b - a
+            places.append(place)
+        keys[far] = np.array(places, np.uint64) | np.uint64(0xFF << 56)
+        return keys
+
     def _rows(self, found: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
         """Where the table has each of the words; new ones are encoded and put in."""
-        at = np.searchsorted(self.hashes, found)
+        at = np.searchsorted(self.keys, found)
         new = np.ones(len(found), bool)
-        if len(self.hashes):
-            new = self.hashes[np.minimum(at, len(self.hashes) - 1)] != found
-        if new.any() and len(self.hashes) + new.sum() > REMEMBERED:
-            self.forget()
-            at, new = np.zeros(len(found), np.int64), np.ones(len(found), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(at, len(self.keys) - 1)] != found
         if new.any():
             strings = [data[a:b].tobytes().decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
             ids, sizes = self._encoded(strings, other[new])
@@ -114,10 +130,10 @@ class Encoder:
             self.pool[self.filled : self.filled + len(ids)] = ids
             places = self.filled + np.cumsum(sizes) - sizes
             self.filled += len(ids)
-            self.hashes = np.insert(self.hashes, at[new], found[new])
+            self.keys = np.insert(self.keys, at[new], found[new])
             self.places = np.insert(self.places, at[new], places)
             self.sizes = np.insert(self.sizes, at[new], sizes)
-            at = np.searchsorted(self.hashes, found)
+            at = np.searchsorted(self.keys, found)
         return at
 
     def _encoded(self, words: list[str], other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,5 +276,6 @@ def sequences(pieces: DataFrame, length: int = LENGTH, padding: int = 0) -> Data
     return whole.select("sequence_id", F.substring(F.concat(joined, blank), F.lit(1), F.lit(length * 4)).alias("ids"), "tokens")
 
 
-def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+def digest(pieces: DataFrame, *more: str) -> DataFrame:
+    """The pieces with a checksum of their ids, and ``more`` of their columns."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", *more)

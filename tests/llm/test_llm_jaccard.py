@@ -109,3 +109,21 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (5, 4)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 160)}}
+
+
+def test_sums_of_powers_do_not_make_sets_alike(spark):
+    from test_llm_packing import thue_morse
+
+    a, b = thue_morse(11)
+    rows = [(1, f"x {a} y"), (2, f"x {b} y"), (3, f"{a} {b} z"), (4, f"{b} {a} z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r[0], r[2]) for r in jaccard.near_duplicates(docs).collect()) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b c", 5), (2, "A b c", 6), (3, "other words here", 7), (3, "some more of them", 8)]
+    for name in ("_gone", "_set", "_apart"):
+        docs = spark.createDataFrame(rows, f"doc_id long, text string, {name} int")
+        for given, kept in ((docs, [5, 7, 8]), (docs.filter(f"{name} != 8"), [5, 7])):
+            out = jaccard.keep_one(given)
+            assert out.columns == docs.columns and sorted(r[2] for r in out.collect()) == kept

@@ -64,3 +64,19 @@ def test_pieces_make_up_the_stream(spark, tokenizer):
     digest = packing.digest(pieces).first()
     assert digest["ids_crc32"] in {zlib.crc32(r["ids"]) for r in rows}
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def thue_morse(letters):
+    """A word and its complement, equal under sums of powers modulo 2**64 whatever the base."""
+    word = [0]
+    for _ in range(letters):
+        word += [1 - x for x in word]
+    return "".join("ab"[x] for x in word), "".join("ba"[x] for x in word)
+
+
+def test_long_words_keep_their_ids(tokenizer, monkeypatch):
+    texts = [*thue_morse(11), *thue_morse(12), "abcdefg", "abcdefgh", "abcdefg h", "a" * 300, "a" * 301]
+    monkeypatch.setattr(packing, "LONG_BYTES", 4000)  # some words are forgotten on the way
+    encode = packing.Encoder(public_tokenizers.path(packing.TOKENIZER))
+    assert encode(texts) == whole(tokenizer, texts)
+    assert [encode([t])[0] for t in texts * 2] == whole(tokenizer, texts) * 2

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import discard, stored
+from pagelens.llm.common import discard, free, stored
 
 WIDTH = 10
 #: Terms of a window whose postings are intersected before all the others are looked up.
@@ -25,7 +25,7 @@ BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: A document is told by its id and, should ids repeat, the hash of its text.
+#: A document is told by its id and, should ids repeat or be null, a row number written with the postings.
 DOC = ["doc_id", "copy"]
 
 
@@ -38,12 +38,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered(text), NO_WORD), "")
 
 
-def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", copy: Column | None = None) -> DataFrame:
     """Written postings ``term, doc_id, copy, pos`` of all words.
 
-    A text's end has a posting too, of the empty term, whose position is the number of words.
+    ``copy`` tells rows of one id apart; by default each row has a number of its own. A text's end has a
+    posting too, of the empty term, whose position is the number of words.
     """
-    given = docs.select(F.col(id).cast("long").alias("doc_id"), F.hash(text).alias("copy"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    row = F.monotonically_increasing_id() if copy is None else copy
+    given = docs.select(F.col(id).cast("long").alias("doc_id"), row.cast("long").alias("copy"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     # Words are lowered one by one: most are ASCII, also in texts that aren't.
     found = F.array_append(F.array_remove(F.split("text", NO_WORD), ""), F.lit(""))
     postings = given.select(*DOC, F.posexplode(found).alias("pos", "term")).select(lowered(F.col("term")).alias("term"), *DOC, "pos")
@@ -148,7 +150,7 @@ def report(docs: DataFrame, items: DataFrame, width: int = WIDTH, broadcast_rows
     with occurring windows, sorted as strings. Null and empty texts have no words. Repeated rows give
     repeated rows; rows with one id and different texts are searched apart. Items without words, with
     null texts or repeated add nothing; a null item id counts as an item of its own, written as an empty
-    string. Empty tables: no hits, or no rows.
+    string. Very long texts are searched whole, other columns are ignored. Empty tables: no hits, or no rows.
     """
     index = build_index(docs)
     hits = phrases(index, items, width, broadcast_rows)
@@ -164,13 +166,25 @@ def report(docs: DataFrame, items: DataFrame, width: int = WIDTH, broadcast_rows
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any occurring window, with all their columns."""
-    index = build_index(docs, id, text)
-    hit = phrases(index, items, width).select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy")).distinct()
-    hit = stored(hit, "contaminated")
+    """The rows of ``docs`` without any occurring window, with all their columns, whatever their names.
+
+    Each row is decided on by its own text: where ids repeat or are null, the rows are numbered and written first.
+    Null and empty texts stay, as they have no words. Empty tables: all rows of ``docs`` stay, or no rows.
+    """
+    own, gone, row = F.col(id).cast("long"), free(docs, "_doc"), free(docs, "_row")
+    numbered = None
+    if docs.filter(own.isNull()).limit(1).count() or docs.groupBy(own.alias("id")).count().filter("count > 1").limit(1).count():
+        numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        index = build_index(numbered, id, text, F.col(row))
+    else:
+        index = build_index(docs, id, text, F.lit(0))
+    hits = phrases(index, items, width).select(F.col("doc_id" if numbered is None else "copy").alias(gone)).distinct()
+    hits = stored(hits, "contaminated")
     discard(index)
-    hit = _small(hit, BROADCAST_ROWS)
-    return docs.join(hit, F.col(id).cast("long").eqNullSafe(F.col("_doc")) & (F.hash(F.col(text)) == F.col("_copy")), "left_anti")
+    hits = _small(hits, BROADCAST_ROWS)
+    if numbered is None:
+        return docs.join(hits, own == F.col(gone), "left_anti")
+    return numbered.join(hits, F.col(row) == F.col(gone), "left_anti").drop(row)
 
 
 def digest(rows: DataFrame) -> DataFrame:

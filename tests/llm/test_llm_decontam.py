@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from pagelens.llm import decontam
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -71,3 +73,21 @@ def test_proximity(spark):
     index = decontam.build_index(docs)
     assert {r["doc_id"] for r in decontam.near(index, items, 4, 3).collect()} == {1}
     assert {r["doc_id"] for r in decontam.near(index, items, 30, 3).collect()} == {1, 2}
+
+
+def test_rows_without_an_id_are_told_apart(spark):
+    # Two texts alike under Spark's 32-bit hash, one of them with the passage.
+    seen, pair = {}, None
+    for n, text in enumerate(f"{'a b c' if i % 2 else 'c b a'} {i}" for i in range(200_000)):
+        seen.setdefault(n % 2, []).append(text)
+    texts = spark.createDataFrame([(t,) for t in seen[0] + seen[1]], "text string")
+    by_hash = texts.selectExpr("hash(text) AS h", "text").groupBy("h").agg(F.collect_set("text").alias("t")).filter("size(t) > 1")
+    pair = next(r["t"] for r in by_hash.collect() if len({t[0] for t in r["t"]}) == 2)
+    rows = [(None, t, k) for k, t in enumerate(pair)] + [(7, "a b c", 8), (7, "words", 9)]
+    items = spark.createDataFrame([(7, "a b c")], "item_id long, text string")
+    for names in ("_doc", "_row", "copy"):
+        docs = spark.createDataFrame(rows, f"doc_id long, text string, {names} int")
+        kept = decontam.clean(docs, items, 3)
+        assert kept.columns == docs.columns
+        assert sorted(r["text"] for r in kept.collect()) == sorted(["words", next(t for t in pair if t[0] == "c")])
+    assert sorted(r["n_hit"] for r in decontam.report(docs, items, 3).collect()) == [0, 0, 3, 3]

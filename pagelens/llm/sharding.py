@@ -1,10 +1,11 @@
 """Shards of nearly equal size by sampled splitters.
 
-Records are ordered by the hash of their text (copies lie side by side), then by the hash of their id.
-A size-weighted sample of that order gives quantile boundaries, the ranges between them are measured
-over all records, and ranges that hold more than their share (one text in a third of the rows is a
-single value of the first hash) are subdivided by the second hash. Prefix sums over the measured
-ranges tell which range each shard ends in; only those ranges are looked into for the exact record.
+Records are numbered and written once, and ordered by the hash of their text (copies lie side by side), then by
+the hash of their id and number, so that no two are alike. A size-weighted sample of that order gives
+quantile boundaries, the ranges between them are measured over all records, and ranges that hold more than
+their share (one text in a third of the rows is a single value of the first hash) are subdivided by the
+second. Prefix sums over the measured ranges tell which range each shard ends in; only those ranges are
+looked into for the exact record.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import stored
+from pagelens.llm.common import free, stored
 
 #: Ranges for each shard, ranges in all, and the bytes of a range that is not subdivided.
 RANGES_PER_SHARD, MOST_RANGES, RANGE_BYTES = 16, 1024, 64 << 20
@@ -23,7 +24,9 @@ SAMPLES = 8
 #: Ranges up to which their table (under 40 bytes a row) is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_RANGES = 200_000
 
-ORDER = ["_range", "_part", "_h", "_u"]
+#: Splitters are places in this order.
+ORDER = ["_range", "_part", "_h", "_u", "_no"]
+OWN = ["_size", "_no", "_h", "_u", "_range", "_part", "_parts", "_row", "_first"]
 
 
 def _even(hash: Column) -> Column:
@@ -49,14 +52,19 @@ def shard(docs: DataFrame, shards: int = 8, id: str = "doc_id", text: str = "tex
     the largest record. ``slot`` counts a shard's records from 0 without gaps.
 
     Null text: size 1, among the copies of one another. Null ids and repeated rows are records like
-    any other; repeated rows stand together. Equal texts share a shard unless they have more than its
-    share or straddle its end. Empty table: no rows. Columns of ``docs`` named like the new ones are
-    replaced; those with a leading underscore that this module uses must not occur.
+    any other, however many are alike. Equal texts share a shard unless they have more than its share or
+    straddle its end. Empty table: no rows. Columns of ``docs`` named like the new ones are replaced; other
+    columns stay, whatever their names.
     """
-    old = [c for c in docs.columns if c not in ("size", "law", "shard", "slot")]
+    given = [c for c in docs.columns if c.lower() not in ("size", "law", "shard", "slot")]
+    # Names of this module's own are out of the way while it works.
+    aside = {c: free(docs.select(*given), f"_kept{i}") for i, c in enumerate(given) if c.lower() in OWN}
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1
-    keyed = docs.select(*old, size.alias("_size"), F.xxhash64(F.col(text)).alias("_h"), F.xxhash64(F.col(id)).alias("_u"))
-    keys = stored(keyed.select("_h", "_u", "_size"), "keys")
+    numbered = docs.select(*[F.col(f"`{c}`").alias(aside.get(c, c)) for c in given], size.alias("_size"), F.xxhash64(F.col(text)).alias("_h"),
+                           F.xxhash64(F.col(id)).alias("_u"), F.monotonically_increasing_id().alias("_no"))
+    # Rows that are alike, or without an id, are told apart by their number, which has to be the same in every pass.
+    keyed = stored(numbered.withColumn("_u", F.xxhash64("_u", "_no")), "records")
+    keys = keyed.select("_h", "_u", "_no", "_size")
     total = keys.agg(F.sum("_size")).first()[0] or 1
     ranges = max(1, min(MOST_RANGES, max(shards * RANGES_PER_SHARD, total // range_bytes)))
     bounds = F.array(*[F.lit(b) for b in _boundaries(keys, total, ranges)]).cast("array<bigint>")
@@ -83,7 +91,7 @@ def shard(docs: DataFrame, shards: int = 8, id: str = "doc_id", text: str = "tex
     splitters = []
     if begins is not None:
         ends = measured.select("*", begins.alias("_begin")).filter("_before <= _begin and _begin < _before + _bytes")
-        running = Window.partitionBy("_range", "_part", "_begin").orderBy("_h", "_u").rowsBetween(Window.unboundedPreceding, 0)
+        running = Window.partitionBy("_range", "_part", "_begin").orderBy("_h", "_u", "_no").rowsBetween(Window.unboundedPreceding, 0)
         # At most a row for each shard but the first.
         inside = parted(keys).join(F.broadcast(ends), ["_range", "_part"]).withColumn("_end", F.col("_before") + F.sum("_size").over(running))
         splitters = [tuple(r) for r in inside.filter("_end - _size <= _begin and _begin < _end").select(*ORDER).collect()]
@@ -103,9 +111,9 @@ def shard(docs: DataFrame, shards: int = 8, id: str = "doc_id", text: str = "tex
     if offsets.count() <= broadcast_ranges:
         offsets = F.broadcast(offsets)
 
-    number = F.row_number().over(Window.partitionBy("_range", "_part").orderBy("_h", "_u"))
+    number = F.row_number().over(Window.partitionBy("_range", "_part").orderBy("_h", "_u", "_no"))
     out = sharded(keyed).withColumn("_row", number).join(offsets, ["shard", "_range", "_part"])
-    return out.select(*old, F.col("_size").alias("size"), F.lit("bytes").alias("law"), "shard", (F.col("_first") + F.col("_row") - 1).alias("slot"))
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in given], F.col("_size").alias("size"), F.lit("bytes").alias("law"), "shard", (F.col("_first") + F.col("_row") - 1).alias("slot"))
 
 
 def digest(records: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

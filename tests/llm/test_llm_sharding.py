@@ -39,3 +39,16 @@ def test_one_shard_few_and_odd_rows(spark):
 def test_small_ranges_make_the_same_law(spark):
     docs = spark.createDataFrame([(i, "y" * (i % 50)) for i in range(2000)], "doc_id long, text string")
     check(sharding.shard(docs, 4, range_bytes=500).collect(), ["y" * 50], 4)
+
+
+def test_repeated_rows_and_null_ids_keep_the_law(spark):
+    random.seed(8)
+    others = ["z" * random.randint(50, 400) for _ in range(400)]
+    rows = [(None, "the same", 1)] * 800 + [(i, t, 1) for i, t in enumerate(others)] + [(5, "again", 1)] * 300
+    for name in ("_no", "_h", "_parts", "other"):
+        docs = spark.createDataFrame(rows, f"doc_id long, text string, {name} int").repartition(3)
+        got = sharding.shard(docs, 8)
+        assert name in got.columns and got.filter(f"{name} = 1").count() == len(rows)
+        got = got.collect()
+        check(got, others, 8)
+        assert len({r["shard"] for r in got}) == 8

@@ -200,7 +200,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query, k: int = 10, id:
     Vectors that are null, empty, zero, hold a null or non-finite component or have another length
     than most take no part, neither do null ids. Of rows with one id and one vector one counts. Of a
     repeated id with several vectors each is a candidate. A query is never its own candidate. Empty
-    table: no rows. Queries are searched in blocks of ``BLOCK``, each written before the next one.
+    table, or no query that takes part: no rows. Queries are searched in blocks of ``BLOCK``, each written before the next one.
     """
     usable = vectors.select(F.col(id).alias("id"), F.col(vector).alias("vector"), is_query.alias("asks")).filter(
         _usable(F.col("vector")) & F.col("id").isNotNull())
@@ -218,6 +218,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query, k: int = 10, id:
                                      F.col("vector").cast("array<double>").alias("vector")), "queries")
     # Queries with the same vector are searched once.
     texts = stored(asking.groupBy("query_no", "vector").agg(F.lit(1).alias("one")).select("query_no", "vector"), "query-vectors")
+    if not texts.limit(1).count():
+        return spark.createDataFrame([], empty)
     blocks = max(1, -(-texts.count() // BLOCK))
     radius = _radius(index, texts, codes, k, dims)
     path = scratch(spark, "found")

@@ -53,3 +53,9 @@ def test_every_code_within_the_radius_is_found():
         rows, distance = slab.within(code, radius)
         want = np.unpackbits(codes ^ code, axis=1).sum(axis=1)
         assert (rows == np.flatnonzero(want <= radius)).all() and (distance == want[rows]).all()
+
+
+def test_no_query_takes_part(spark):
+    given = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.1]), (100, [0.0, 0.0]), (200, None)], "vec_id long, embedding array<float>")
+    got = nearest.nearest(spark, given, F.col("vec_id") % 100 == 0)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and got.count() == 0

@@ -5,14 +5,14 @@ import corpus_pipeline
 from pagelens.llm import pii, toxicity
 from pagelens.llm.queries import ORACLE_SQL, QUERIES, toxicity_model
 from test_llm_decontam import brute as brute_hits
-from test_llm_jaccard import brute as brute_groups
+from test_llm_stages import kept_by_brute_force
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_registered():
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {name.split("_")[0] + "_" for name in QUERIES} and set(QUERIES) <= set(names)
+    assert {f"op{n}_" for n in range(1, 14)} == {name.split("_")[0] + "_" for name in QUERIES} and set(QUERIES) <= set(names)
     assert "pipeline" in names and set(ORACLE_SQL) <= set(QUERIES)
 
 
@@ -47,8 +47,8 @@ def test_stages_against_brute_force(spark, stages):
     model = toxicity_model(before["toxicity"], spark.read.parquet(f"{SF}/labels.parquet"))
     assert sorted(texts(after["toxicity"]), key=str) == sorted([(d, t) for d, t in texts(before["toxicity"]) if model.score(t or "") < toxicity.THRESHOLD], key=str)
 
-    groups = brute_groups(texts(before["near_duplicates"]))
-    assert sorted(d for d, _ in texts(after["near_duplicates"])) == sorted(d for d, n, low in groups if d == low)
+    expected = kept_by_brute_force(texts(before["near_duplicates"]), corpus_pipeline.SHINGLE, corpus_pipeline.PERCENT)
+    assert sorted(d for d, _ in texts(after["near_duplicates"])) == expected
     assert 900_005 not in {d for d, _ in texts(after["near_duplicates"])}
 
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -61,9 +61,17 @@ def test_stages_against_brute_force(spark, stages):
 
     pieces = after["packing"].collect()
     assert {r["doc_id"] for r in pieces} == set(masked)
+    assert all(len(r["ids"]) == 4 * r["length"] for r in pieces)
     assert sum(r["length"] for r in pieces) == sum({r["doc_id"]: r["doc_tokens"] for r in pieces}.values())
 
 
 def test_run_applies_all_stages(spark, tmp_path):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 100 and "sequence_id" in rows.columns
+
+
+def test_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import chat, decontam, jaccard, lm, nearest, packing, pii, quality, sharding, toxicity
+from pagelens.llm import chat, decontam, jaccard, langid, lm, nearest, packing, pii, quality, sharding, toxicity
 from pagelens.llm.common import table
 
 
@@ -64,6 +64,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(given.unionByName(extra)))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.digest(langid.identify(docs, langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_nearest": op2_nearest,
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_lm": op9_lm,
     "op10_chat": op10_chat,
+    "op11_language": op11_language,
 }
 
 #: Roles and texts with control strings, and those that the grammar would take for its own.

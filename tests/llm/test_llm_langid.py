@@ -1,0 +1,134 @@
+import random
+from collections import Counter, defaultdict
+from math import log
+
+import numpy as np
+import pytest
+
+from pyspark.sql import functions as F
+
+from pagelens.llm import langid
+
+SF = "/root/testdata/sf0.01"
+SPREAD = {"x": "aaabbcde fé", "y": "eeedfgh ab", "z": "ббвгд ебa"}
+
+
+def letters(text):
+    """As the operator reads a text: letters in lower case, one blank between words and after the last."""
+    out = ""
+    for c in text.lower():
+        if c.isalpha():
+            out += c
+        elif out and out[-1] != " ":
+            out += " "
+    return out
+
+
+def slow_model(texts, alphabet, order=langid.ORDER):
+    """Interpolated Kneser-Ney with dictionaries, straight from its definition."""
+    top = Counter()
+    for t in texts:
+        padded = " " * (order - 1) + letters(t)
+        top.update(padded[i : i + order] for i in range(len(padded) - order + 1))
+    counts = {order: top}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+
+    def discount(n):
+        once, twice = (sum(v == k for v in counts[n].values()) for k in (1, 2))
+        return once / (once + 2 * twice) if once and twice else 0.5
+
+    total, kinds = defaultdict(int), defaultdict(int)
+    for c in counts.values():
+        for g, v in c.items():
+            total[g[:-1]] += v
+            kinds[g[:-1]] += 1
+
+    def chance(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / (len(alphabet) + 2)
+        below = chance(gram[1:])
+        context = gram[:-1]
+        # Contexts of a length belong to one order only.
+        if not total.get(context):
+            return below
+        d = discount(n)
+        return (max(counts[n][gram] - d, 0) + d * kinds[context] * below) / total[context]
+
+    def score(text):
+        padded = " " * (order - 1) + letters(text)
+        return sum(log(chance(padded[i : i + order])) for i in range(len(padded) - order + 1))
+
+    return score
+
+
+def made(seed, n):
+    rng = random.Random(seed)
+    return [(lang, "".join(rng.choices(SPREAD[lang], k=rng.randint(1, 60)))) for lang in rng.choices("xyz", k=n)]
+
+
+def test_chances_are_those_of_the_definition():
+    given = made(1, 60)
+    alphabet = sorted({ord(c) for _, t in given for c in t.lower() if c.isalpha()})
+    symbols, counted = langid.symbol_table(alphabet), []
+    for lang in "xyz":
+        found, own, _ = langid.encoded([t for g, t in given if g == lang], symbols)
+        keys, n = np.unique(langid.ngrams(found)[-1][own], return_counts=True)
+        counted.append((keys, n.astype(float)))
+    model = langid.kneser_ney(list("xyz"), alphabet, counted)
+    asked = [t for _, t in made(2, 40)] + ["", "a", "  a--B", "éé ff"]
+    sizes, lettered, sums, _ = model.log_likelihoods(asked)
+    for i, lang in enumerate("xyz"):
+        slow = slow_model([t for g, t in given if g == lang], alphabet)
+        assert np.allclose(sums[:, i], [slow(t) for t in asked], rtol=1e-4, atol=1e-4)
+    assert sizes.tolist() == [len(letters(t)) for t in asked] and lettered.tolist() == [any(c.isalpha() for c in t) for t in asked]
+
+
+def test_parts_of_long_texts_are_added(monkeypatch):
+    model = langid.kneser_ney(["x"], [97, 98], [(np.array([2, 3, 2 << 12 | 3]), np.array([3.0, 2.0, 1.0]))])
+    texts = ["ab a" * 50, "", "b", "ab " * 100]
+    monkeypatch.setattr(langid, "PART", 40)
+    sizes, _, sums, _ = model.log_likelihoods(texts)
+    parts = [[t[i : i + 40] for i in range(0, len(t), 40)] for t in texts]
+    monkeypatch.setattr(langid, "PART", 1 << 20)
+    for i, own in enumerate(parts):
+        alone = model.log_likelihoods(own) if own else None
+        assert sizes[i] == (alone[0].sum() if own else 0) and np.isclose(sums[i].sum(), alone[2].sum() if own else 0)
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    return docs, langid.fit(docs.filter(~langid.held_out(docs["doc_id"])))
+
+
+def test_held_out_languages(learned):
+    docs, model = learned
+    found = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter(langid.held_out(F.col("doc_id"))).collect()
+    right = [r["lang"] == r["lang_pred"] for r in found]
+    assert len(found) > 200 and np.mean(right) > 0.98
+    assert abs(np.mean([r["score"] for r in found]) - np.mean(right)) < 0.03  # calibrated
+    assert np.mean([bool(r["rejected"]) for r in found]) < 0.03
+
+
+def test_texts_like_no_language_are_rejected(spark, learned):
+    rng = random.Random(4)
+    noise = ["".join(rng.choices("qwxzjkvpyfßñé ", k=400)) for _ in range(50)]
+    got = langid.identify(spark.createDataFrame(list(enumerate(noise)), "doc_id long, text string"), learned[1]).collect()
+    assert np.mean([r["rejected"] for r in got]) > 0.9
+
+
+def test_odd_rows(spark):
+    rows = [(1, "ab ab", "x", 1), (1, "ab ab", "x", 1), (None, "ba ab", "x", 2), (2, None, "y", 3), (3, "", "y", 3), (4, "12 .;", None, 4),
+            (5, "cd dc", "y", 5), (6, "ab " * 100_000, None, 6), (7, "cd", None, 7), (8, "Ünïc☃de", "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    model = langid.fit(docs)
+    got = sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(docs, model).collect()), key=str)
+    assert len(got) == len(rows) and {d: g for d, g, _ in got} == {1: "x", None: "x", 2: "und", 3: "und", 4: "und", 5: "y", 6: "x", 7: "y", 8: ""}
+    assert all(0 <= s <= 1 for _, _, s in got) and all((s == 0) == (g == "und") for _, g, s in got)
+    assert langid.identify(docs.limit(0), model).count() == 0
+    nothing = langid.fit(docs.filter("lang is null"))
+    assert {(r["lang_pred"], r["score"]) for r in langid.identify(docs, nothing).collect()} == {("und", 0.0)}
+    assert {r["lang_pred"] for r in langid.identify(docs, langid.fit(docs.filter("lang = 'x'"))).collect()} == {"x", "und"}
+    assert langid.digest(langid.identify(docs, model)).columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import chat, decontam, jaccard, langid, lm, nearest, packing, pii, quality, sharding, toxicity
+from pagelens.llm import chat, colloc, decontam, jaccard, langid, lm, nearest, packing, pii, quality, sharding, toxicity
 from pagelens.llm.common import table
 
 
@@ -69,6 +69,10 @@ def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(langid.identify(docs, langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return colloc.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_nearest": op2_nearest,
@@ -81,6 +85,7 @@ QUERIES = {
     "op9_lm": op9_lm,
     "op10_chat": op10_chat,
     "op11_language": op11_language,
+    "op13_collocations": op13_collocations,
 }
 
 #: Roles and texts with control strings, and those that the grammar would take for its own.
@@ -103,4 +108,5 @@ ORACLE_SQL = {
     "op1_decontaminate": decontam.ORACLE_SQL,
     "op4_jaccard": jaccard.ORACLE_SQL,
     "op10_chat": CHAT_SQL,
+    "op13_collocations": colloc.ORACLE_SQL,
 }

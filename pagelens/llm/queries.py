@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import chat, colloc, decontam, jaccard, langid, lm, nearest, packing, pii, quality, sharding, toxicity
+from pagelens.llm import chat, colloc, decontam, jaccard, langid, lm, nearest, packing, pii, quality, sharding, toxicity, variants
 from pagelens.llm.common import table
 
 
@@ -69,6 +69,10 @@ def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(langid.identify(docs, langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))))
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return colloc.collocations(table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op9_lm": op9_lm,
     "op10_chat": op10_chat,
     "op11_language": op11_language,
+    "op12_variants": op12_variants,
     "op13_collocations": op13_collocations,
 }
 

@@ -11,6 +11,7 @@ from pagelens.functions import scoring as S
 from pagelens.functions import text as T
 from pagelens.operators import ranking as R
 from pagelens.operators import vectors as V
+from pagelens.operators.spread import broadcast_if_small
 from pagelens.plans import index as I
 from pagelens.plans import search as SE
 from pagelens.session import materialise
@@ -31,46 +32,52 @@ def chunk_corpus(spark, sf):
 
 
 def corpus_stats(spark, sf):
-    return I.corpus_stats(I.chunk_lengths(_corpus(spark, sf))).select("n", _round("avgdl"))
+    lib = TD.library(spark, sf)
+    return I.corpus_stats(I.chunk_lengths(lib.documents, lib.chunks)).select("n", _round("avgdl"))
 
 
 def term_frequencies(spark, sf):
     """Terms of every chunk, summed up per chunk."""
-    rows = I.term_freq(_corpus(spark, sf)).filter(F.col("term") != I.WHOLE_CHUNK)
-    return rows.groupBy("chunk_id", "dl").agg(
-        F.count("*").alias("terms"), F.sum("tf").cast("long").alias("occurrences"), F.max("tf").alias("most"))
+    lib = TD.library(spark, sf)
+    own = F.col("term") != I.WHOLE_CHUNK
+    rows = I.term_freq(lib.documents, lib.chunks).groupBy("document_id", "chunk_id").agg(
+        F.max(F.when(~own, F.col("tf"))).alias("dl"), F.count_if(own).alias("terms"),
+        F.sum(F.when(own, F.col("tf"))).cast("long").alias("occurrences"), F.max(F.when(own, F.col("tf"))).alias("most"))
+    return rows.filter("terms > 0").drop("document_id")
 
 
 def document_frequencies(spark, sf):
-    rows = I.term_freq(_corpus(spark, sf)).filter(F.col("term") != I.WHOLE_CHUNK)
-    n = TD.library(spark, sf).chunks.count()
+    lib = TD.library(spark, sf)
+    rows = I.term_freq(lib.documents, lib.chunks).filter(F.col("term") != I.WHOLE_CHUNK)
+    n = lib.chunks.count()
     return I.doc_freq(rows).select(
         "term", "df", F.round(S.idf(F.lit(float(n)), F.col("df")), 6).alias("idf"))
 
 
 def _opened(spark, sf):
+    """All matched pairs, none left out by bounds."""
     lib = TD.library(spark, sf)
     block = SE.open_block(SE.prepare_queries(TD.queries(spark, sf), TD.as_of()))
-    matches = materialise(SE.signals(lib, block, None))
-    stats = I.corpus_stats(matches.filter("kind = 'chunk'")).first()
-    weights = SE.query_weights(block, matches, stats["n"])
-    return block, matches, stats, SE.score_matches(matches, weights, stats["avgdl"])
+    chunks = materialise(SE.scanned(lib, block))
+    asked = SE.with_extremes(SE.weighed(chunks, block), chunks)
+    facts = SE.document_facts(lib, block, TD.as_of())
+    return SE.spans_of(spark, asked), SE.matched_pairs(asked, chunks, facts, lib, SE.MAX_HITS)
 
 
 def term_matches(spark, sf):
     """Inverted join of query terms and chunk terms."""
-    block, matches, _, _ = _opened(spark, sf)
+    lib = TD.library(spark, sf)
+    block = SE.open_block(SE.prepare_queries(TD.queries(spark, sf), TD.as_of()))
     terms = block.queries.select("query_id", F.explode("terms").alias("key"))
     return (
-        matches.filter("kind = 'term'").join(F.broadcast(terms), "key")
+        SE.signals(lib, block, None).filter("kind = 'term'").join(broadcast_if_small(terms), "key")
         .groupBy("query_id", "chunk_id")
         .agg(F.count("*").alias("terms"), F.sum("tf").cast("long").alias("occurrences"))
     )
 
 
 def bm25_scores(spark, sf):
-    _, _, stats, pairs = _opened(spark, sf)
-    spans = SE.extremes(pairs, stats["n"])
+    spans, pairs = _opened(spark, sf)
     scored = pairs.filter("bm25 > 0").join(F.broadcast(spans), "query_id")
     return scored.select(
         "query_id", "chunk_id", _round("bm25"),
@@ -78,11 +85,8 @@ def bm25_scores(spark, sf):
 
 
 def title_scores(spark, sf):
-    lib = TD.library(spark, sf)
-    block, matches, _, pairs = _opened(spark, sf)
-    return (
-        pairs.filter("title > 0").select("document_id", "query_id", _round("title")).distinct()
-    )
+    _, pairs = _opened(spark, sf)
+    return pairs.filter("title > 0").select("document_id", "query_id", _round("title")).distinct()
 
 
 def semantic_neighbours(spark, sf):

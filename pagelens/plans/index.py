@@ -13,11 +13,15 @@ from pagelens.model import Library
 
 @dataclass(frozen=True)
 class TermIndex:
-    """``postings(document_id, chunk_id, dl, term, tf)``, with ``WHOLE_CHUNK`` as a term."""
+    """``postings(document_id, chunk_id, term, tf)``, with ``WHOLE_CHUNK`` as a term."""
 
     postings: DataFrame
 
 
+#: Stands for the chunk itself among its terms: every chunk holds it as often as it has tokens.
+WHOLE_CHUNK = ""
+
+
 def corpus(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """Searchable text of each chunk with its document; chunks without a document drop out."""
     about = documents.select("document_id", "title", "summary")
@@ -31,31 +35,44 @@ def corpus(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def chunk_lengths(corpus_rows: DataFrame) -> DataFrame:
-    """Length of each chunk in tokens, at least one."""
-    size = F.greatest(F.size(T.tokens(F.col("corpus"))), F.lit(1))
-    return corpus_rows.select("document_id", "chunk_id", size.cast("long").alias("dl"))
+def heading(documents: DataFrame) -> DataFrame:
+    """What a document adds to the searchable text of each of its chunks, and its title."""
+    return documents.select("document_id", F.concat_ws("\n", "title", "summary").alias("text"), "title")
 
 
-# Stands for the chunk itself among its terms: every chunk holds it once.
-WHOLE_CHUNK = ""
+def chunk_lengths(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Length of each chunk in tokens, at least one; tokens are counted where the texts lie."""
+    size = F.size(T.tokens(F.coalesce("text", F.lit(""))))
+    own = chunks.select("document_id", "chunk_id", size.alias("own"))
+    above = heading(documents).select("document_id", size.alias("above"))
+    return own.join(above, "document_id").select(
+        "document_id", "chunk_id", F.greatest(F.col("own") + F.col("above"), F.lit(1)).cast("long").alias("dl"))
 
 
-def term_freq(corpus_rows: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+def _counts(texts: DataFrame, keys: list[str], terms: DataFrame | None) -> DataFrame:
+    """``keys, term, tf`` of texts; the whole text counts as often as it has tokens."""
+    rows = texts.select(*keys, T.tokens(F.coalesce("text", F.lit(""))).alias("_tokens")).select(
+        *keys, F.size("_tokens").alias("_size"), F.explode(F.array_append("_tokens", F.lit(WHOLE_CHUNK))).alias("term"))
+    if terms is not None:
+        rows = rows.join(F.broadcast(terms), "term")
+    times = F.when(F.col("term") == WHOLE_CHUNK, F.col("_size")).otherwise(F.lit(1))
+    return rows.groupBy(*keys, "term").agg(F.sum(times).alias("tf"))
+
+
+def term_freq(documents: DataFrame, chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Occurrences of each term in each chunk; with a small ``terms(term)``, of those only.
 
-    ``WHOLE_CHUNK`` counts as a term of every chunk, so that lengths and chunk numbers come out
-    of the same pass over the texts.
+    No token runs over from title or summary into the text, so each is counted where it lies and only
+    counts are joined. ``WHOLE_CHUNK`` counts as a term of every chunk, as often as the chunk has
+    tokens, so that lengths and chunk numbers come out of the same pass over the texts. Chunks
+    without a document drop out.
     """
-    found = T.tokens(F.col("corpus"))
-    rows = corpus_rows.select("document_id", "chunk_id", found.alias("_tokens")).select(
-        "document_id", "chunk_id",
-        F.greatest(F.size("_tokens"), F.lit(1)).cast("long").alias("dl"),
-        F.explode(F.array_append("_tokens", F.lit(WHOLE_CHUNK))).alias("term"),
-    )
-    if terms is not None:
-        rows = rows.join(F.broadcast(terms), "term")
-    return rows.groupBy("document_id", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    own = _counts(chunks, ["document_id", "chunk_id"], terms)
+    above = _counts(heading(documents), ["document_id"], terms)
+    spread = above.join(chunks.select("document_id", "chunk_id"), "document_id")
+    known = own.join(documents.select("document_id"), "document_id", "left_semi")
+    both = known.select("document_id", "chunk_id", "term", "tf").unionByName(spread)
+    return both.groupBy("document_id", "chunk_id", "term").agg(F.sum("tf").alias("tf"))
 
 
 def doc_freq(postings: DataFrame) -> DataFrame:
@@ -69,7 +86,7 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 
 
 def build_index(library: Library) -> TermIndex:
-    return TermIndex(term_freq(corpus(library.documents, library.chunks)))
+    return TermIndex(term_freq(library.documents, library.chunks))
 
 
 def write_index(index: TermIndex, directory: str) -> None:

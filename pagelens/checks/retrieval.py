@@ -152,6 +152,13 @@ def ranged_queries(spark, sf):
     return TD.queries(spark, sf, vectors=True).withColumns({"start_ms": start, "end_ms": end})
 
 
+def windowed_queries(spark, sf):
+    """Each query with a window that no other has, from an hour to months, some of them empty."""
+    start = F.lit(TD.AS_OF_MS) - (F.col("query_id") + 1) * 51_234_567
+    end = start + F.col("query_id") * 7_654_321 + F.when(F.col("query_id") % 5 == 0, -86_400_000).otherwise(3_600_001)
+    return TD.queries(spark, sf).withColumns({"start_ms": start, "end_ms": end})
+
+
 def named_queries(spark, sf):
     """Queries that name things: a quoted phrase of the passage, a company, LinkedIn, yesterday."""
     head = F.regexp_extract("text", "^([^ ]+ [^ ]+)", 1)
@@ -166,6 +173,8 @@ WITH_VECTOR = PLAIN.replace("NULL::FLOAT[]", "e.embedding").replace(
     "FROM benchmark", "FROM benchmark LEFT JOIN embeddings e ON e.vec_id = item_id")
 RANGED = WITH_VECTOR.replace("NULL::BIGINT AS start_ms", f"{AS_OF} - (item_id % 7) * {DAY} * 4 AS start_ms").replace(
     "NULL::BIGINT AS end_ms", f"{AS_OF} - (item_id % 7) * {DAY} * 4 + CASE WHEN item_id % 7 = 0 THEN 3600000 ELSE {DAY} END AS end_ms")
+WINDOWED = PLAIN.replace("NULL::BIGINT AS start_ms", f"{AS_OF} - (item_id + 1) * 51234567 AS start_ms").replace(
+    "NULL::BIGINT AS end_ms", f"{AS_OF} - (item_id + 1) * 51234567 + item_id * 7654321 + CASE WHEN item_id % 5 = 0 THEN -86400000 ELSE 3600001 END AS end_ms")
 NAMED = PLAIN.replace("text,", """'who works at ' || regexp_extract(text, '^[^ ]+ ([A-Za-z]+)', 1) || ' on linked in "' ||
   regexp_extract(text, '^([^ ]+ [^ ]+)', 1) || '" ' || CASE WHEN item_id % 2 = 0 THEN 'yesterday ' ELSE '' END || text AS text,""")
 
@@ -384,6 +393,7 @@ CHECKS = {
     "hybrid_search": (_search(plain_queries), search_sql(PLAIN)),
     "hybrid_search_vectors": (_search(vector_queries), search_sql(WITH_VECTOR)),
     "hybrid_search_ranges": (_search(ranged_queries), search_sql(RANGED)),
+    "hybrid_search_windows": (_search(windowed_queries), search_sql(WINDOWED)),
     "hybrid_search_entities": (_search(named_queries), search_sql(NAMED)),
     "search_confidence": (search_confidence, SEARCH_CONFIDENCE),
     "search_evidence": (search_evidence, SEARCH_EVIDENCE),

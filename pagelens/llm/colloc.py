@@ -3,8 +3,8 @@
 Each place in a text has one row: the word there and the ones that follow it in its piece, up to the longest
 phrase, as lead columns that are empty beyond the piece's end. Only these longest windows are counted. A phrase of
 fewer words occurs where a window begins with it, so ``ROLLUP`` over the columns sums the windows of each shorter
-beginning. Before that, windows are cut where no candidate can go on: at words that are rare, and behind beginnings
-that are rare together, as found where all windows of a beginning lie side by side.
+beginning. Before that, windows are cut where no candidate can go on: at words that are rare, between two words that
+are rare together, and behind longer beginnings that are rare, as found where their windows lie side by side.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ from pagelens.operators.spread import top_n
 LONGEST, LEAST, FIRST, PERCENT = 5, 100, 2000, 100
 #: Frequent words whose fingerprints tasks get (8 bytes each); with more, windows aren't cut at rare words and have the fingerprints themselves.
 VOCABULARY = 4_000_000
+#: Frequent pairs of words that tasks get (8 bytes each); with more, windows aren't cut between two words.
+PAIRS = 4_000_000
 #: Rows up to which a side is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 #: Bytes of text that windows are counted in before they are handed on.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PIECE_END, GAP = ".,;:!?\n\x0b\x0c\r", " \t"
@@ -85,15 +87,29 @@ def parts(data: bytes) -> Iterator[bytes]:
         start = end
 
 
-def leads(words: np.ndarray, pieces: np.ndarray) -> list[np.ndarray]:
-    """The words at and after each place, 0 from where its piece or a run of frequent words (not 0) ends; without places of rare words."""
-    out, going = [words], words != 0
-    for i in range(1, LONGEST):
-        after, place = np.zeros_like(words), np.full_like(pieces, -1)
-        after[:-i], place[:-i] = words[i:], pieces[i:]
-        going = going & (place == pieces) & (after != 0)
-        out.append(np.where(going, after, 0))
-    return [c[words != 0] for c in out]
+def leads(words: np.ndarray, pieces: np.ndarray, longest: int = LONGEST, pairs: np.ndarray | None = None) -> list[np.ndarray]:
+    """The words at and after each place, 0 from where its piece or a run of frequent words (not 0) ends.
+
+    With ``pairs``, sorted, a window ends between two words that are none of them.
+    """
+    joined = words[1:] if len(words) else words
+    goes_on = (words[:-1] != 0) & (joined != 0) & (pieces[:-1] == pieces[1:])
+    if pairs is not None and len(pairs):
+        both = pair(words[:-1], joined)
+        goes_on &= pairs[np.minimum(np.searchsorted(pairs, both), len(pairs) - 1)] == both
+    goes_on = np.append(goes_on, False)  # nothing follows the last word
+    starts = np.flatnonzero(words != 0)
+    out, going = [words[starts]], np.ones(len(starts), bool)
+    for i in range(1, longest):
+        before = np.minimum(starts + i - 1, len(words) - 1)
+        going = going & goes_on[before]
+        out.append(np.where(going, words[np.minimum(before + 1, len(words) - 1)], 0))
+    return out
+
+
+def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Two places in a vocabulary as one number."""
+    return first << 32 | second
 
 
 def counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -110,46 +126,72 @@ def counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [c[first] for c in columns], np.diff(np.append(first, size))
 
 
-def windows(docs: DataFrame, text: str, lang: str, frequent: np.ndarray | None) -> DataFrame:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """Languages and texts of some ``BLOCK_BYTES``."""
+    held: dict[str, list[bytes]] = {}
+    size = 0
+    for batch in batches:
+        for language, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part in parts(value.as_buffer().to_pybytes()):
+                held.setdefault(language, []).append(part)
+                size += len(part)
+                if size >= BLOCK_BYTES:
+                    yield from ((known, b"\n".join(texts)) for known, texts in held.items())
+                    held, size = {}, 0
+    yield from ((known, b"\n".join(texts)) for known, texts in held.items())
+
+
+def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
+    return docs.select(language(F.col(lang)).alias("lang"), F.col(text).cast("string").alias("text")).filter("text != ''")
+
+
+def _numbers(found: np.ndarray, frequent: np.ndarray | None) -> np.ndarray:
+    """Words as their places in ``frequent`` from 1 on, 0 for others; without it as their fingerprints."""
+    if frequent is None:
+        return np.where(found == 0, 1, found).view(np.int64)
+    at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+    return np.where(frequent[at] == found, at + 1, 0).astype(np.int64)
+
+
+def _named(language: str, n: np.ndarray) -> pa.Array:
+    return pa.array([language]).take(pa.array(np.zeros(len(n), np.int32)))
+
+
+def frequent_pairs(docs: DataFrame, text: str, lang: str, frequent: np.ndarray, least: int) -> DataFrame:
+    """``pair``, written: two words, as places in ``frequent``, that follow one another ``least`` times in some language."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for language, data in _blocks(batches):
+            found, pieces = places(data)
+            first, second = leads(_numbers(found, shared.value), pieces, 2)
+            both, n = np.unique(pair(first, second)[second != 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([_named(language, n), pa.array(both), pa.array(n.astype(np.int64))], ["lang", "pair", "n"])
+
+    each = _texts(docs, text, lang).mapInArrow(run, "lang string, pair long, n long").groupBy("lang", "pair").agg(F.sum("n").alias("n"))
+    return stored(each.filter(F.col("n") >= least).select("pair").distinct(), "pairs")
+
+
+def windows(docs: DataFrame, text: str, lang: str, frequent: np.ndarray | None, pairs: np.ndarray | None = None) -> DataFrame:
     """``lang, w1 ... w5, n``: the longest windows, combined in each block of texts.
 
     Words are their places in ``frequent``, sorted fingerprints, from 1 on; without it they are their fingerprints.
     """
-    bounded_batches(docs.sparkSession)
-    shared = None if frequent is None else docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def numbers(found: np.ndarray) -> np.ndarray:
-        if shared is None:
-            return np.where(found == 0, 1, found).view(np.int64)
-        known = shared.value
-        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-        return np.where(known[at] == found, at + 1, 0).astype(np.int64)
-
-    def rows(language: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        found, pieces = places(b"\n".join(texts))
-        columns = leads(numbers(found), pieces)
-        if len(columns[0]):
-            columns, n = counted(columns)
-            yield pa.RecordBatch.from_arrays([pa.array([language]).take(pa.array(np.zeros(len(n), np.int32))), *map(pa.array, columns), pa.array(n.astype(np.int64))], ["lang", *LEADS, "n"])
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, pairs))
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[bytes]] = {}
-        size = 0
-        for batch in batches:
-            for language, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for part in parts(value.as_buffer().to_pybytes()):
-                    held.setdefault(language, []).append(part)
-                    size += len(part)
-                    if size >= BLOCK_BYTES:
-                        for known, texts in held.items():
-                            yield from rows(known, texts)
-                        held, size = {}, 0
-        for known, texts in held.items():
-            yield from rows(known, texts)
+        known, both = shared.value
+        for language, data in _blocks(batches):
+            found, pieces = places(data)
+            columns = leads(_numbers(found, known), pieces, pairs=both)
+            if len(columns[0]):
+                columns, n = counted(columns)
+                yield pa.RecordBatch.from_arrays([_named(language, n), *map(pa.array, columns), pa.array(n.astype(np.int64))], ["lang", *LEADS, "n"])
 
-    given = docs.select(language(F.col(lang)).alias("lang"), F.col(text).cast("string").alias("text")).filter("text != ''")
-    return given.mapInArrow(run, f"lang string, {', '.join(f'{c} long' for c in LEADS)}, n long")
+    return _texts(docs, text, lang).mapInArrow(run, f"lang string, {', '.join(f'{c} long' for c in LEADS)}, n long")
 
 
 def pruned(all: DataFrame, least: int) -> DataFrame:
@@ -215,7 +257,7 @@ def spelled(phrases: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, first: int = FIRST, percent: int = PERCENT,
-                 vocabulary_rows: int = VOCABULARY) -> DataFrame:
+                 vocabulary_rows: int = VOCABULARY, pair_rows: int = PAIRS) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``first`` phrases of each language by score, count and spelling.
 
     A candidate has two to five words of one piece (``.,;:!?`` and line ends part pieces, blanks and tabs words;
@@ -233,12 +275,16 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     size = vocabulary.count()
     if vocabulary.groupBy("id").count().filter("count > 1").limit(1).count():
         raise ValueError("two frequent words have the same fingerprint")
-    frequent = None
+    frequent = pairs = None
     if size <= vocabulary_rows:
         frequent = np.sort(vocabulary.select("id").toPandas()["id"].to_numpy(np.int64).view(np.uint64))
         if not size:
             frequent = np.zeros(1, np.uint64)
-    longest = stored(pruned(windows(docs, text, lang, frequent), least), "longest")
+        together = frequent_pairs(docs, text, lang, frequent, least)
+        if together.limit(pair_rows + 1).count() <= pair_rows:
+            pairs = np.append(np.int64(-1), np.sort(together.toPandas()["pair"].to_numpy(np.int64)))
+        discard(together)
+    longest = stored(pruned(windows(docs, text, lang, frequent, pairs), least), "longest")
     phrases = stored(_as_fingerprints(phrase_counts(longest, least), frequent), "phrases")
     best = stored(scored(phrases, totals), "scored")
     named = spelled(outer(best, percent), vocabulary)

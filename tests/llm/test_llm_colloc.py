@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from pagelens.llm import colloc
@@ -47,7 +48,7 @@ def found(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("how", [{}, {"vocabulary_rows": 3}, {"percent": 60}])
+@pytest.mark.parametrize("how", [{}, {"vocabulary_rows": 3}, {"pair_rows": 2}, {"percent": 60}])
 def test_like_brute_force(spark, how, monkeypatch):
     if how.get("percent"):
         monkeypatch.setattr(colloc, "BROADCAST_ROWS", 0)
@@ -67,6 +68,15 @@ def test_products_beyond_64_bits(spark):
     assert got == {(1, 2): (big + 3, big + 1, 1000 * big * (9 * big + 7) // ((big + 3) * (big + 1)))}
 
 
+def test_windows_end_where_no_phrase_goes_on():
+    words, pieces = np.array([1, 2, 0, 3, 3, 1, 2, 2]), np.array([0, 0, 0, 0, 0, 0, 1, 1])
+    assert [c.tolist() for c in colloc.leads(words, pieces, 3)] == [[1, 2, 3, 3, 1, 2, 2], [2, 0, 3, 1, 0, 2, 0], [0, 0, 1, 0, 0, 0, 0]]
+    known = np.sort(colloc.pair(np.array([3, 2]), np.array([1, 2])))
+    assert [c.tolist() for c in colloc.leads(words, pieces, 3, known)] == [[1, 2, 3, 3, 1, 2, 2], [0, 0, 0, 1, 0, 2, 0], [0] * 7]
+    for few in ([], [5]):
+        assert [len(c) for c in colloc.leads(np.array(few, dtype=np.int64), np.array(few, dtype=np.int64))] == [len(few)] * 5
+
+
 def test_no_words(spark):
     docs = spark.createDataFrame([(None, "en"), ("", None), ("some few words", "en")], "text string, lang string")
     assert found(colloc.collocations(docs)) == [] and found(colloc.collocations(docs.limit(0))) == []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagelens.checks import sql as Q
@@ -18,14 +19,15 @@ from pagelens.operators import history as H
 from pagelens.operators import library as L
 from pagelens.operators import vectors as V
 from pagelens.plans import ingest as IN
+from pagelens.plans.index import WHOLE_CHUNK
 from pagelens.plans.report import library_report
-from pagelens.session import shared_folder
+from pagelens.session import materialise, shared_folder
 from pagelens.sources import html as HT
 from pagelens.sources import testdata as TD
 from pagelens.streaming.events import drop_repeats
 from pagelens.streaming.ingest import stream_ingest
 from pagelens.streaming.limits import rate_limit_stream
-from pagelens.streaming.store import open_library
+from pagelens.streaming.store import append_batch, compact, open_library
 
 
 def _round(name):
@@ -400,7 +402,62 @@ def stream_pages(spark, sf):
     return L.library_counts(open_library(spark, home, TD.as_of()))
 
 
+def _library_home(spark):
+    return f"{shared_folder(spark)}/library-{uuid.uuid4().hex}"
+
+
+def _arrivals(spark, sf):
+    """Documents as cleaned pages, in the order of their numbers."""
+    return TD.documents(spark, sf, with_text=True).select(
+        F.lit(0).cast("long").alias("tenant_id"), "url", "domain", "title", "text", "summary",
+        F.col("last_visited_at").alias("visited_at"), F.col("document_id").alias("seq"))
+
+
+def index_segments(spark, sf):
+    """The term index after all pages came in, were compacted, and a third of them came again with another text."""
+    home, pages = _library_home(spark), _arrivals(spark, sf)
+    append_batch(pages, home, 0, "first")
+    compact(spark, home, TD.as_of())
+    again = pages.filter("seq % 3 = 0").withColumns(
+        {"text": F.concat("text", F.lit(" words that came later")), "seq": F.col("seq") + 1_000_000_000})
+    append_batch(again, home, 0, "second")
+    lib = open_library(spark, home, TD.as_of())
+    own = F.col("term") != WHOLE_CHUNK
+    return lib.postings.join(lib.documents.select("document_id", "url"), "document_id").groupBy(
+        "url", (F.col("chunk_id") % C.ID_STRIDE).alias("ord")).agg(
+        F.max(F.when(~own, F.col("tf"))).alias("tokens"), F.count_if(own).alias("terms"),
+        F.coalesce(F.sum(F.when(own, F.col("tf"))), F.lit(0)).cast("long").alias("occurrences"))
+
+
+INDEX_SEGMENTS = f"""WITH {DOCS}, revised AS (
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' words that came later' ELSE text END AS text FROM documents),
+{CHUNKS.replace('FROM documents', 'FROM revised')},
+toks AS (SELECT document_id, ord, {Q.tokens('text')} AS ts FROM chunks)
+SELECT url, ord, len(ts) AS tokens, len(list_distinct(ts)) AS terms, len(ts) AS occurrences FROM toks JOIN docs USING (document_id)"""
+
+
+def stable_ids(spark, sf):
+    """Numbers of documents while batches of two streams arrive, pages are evicted and batches are folded in."""
+    home, pages = _library_home(spark), _arrivals(spark, sf)
+    append_batch(pages.filter("seq % 2 = 0"), home, 0, "first")
+    before = materialise(open_library(spark, home, TD.as_of()).documents.select("url", F.col("document_id").alias("was")))
+    append_batch(pages, home, 0, "second")
+    append_batch(pages, home, 0, "second")
+    compact(spark, home, TD.as_of())
+    append_batch(pages.filter("seq % 5 = 0").withColumn("url", F.concat("url", F.lit("/new"))), home, 1, "first")
+    after = open_library(spark, home, TD.as_of()).documents
+    told_apart = F.count("*").over(Window.partitionBy("document_id")) == 1
+    return after.join(before, "url", "left").select(
+        "url", _long("visit_count"), F.coalesce(F.col("was") == F.col("document_id"), F.lit(True)).alias("kept"), told_apart.alias("alone"))
+
+
+STABLE_IDS = f"""WITH {DOCS} SELECT url, CASE WHEN document_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS visit_count, true AS kept, true AS alone FROM docs
+UNION ALL SELECT url || '/new', 1, true, true FROM docs WHERE document_id % 5 = 0"""
+
+
 CHECKS = {
+    "index_segments": (index_segments, INDEX_SEGMENTS),
+    "stable_ids": (stable_ids, STABLE_IDS),
     "table_counts": (table_counts, TABLE_COUNTS),
     "embed_coverage": (embed_coverage, EMBED_COVERAGE),
     "embedding_job": (embedding_job, EMBEDDING_JOB),

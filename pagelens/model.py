@@ -38,6 +38,13 @@ VISITS = T.StructType([
     T.StructField("text_length", T.IntegerType()),
 ])
 
+POSTINGS = T.StructType([
+    T.StructField("document_id", T.LongType()),
+    T.StructField("chunk_id", T.LongType()),
+    T.StructField("term", T.StringType()),
+    T.StructField("tf", T.LongType()),
+])
+
 CONVERSATIONS = T.StructType([
     T.StructField("conversation_id", T.LongType()),
     T.StructField("created_at", T.TimestampType()),
@@ -92,6 +99,7 @@ TABLES = {
     "conversations": CONVERSATIONS,
     "messages": MESSAGES,
     "digests": DIGESTS,
+    "postings": POSTINGS,
 }
 
 # States of a chunk's vector; blank chunks are skipped.
@@ -108,6 +116,8 @@ class Library:
     conversations: DataFrame | None = None
     messages: DataFrame | None = None
     digests: DataFrame | None = None
+    #: The term index, if the library keeps one: ingest brings it up to date, searches use it.
+    postings: DataFrame | None = None
 
     def with_tables(self, **tables: DataFrame) -> "Library":
         return replace(self, **tables)

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from pagelens.functions.text import nonempty
 from pagelens.functions.urls import hostname
 from pagelens.model import TABLES, Library
-from pagelens.operators.spread import bucket_totals, dense_ids, top_n
+from pagelens.operators.spread import bucket_totals, number_rows, top_n
 
 # Engagement per visit and the retention limits.
 FIRST_VISIT, REVISIT, LENGTH_GAIN, LENGTH_SCALE, MIGRATED = 0.12, 0.07, 0.15, 25_000, 0.15
 MAX_DOCUMENTS, MAX_CHUNKS, CHUNK_HEADROOM, MAX_VISITS = 10_000, 250_000, 44, 50_000
+#: Parts in which the new addresses of one batch are numbered.
+SLICES = 4096
 #: Where documents without a visit stand: the first second of year 1.
 NEVER = -62_135_596_800
 
@@ -44,12 +46,16 @@ def fold_engagement(batch: DataFrame) -> DataFrame:
             newest_nonempty("domain"),
             F.max_by("summary", "seq").alias("summary"),
             F.max_by("visited_at", "seq").alias("last_visited_at"),
+            (F.min("position") if "position" in batch.columns else F.lit(0).cast("long")).alias("position"),
         )
     )
 
 
 def upsert_documents(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """Existing documents merged with a batch of visits, in arrival order ``seq``."""
+    """Existing documents merged with a batch of visits, in arrival order ``seq``.
+
+    ``position`` is that of the first batch with the address, where visits come with one.
+    """
     new = fold_engagement(batch).alias("n")
     old = existing.alias("o")
     joined = old.join(new, "url", "full_outer")
@@ -71,18 +77,23 @@ def upsert_documents(existing: DataFrame, batch: DataFrame) -> DataFrame:
         (F.coalesce(F.col("o.visit_count"), F.lit(0)) + F.coalesce(F.col("n.visits"), F.lit(0)))
         .cast("int").alias("visit_count"),
         F.when(seen, F.least(F.lit(1.0), start)).otherwise(F.col("o.importance")).alias("importance"),
+        F.col("n.position").alias("position"),
     )
     return merged
 
 
-def number_new_documents(merged: DataFrame, existing: DataFrame) -> DataFrame:
-    """Give documents without an id the next free numbers."""
+def number_new_documents(merged: DataFrame, existing: DataFrame, start: int | None = None) -> DataFrame:
+    """Give documents without an id the next free numbers, from ``start`` if that is more.
+
+    Numbers go by the position of the first batch with the address, so that batches added later change none.
+    """
     top = existing.agg(F.max("document_id").alias("m")).first()["m"]
-    fresh = dense_ids(
-        merged.filter("document_id is null").drop("document_id"), "url",
-        0 if top is None else top + 1, "document_id",
-    )
-    return merged.filter("document_id is not null").unionByName(fresh.select(merged.columns))
+    free = max(0 if top is None else top + 1, start or 0)
+    slice_ = F.coalesce("position", F.lit(0)) * SLICES + F.pmod(F.xxhash64("url"), F.lit(SLICES))
+    new = merged.filter("document_id is null").drop("document_id").withColumn("_slice", slice_)
+    fresh = number_rows(new, [], "_slice", [F.col("url")], "document_id").withColumn("document_id", F.col("document_id") + F.lit(free - 1))
+    columns = [c for c in merged.columns if c != "position"]
+    return merged.filter("document_id is not null").select(columns).unionByName(fresh.select(columns))
 
 
 def replace_chunks(chunks: DataFrame, new: DataFrame, documents: DataFrame) -> DataFrame:
@@ -182,8 +193,9 @@ def enforce_retention(library: Library, **limits) -> Library:
     """Library without the documents beyond its limits, and without their chunks."""
     counts = library.chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"))
     documents = retain(library.documents, counts, **limits).drop("n_chunks")
-    chunks = library.chunks.join(documents.select("document_id"), "document_id", "left_semi")
-    return library.with_tables(documents=documents, chunks=chunks)
+    own = documents.select("document_id")
+    postings = library.postings if library.postings is None else library.postings.join(own, "document_id", "left_semi")
+    return library.with_tables(documents=documents, chunks=library.chunks.join(own, "document_id", "left_semi"), postings=postings)
 
 
 def clear_library(spark, directory: str) -> None:

@@ -110,13 +110,6 @@ def next_value(
     )
 
 
-def dense_ids(df: DataFrame, key: str, start: int, name: str, slices: int = 4096) -> DataFrame:
-    """Consecutive numbers from ``start`` for rows with a unique ``key``; the same on every run."""
-    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices)))
-    numbered = number_rows(sliced, [], "_slice", [F.col(key)], name)
-    return numbered.withColumn(name, F.col(name) + F.lit(start - 1)).drop("_slice")
-
-
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it needs to know that."""
     return df.limit(rows + 1).count() <= rows

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.model import Library
+from pagelens.sources.tables import read_table, write_table
 
 
 @dataclass(frozen=True)
 class TermIndex:
-    """``postings(document_id, chunk_id, term, tf)``, with ``WHOLE_CHUNK`` as a term."""
+    """``postings(document_id, chunk_id, term, tf)`` of the chunks' texts, with ``WHOLE_CHUNK`` as a term.
+
+    Titles and summaries are short and change with every visit: they are counted when a search needs them.
+    """
 
     postings: DataFrame
 
@@ -59,17 +63,22 @@ def _counts(texts: DataFrame, keys: list[str], terms: DataFrame | None) -> DataF
     return rows.groupBy(*keys, "term").agg(F.sum(times).alias("tf"))
 
 
-def term_freq(documents: DataFrame, chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+def text_postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """Occurrences of each term in each chunk's text."""
+    return _counts(chunks, ["document_id", "chunk_id"], terms)
+
+
+def term_freq(documents: DataFrame, chunks: DataFrame, terms: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
     """Occurrences of each term in each chunk; with a small ``terms(term)``, of those only.
 
     No token runs over from title or summary into the text, so each is counted where it lies and only
-    counts are joined. ``WHOLE_CHUNK`` counts as a term of every chunk, as often as the chunk has
-    tokens, so that lengths and chunk numbers come out of the same pass over the texts. Chunks
-    without a document drop out.
+    counts are joined; ``own`` are the texts' postings if they are known. ``WHOLE_CHUNK`` counts as a term of
+    every chunk, as often as the chunk has tokens, so that lengths and chunk numbers come out of the same
+    pass over the texts. Chunks without a document drop out.
     """
-    own = _counts(chunks, ["document_id", "chunk_id"], terms)
+    own = text_postings(chunks, terms) if own is None else own
     above = _counts(heading(documents), ["document_id"], terms)
-    spread = above.join(chunks.select("document_id", "chunk_id"), "document_id")
+    spread = above.join(own.filter(F.col("term") == WHOLE_CHUNK).select("document_id", "chunk_id"), "document_id")
     known = own.join(documents.select("document_id"), "document_id", "left_semi")
     both = known.select("document_id", "chunk_id", "term", "tf").unionByName(spread)
     return both.groupBy("document_id", "chunk_id", "term").agg(F.sum("tf").alias("tf"))
@@ -86,20 +95,19 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 
 
 def build_index(library: Library) -> TermIndex:
-    return TermIndex(term_freq(library.documents, library.chunks))
+    return TermIndex(text_postings(library.chunks))
 
 
-def write_index(index: TermIndex, directory: str) -> None:
-    """Store the postings sorted by term, so a search reads only its own terms' row groups.
+def replace_postings(postings: DataFrame, fresh: DataFrame, documents: DataFrame) -> DataFrame:
+    """Postings after the listed documents got new chunks, whose postings are ``fresh``; nothing else is counted again."""
+    kept = postings.join(documents.select("document_id").distinct(), "document_id", "left_anti")
+    return kept.unionByName(fresh.select(postings.columns))
 
-    The range also covers the document, which splits frequent terms over many files.
-    """
-    (
-        index.postings.repartitionByRange("term", "document_id")
-        .sortWithinPartitions("term", "document_id")
-        .write.mode("overwrite").parquet(f"{directory}/postings")
-    )
+
+def write_index(index: TermIndex, directory: str) -> None:
+    """Store the postings sorted by term, so a search reads only its own terms' row groups."""
+    write_table(index.postings, directory, "postings")
 
 
 def read_index(spark: SparkSession, directory: str) -> TermIndex:
-    return TermIndex(spark.read.parquet(f"{directory}/postings"))
+    return TermIndex(read_table(spark, directory, "postings"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,9 +15,18 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return df.select(TABLES[name].names)
 
 
+def read_if_there(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+
+
 def read_library(spark: SparkSession, directory: str) -> Library:
-    """All tables of a library; lazily, with fixed schemas."""
-    return Library(**{name: read_table(spark, directory, name) for name in TABLES})
+    """All tables of a library that were written; lazily, with fixed schemas."""
+    return Library(**{name: read_if_there(spark, f"{directory}/{name}", TABLES[name]) for name in TABLES})
 
 
 def read_visits(spark: SparkSession, directory: str, start, end) -> DataFrame:
@@ -36,6 +46,9 @@ def write_table(df: DataFrame, directory: str, name: str) -> None:
     if name == "visits":
         dated = out.withColumn("visit_date", F.to_date("visited_at"))
         dated.write.mode("overwrite").partitionBy("visit_date").parquet(target)
+    elif name == "postings":
+        # The range also covers the document, which splits frequent terms over many files.
+        out.repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id").write.mode("overwrite").parquet(target)
     else:
         out.write.mode("overwrite").parquet(target)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +19,11 @@ from pagelens.streaming.store import append_batch, append_outcomes
 DRAIN = {"availableNow": True}
 
 
+def query_of(batch: DataFrame, checkpoint: str) -> str:
+    """The id that a checkpoint gave its query: batches of two streams, or of a fresh checkpoint, don't meet."""
+    return json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+
+
 def stream_ingest(
     pages: DataFrame,
     directory: str,
@@ -41,10 +48,11 @@ def stream_ingest(
         stream = rate_limit_stream(calls, "host_key", per_minute, order="seq").drop("host_key", "ts")
 
     def append(batch: DataFrame, batch_id: int) -> None:
+        query = query_of(batch, checkpoint)
         cleaned = clean_pages(batch.filter("allowed").drop("allowed"), policy).persist()
-        append_batch(cleaned.filter("reason is null"), directory, batch_id)
         refused = batch.filter(~F.col("allowed")).withColumn("reason", F.lit("rate_limited"))
-        append_outcomes(cleaned, refused, directory, batch_id)
+        append_outcomes(cleaned, refused, directory, batch_id, query)
+        append_batch(cleaned.filter("reason is null"), directory, batch_id, query)
         cleaned.unpersist()
 
     writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pagelens.model import TABLES, Policy
 from pagelens.operators import activity as A
 from pagelens.operators import vectors as V
+from pagelens.plans import index as I
+from pagelens.plans import search as SE
 from pagelens.streaming import events as EV
 from pagelens.streaming import ingest as SI
 from pagelens.streaming import limits as LI
@@ -88,6 +90,62 @@ def test_pages_flow_into_the_library(spark, tmp_path):
     assert ST.open_library(spark, home, as_of()).documents.filter("url = 'https://c.test/'").first()["visit_count"] == 1
 
 
+def test_two_streams_share_a_library_and_ids_stay(spark, tmp_path):
+    text = "some words to read about things " * 10
+    home = str(tmp_path / "library")
+
+    def run(name, rows, parts=1):
+        stream = files(spark, rows, PAGE, str(tmp_path / name), parts)
+        SI.stream_ingest(stream, home, str(tmp_path / f"c-{name}"), Policy()).awaitTermination()
+        return {r["url"]: r["document_id"] for r in ST.open_library(spark, home, as_of()).documents.collect()}
+
+    def page(i, extra=""):
+        return (0, f"https://a.test/{i}", "T", text + extra, NOW + timedelta(minutes=i), i)
+
+    # Both count their batches from 0; so does a fresh checkpoint of the first.
+    first = run("a", [page(i) for i in range(5, 15)], 2)
+    second = run("b", [page(i, "again") for i in range(10)])
+    assert len(second) == 15 and first.items() <= second.items() and sorted(second.values()) == list(range(15))
+    assert ST.compact(spark, home, as_of(), limits={"max_documents": 4}) == 1
+    kept = {r["url"]: r["document_id"] for r in ST.open_library(spark, home, as_of()).documents.collect()}
+    assert len(kept) == 4 and kept.items() <= second.items()
+    third = run("fresh", [page(i) for i in range(20, 23)])
+    # Numbers of evicted documents aren't given again.
+    assert kept.items() <= third.items() and sorted(set(third.values()) - set(kept.values())) == [15, 16, 17]
+    assert ST.compact(spark, home, as_of()) == 2 and ST.current_base(spark, home)[2] == 18
+
+
+def test_search_over_segments_equals_search_after_a_rebuild(spark, tmp_path):
+    rng = random.Random(6)
+    home, words = str(tmp_path / "library"), "alpha beta gamma delta epsilon zeta eta theta".split()
+
+    def pages(numbers, seq):
+        rows = [(0, f"https://a.test/{i}", "a.test", rng.choice(words).title(), " ".join(rng.choices(words, k=rng.choice([5, 60, 900]))), "sum", NOW - timedelta(hours=i), seq + i)
+                for i in numbers]
+        return spark.createDataFrame(rows, ST.DELTA)
+
+    asked = spark.createDataFrame([(0, "alpha zeta"), (1, "theta"), (2, "unknown beta")], "query_id long, text string")
+
+    def hits(lib):
+        return [(r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in SE.hybrid_search(asked, lib, as_of(), k=6).orderBy("query_id", "rank").collect()]
+
+    for batch, (numbers, fold) in enumerate([(range(12), True), (range(6, 18), False), ([1, 7, 17], False)]):
+        ST.append_batch(pages(numbers, batch * 100), home, batch)
+        if fold:
+            ST.compact(spark, home, as_of())
+    lib = ST.open_library(spark, home, as_of())
+    rebuilt = lib.with_tables(postings=None)
+    assert hits(lib) == hits(rebuilt) and len(hits(lib)) == 18
+
+    def table(df):
+        return sorted(map(tuple, df.select("document_id", "chunk_id", "term", "tf").collect()))
+
+    assert table(lib.postings) == table(I.build_index(rebuilt).postings)
+    ST.compact(spark, home, as_of(), limits={"max_documents": 5})
+    small = ST.open_library(spark, home, as_of())
+    assert small.documents.count() == 5 and table(small.postings) == table(I.build_index(small).postings)
+
+
 def test_calls_over_the_limit_are_not_indexed(spark, tmp_path):
     text = "some words to read about things " * 10
     rows = [(0, f"https://a.test/{i}", "T", text, NOW + timedelta(seconds=i), i) for i in range(5)]

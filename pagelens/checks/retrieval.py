@@ -271,8 +271,8 @@ def _search(make):
     return run
 
 
-REASON = """CASE WHEN len(telling) >= 2 THEN 'Phrases in page: ' || array_to_string(telling[1:3], ', ')
-  WHEN len(telling) = 1 AND length(telling[1]) >= 8 THEN 'Notable term in page: “' || telling[1] || '”' END"""
+REASON = """CASE WHEN len(telling) >= 2 THEN 'Words of the query: ' || array_to_string(telling[1:3], ', ')
+  WHEN len(telling) = 1 AND length(telling[1]) >= 8 THEN 'A rare word of the query: ' || telling[1] END"""
 
 
 def search_sql(asked: str) -> str:
@@ -280,9 +280,9 @@ def search_sql(asked: str) -> str:
   AND contains(lower(d.title || ' ' || c.text), t)) AS telling
   FROM hits h JOIN docs d USING (document_id) JOIN chunks c USING (chunk_id))
 SELECT query_id, rank, document_id, chunk_id, url, round(score, 6) AS score, {REASON} AS match_reason,
-  CASE WHEN semantic THEN 'Semantic layer ~' || floor(least(100, greatest(0, cos * 100)) + 0.5)::BIGINT || '% aligned with your query'
-    ELSE 'Semantic layer weak — this rank leaned on keywords and recency' END || '. Keyword layer ~' ||
-    floor(least(100, greatest(0, share * 100)) + 0.5)::BIGINT || '% vs other passages in your library.' AS score_breakdown,
+  CASE WHEN semantic THEN 'Meaning: ' || floor(least(100, greatest(0, cos * 100)) + 0.5)::BIGINT || ' % like the query'
+    ELSE 'Meaning: not compared, words and dates decided' END || '. Words: ' ||
+    floor(least(100, greatest(0, share * 100)) + 0.5)::BIGINT || ' % of the best passage.' AS score_breakdown,
   span IS NOT NULL AND NOT any_inside AS time_relaxed FROM shown"""
 
 
@@ -303,10 +303,9 @@ def search_evidence(spark, sf):
 
 
 SEARCH_EVIDENCE = search_ctes(RANGED) + """
-SELECT query_id, count(*) AS hits, 'Showing ' || count(*) || ' saved page' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END ||
-  ' from your library.' || CASE WHEN any_value(span) IS NULL THEN '' WHEN NOT bool_or(any_inside)
-    THEN ' Nothing logged in that date window — widened to the closest matches.'
-    ELSE ' Filtered to the visits in your date window.' END AS evidence
+SELECT query_id, count(*) AS hits, count(*) || CASE WHEN count(*) = 1 THEN ' page fits.' ELSE ' pages fit.' END || CASE WHEN any_value(span) IS NULL THEN '' WHEN NOT bool_or(any_inside)
+    THEN ' None of them was read in the time asked for.'
+    ELSE ' All of them were read in the time asked for.' END AS evidence
 FROM hits GROUP BY query_id"""
 
 

@@ -22,6 +22,16 @@ RESERVED, PER_SOURCE, SHOWN, LISTED, FRESH_MINUTES = 2_000, 300, 600, 24, 30
 NO_NARRATIVE = "No summary generated."
 
 
+#: What the model is told before any prompt; ``parse_digest`` reads this layout.
+LAYOUT = """Sum up what was read, from the numbered passages alone, in three parts with these headings:
+NARRATIVE: two or three sentences on what the reading was about
+TOPICS:
+- a topic, named as closely as the passages allow (2 pages)
+INSIGHTS:
+- one thing that can be learned from a passage, with its number [1]
+Give three to five topics, the most important first, and two to four insights, each resting on one passage."""
+
+
 def periods(ranges: Sequence[str], as_of: Column) -> Column:
     """Start and end of each named period, as an array of structs."""
     now = F.unix_millis(as_of)
@@ -76,8 +86,8 @@ def pack_digest(by_period: DataFrame, chunks: DataFrame, max_chars: int = SMALL_
 
 def digest_prompts(packed: DataFrame, ranges: Sequence[str], as_of: Column) -> DataFrame:
     block = F.concat(
-        F.lit("["), F.col("n"), F.lit('] "'), F.col("title"), F.lit('" ('), F.col("domain"),
-        F.lit(")\n"), F.substring("text", 1, SHOWN),
+        F.lit("["), F.col("n"), F.lit("] "), F.col("title"), F.lit(" — "), F.col("domain"),
+        F.lit("\n"), F.substring("text", 1, SHOWN),
     )
     spans = packed.sparkSession.range(1).select(F.inline(periods(ranges, as_of)))
 
@@ -85,12 +95,12 @@ def digest_prompts(packed: DataFrame, ranges: Sequence[str], as_of: Column) -> D
         return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd")
 
     return join_blocks(packed, "range", block).join(spans, "range").select(
-        "range", "source_count",
+        "range", "source_count", F.lit(LAYOUT).alias("system"),
         F.concat(
-            F.lit("Time period: "), day("start_ms"), F.lit(" to "), day("end_ms"),
-            F.lit("\nRepresentative passages from "), F.col("source_count"),
-            F.lit(" visits:\n\nSOURCES:\n\n"), F.col("blocks"),
-            F.lit("\n\nGenerate the digest now in the required format."),
+            F.lit("Read between "), day("start_ms"), F.lit(" and "), day("end_ms"),
+            F.lit(", one passage for each of "), F.col("source_count"),
+            F.lit(" pages:\n\n"), F.col("blocks"),
+            F.lit("\n\nWrite the digest in the layout given."),
         ).alias("prompt"),
     )
 
@@ -121,8 +131,7 @@ def digest_facts(by_period: DataFrame, ranges: Sequence[str], as_of: Column) ->
         )).otherwise(sources).alias("sources"),
         F.when(
             F.col("page_count").isNull(),
-            F.concat(F.lit("You didn't visit any indexed pages "), label,
-                     F.lit(". Browse some content and try again.")),
+            F.concat(F.lit("The library has no page read "), label, F.lit(", so there is nothing to sum up.")),
         ).alias("message"),
     )
 

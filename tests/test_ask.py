@@ -63,9 +63,10 @@ def test_prompt_or_message_for_every_question(spark):
     contexts, sources = ASK.build_contexts(questions, lib, as_of())
     got = {r["question_id"]: r for r in contexts.collect()}
     assert set(got) == {1, 2, 3} and got[3]["prompt"] is None and got[3]["message"] == ASK.TOO_LONG
-    assert got[1]["prompt"].startswith('Today is 2023-11-14.\n\nSOURCES FROM USER\'S LIBRARY:\n\n[1] "Llamas" (ex.test, visited 2023-11-13)\nURL: https://a.test/1\nContent: llamas eat')
-    assert got[1]["prompt"].endswith("...\n\nUSER QUESTION: what do llamas eat\n\nANSWER (with [N] citations):") and got[1]["tier"] == "small"
-    assert got[2]["prompt"] is None and got[2]["message"] == "I don't have anything indexed from yesterday matching your question."
+    assert got[1]["prompt"].startswith("Date: 2023-11-14.\n\nPages read earlier, by number:\n\n[1] Llamas — ex.test, seen 2023-11-13\nAddress: https://a.test/1\nText: llamas eat")
+    assert got[1]["prompt"].endswith("...\n\nQuestion: what do llamas eat\n\nReply, with the numbers of the pages it rests on:") and got[1]["tier"] == "small"
+    assert got[1]["system"] == ASK.INSTRUCTION and got[2]["system"] is None
+    assert got[2]["prompt"] is None and got[2]["message"] == "The library has no page from yesterday that fits the question."
     answers = spark.createDataFrame([(1, "grass [1, 2]")], "answer_id long, text string")
     cited = CO.resolve_citations(answers, sources.withColumnRenamed("question_id", "answer_id")).collect()
     assert [(r["n"], r["url"]) for r in cited] == [(1, "https://a.test/1")]
@@ -92,10 +93,17 @@ def test_digest_layouts(spark):
     assert r["narrative"] == "No summary generated." and r["topics"] == [] and r["insights"] == []
 
 
+def test_an_answer_in_the_layout_asked_for_is_read(spark):
+    r = parse(spark, D.LAYOUT)
+    assert r["narrative"].startswith("two or three sentences") and [t["page_count"] for t in r["topics"]] == [2]
+    assert [i["source_url"] for i in r["insights"]] == ["https://ex.test/p1"]
+
+
 def test_digest_of_a_period(spark):
     documents = [(i, f"https://a.test/{i}", f"T{i}", ago(hours=i), 0.5) for i in range(1, 40)]
     lib = library(spark, documents, [(i, o, "w" * (100 + o), None) for i in range(1, 40) for o in range(2)])
     facts, prompts, packed = D.reading_digest(lib, ["today", "yesterday", "last_7_days"], as_of())
+    assert {r["system"] for r in prompts.collect()} == {D.LAYOUT}
     got = {r["range"]: r for r in facts.collect()}
     assert got["today"]["page_count"] == 22 and got["yesterday"]["page_count"] == 17 and got["last_7_days"]["page_count"] == 39
     assert [s["url"] for s in got["last_7_days"]["sources"]][:2] == ["https://a.test/39", "https://a.test/38"]
@@ -105,7 +113,7 @@ def test_digest_of_a_period(spark):
     done = D.finish_digests(facts, answers, packed, as_of()).collect()
     assert len(done) == 1 and done[0]["insights"][0]["source_url"] == "https://a.test/1"
     empty, _, _ = D.reading_digest(library(spark, [(1, "u", "t", ago(days=90), 0.1)], [(1, 0, "x", None)]), ["today"], as_of())
-    assert empty.first()["message"].startswith("You didn't visit any indexed pages today")
+    assert empty.first()["message"].startswith("The library has no page read today")
 
 
 def test_stale_digests(spark):

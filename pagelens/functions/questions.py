@@ -24,6 +24,7 @@ ENTITY_FORMS = (
     r"(?i)<bcompany<s>+" + ORG,
     r"(?i)<bat<s>+([A-Za-z][A-Za-z0-9&.+\-]{2,48})<s>+(?:yesterday|today|profile)",
 )
+# Quoted phrases, names in camel case, words that ask for profiles.
 QUOTED = r'"([^"]{2,120})"'
 CAMEL = r"<b[A-Z][a-z]+(?:[A-Z][a-z]+)+b>"
 PROFILE_STYLE = r"(?i)<b(profile|linkedin|connection|who<s>+works|employee)b>"
@@ -46,6 +47,7 @@ COMMAND_WORDS = (
     "summarize summarise summary recap tldr which what find show tell me"
 ).split()
 
+# Fixed value: a count of days, weeks or months back.
 AGO = r"(?i)<b([0-9]+)<s>+(day|days|week|weeks|month|months)<s>+agob>"
 
 
@@ -117,6 +119,7 @@ def question_range(question: Column, as_of: Column) -> Column:
     def back(pattern: str, window_days: int, label: str) -> tuple[str, Column]:
         return pattern, _window(today - window_days * DAY_MS, now, F.lit(label))
 
+    # Words for a window, in the order they are looked for, and its label.
     forms = [
         (r"(?i)<b(today|so far today|this morning|this afternoon)b>",
          _window(today, today + DAY_MS - 1, F.lit("today"))),

@@ -45,6 +45,19 @@ def test_limits_on_a_stream_equal_the_batch(spark, tmp_path):
     assert {r["call_id"]: r["allowed"] for r in got} == {r["call_id"]: r["allowed"] for r in want}
 
 
+def test_keys_are_forgotten_after_a_window(spark, tmp_path):
+    first = [(f"k{i}", NOW + timedelta(seconds=i % 50), i) for i in range(40)] + [("k0", NOW + timedelta(seconds=55), 40)]
+    rows = [*first, ("z", NOW + timedelta(hours=1), 90), ("k1", NOW + timedelta(hours=1, seconds=1), 91), ("z", NOW + timedelta(hours=3), 92)]
+    stream = files(spark, rows[:41], CALL, str(tmp_path / "in"), 1)
+    for row in rows[41:]:
+        spark.createDataFrame([row], CALL).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = drain(LI.rate_limit_stream(stream, "key", 1, lateness="1 minute"), tmp_path, "out").collect()
+    want = A.rate_limit(spark.createDataFrame(rows, CALL), "key", 1).collect()
+    assert {r["call_id"]: r["allowed"] for r in got} == {r["call_id"]: r["allowed"] for r in want}
+    state = spark.read.format("statestore").option("path", str(tmp_path / "out-c")).option("stateVarName", "recent").load()
+    assert {r["key"][0] for r in state.select("key").collect()} <= {"z", "k1"}
+
+
 def test_idle_capture_on_a_stream_equals_the_batch(spark, tmp_path):
     rng = random.Random(4)
     rows = sorted((rng.choice("ab"), NOW + timedelta(seconds=rng.randint(0, 4_000))) for _ in range(200))

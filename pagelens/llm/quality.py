@@ -20,7 +20,7 @@ from pagelens.llm.fingerprints import of_ranges
 
 BITS = 18
 #: Rated rows that are learned from, at most, of each grade.
-SAMPLE = 4000
+SAMPLE = 2500
 RIDGE, STEPS = 1e-4, 200
 
 LOWER = np.array([c | 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -100,7 +100,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, most: i
 def fit(docs: DataFrame, ratings: DataFrame, id: str = "doc_id", text: str = "text", grade: str = "quality") -> Model:
     """A model from at most ``SAMPLE`` rows of each grade (0 and up), drawn by hash.
 
-    Null ids and grades are left out, ids without a document too. Without any rated document every
+    Null ids and grades are left out, ids without a document too; null and empty texts count as texts without words,
+    long ones are read whole. Without any rated document every
     grade but the first is as likely as not.
     """
     known = ratings.select(F.col(id).cast("long").alias("no"), F.col(grade).cast("int").alias("grade")).filter("no is not null and grade >= 0")

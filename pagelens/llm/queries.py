@@ -41,12 +41,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, ratings = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, ratings = table(spark, sf_dir, "documents"), graded(table(spark, sf_dir, "labels"))
     held = toxicity.held_out(F.col("doc_id"))
-    rated = quality.rate(docs, quality.fit(docs, ratings.filter(~held)))
+    rated = quality.rate(docs, quality.fit(docs, ratings.filter(~held), grade="grade"), at_least=2)
     return rated.select("doc_id", held.alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("selected"))
 
 
+def graded(labels: DataFrame) -> DataFrame:
+    """``doc_id, grade``: 0 for bad texts, 1 for those that are good but toxic, 2 for good ones; null without a label."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).otherwise(2))
+    return labels.select("doc_id", grade.alias("grade"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 

@@ -74,3 +74,45 @@ def test_swapped_terms_are_of_the_same_kind():
     assert toxicity.swapped(["no", "term"], 1) is None
     new = toxicity.swapped(["the", "women", "said", "women"], 5)
     assert new[1] in {"men", "girls", "boys"} and new[1] == new[3] and new[0] == "the"
+
+
+def loss_of(rows, labels, swaps, w, b):
+    """The loss as it is stated, one row after the other."""
+    total = {y: max(1, sum(x == y for x in labels)) for y in (0, 1)}
+    out = toxicity.RIDGE / 2 * (w**2).sum() + toxicity.LASSO * np.abs(w).sum()
+    pairs = [(a, s) for a, s in zip(rows, swaps, strict=True) if s is not None]
+    for ones, y in zip(rows, labels, strict=True):
+        z = w[ones].sum() + b
+        out += 0.5 / total[y] * np.log1p(np.exp(-z if y else z))
+    return out + toxicity.SWAPS * sum((w[a].sum() - w[s].sum()) ** 2 for a, s in pairs) / max(1, len(pairs))
+
+
+def test_training_reaches_the_least_loss(monkeypatch):
+    monkeypatch.setattr(toxicity, "SWAPS", 1.0)
+    rng = np.random.default_rng(3)
+    rows = [sorted(set(rng.integers(0, 6, 4).tolist())) for _ in range(60)]
+    labels = np.array([int(rng.random() < (0.85 if 1 in r else 0.2)) for r in rows])
+    swaps = [sorted({5 if i == 1 else i for i in r}) if k % 3 == 0 else None for k, r in enumerate(rows)]
+    b, w = toxicity.train(rows, labels, swaps, 6)
+    p, step = np.zeros(7), 1e-5
+    for _ in range(1500):  # plain descent on differences
+        base = loss_of(rows, labels, swaps, p[:6], p[6])
+        slope = np.array([(loss_of(rows, labels, swaps, (p + step * e)[:6], (p + step * e)[6]) - base) / step for e in np.eye(7)])
+        p -= 0.5 * slope
+    assert loss_of(rows, labels, swaps, w, b) <= loss_of(rows, labels, swaps, p[:6], p[6]) * 1.002
+
+
+def test_the_penalty_acts_on_the_given_tables(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    terms = [t for kind in toxicity.IDENTITIES for t in kind]
+
+    def spread():
+        model = toxicity.fit(docs, labels)
+        assert model.pairs > 50
+        own = [[model.weights.get(t, 0.0) for t in kind] for kind in toxicity.IDENTITIES]
+        return sum(max(k) - min(k) for k in own), {t: model.weights.get(t, 0.0) for t in terms}
+
+    held, with_penalty = spread()
+    monkeypatch.setattr(toxicity, "SWAPS", 0.0)
+    free, without = spread()
+    assert with_penalty != without and free > 0 and held < 0.5 * free

@@ -197,6 +197,20 @@ URL_PARTS = with_(PARTS) + f"""SELECT page_id, shape, host,
   CASE WHEN web THEN {WHOLE} END AS no_fragment, CASE WHEN web THEN {WHOLE} || frag END AS safe FROM parts"""
 
 
+def url_normal_forms(spark, sf):
+    """Badly written addresses of every page: detours, blanks, quotes and letters outside ASCII."""
+    host, id_ = U.hostname(F.col("url")), F.col("page_id")
+    bad = F.concat(F.lit(" HTTPS://"), F.upper(host), F.lit(":443/x/../"), id_, F.lit("/./a b/%2E%2e/é{"), id_, F.lit('}/..a/.?q= "'), id_, F.lit("'#<top>"))
+    pages = TD.table(spark, sf, "pages").select("page_id", host.alias("host"), bad.alias("bad")).filter("host <> ''")
+    return pages.select("page_id", U.strip_fragment(F.col("bad")).alias("address"), U.path_and_query(F.col("bad")).alias("path_query"),
+                        U.safe_http(F.col("bad")).alias("safe"))
+
+
+URL_NORMAL_FORMS = f"""WITH h AS (SELECT page_id, {Q.host('url')} AS host FROM pages),
+f AS (SELECT page_id, host, '/' || page_id || '/%C3%A9%7B' || page_id || '%7D/..a/?q=%20%22' || page_id || '%27' AS pq FROM h WHERE host <> '')
+SELECT page_id, 'https://' || host || pq AS address, pq AS path_query, 'https://' || host || pq || '#%3Ctop%3E' AS safe FROM f"""
+
+
 def length_gates(spark, sf):
     h = U.hostname(F.col("url"))
     return _urls(spark, sf).select(
@@ -355,6 +369,7 @@ CHECKS = {
                         + f"SELECT kind, count(*) AS texts FROM (SELECT unnest(kinds) AS kind FROM t{len(SECRETS)}) GROUP BY kind"),
     "question_gate": (questions_gate, "SELECT conv_id, turn, length(text) <= 12000 AS valid FROM conversations"),
     "url_parts": (url_parts, URL_PARTS),
+    "url_normal_forms": (url_normal_forms, URL_NORMAL_FORMS),
     "length_gates": (length_gates, LENGTH_GATES),
     "skip_rules": (skip_rules, SKIP_RULES),
     "policy_gate": (policy_gate, POLICY_GATE),

@@ -24,6 +24,7 @@ from pagelens.plans.report import library_report
 from pagelens.session import materialise, shared_folder
 from pagelens.sources import html as HT
 from pagelens.sources import testdata as TD
+from pagelens.sources.tables import read_buckets, write_buckets
 from pagelens.streaming.events import drop_repeats
 from pagelens.streaming.ingest import stream_ingest
 from pagelens.streaming.limits import rate_limit_stream
@@ -455,7 +456,43 @@ STABLE_IDS = f"""WITH {DOCS} SELECT url, CASE WHEN document_id % 2 = 0 THEN 2 EL
 UNION ALL SELECT url || '/new', 1, true, true FROM docs WHERE document_id % 5 = 0"""
 
 
+def distinct_pages(spark, sf):
+    """Distinct pages of each week and domain from daily sketches, held against the exact numbers."""
+    visits = TD.visits(spark, sf)
+    week = F.date_trunc("week", "day").cast("date").alias("week")
+    about = A.sketched_counts(A.daily_sketches(visits).select("*", week), ["week", "domain"])
+    exact = visits.groupBy(F.date_trunc("week", "visited_at").cast("date").alias("week"), F.col("hostname").alias("domain")).agg(
+        F.count_distinct("url").alias("exact"))
+    close = F.abs(F.col("pages") - F.col("exact")) <= 1 + 0.06 * F.col("exact")
+    return about.join(exact, ["week", "domain"]).select(F.col("week").cast("string").alias("week"), "domain", "visits", "exact", close.alias("close"))
+
+
+DISTINCT_PAGES = with_(VISITS) + """SELECT date_trunc('week', make_timestamp(visited_us))::DATE::VARCHAR AS week, hostname AS domain,
+  count(*) AS visits, count(DISTINCT url) AS exact, true AS close FROM visits GROUP BY ALL"""
+
+
+def bucketed_library(spark, sf):
+    """Chunks with their documents and turns with their conversations, from tables in buckets."""
+    name, lib = f"buckets_{uuid.uuid4().hex}", TD.library(spark, sf)
+    lib = lib.with_tables(messages=TD.messages(spark, sf), conversations=TD.conversations(spark, sf))
+    write_buckets(lib, f"{shared_folder(spark)}/{name}", name, 8)
+    held = read_buckets(spark, name, lib)
+    chunks = held.chunks.join(held.documents, "document_id").groupBy(F.lit("chunks").alias("kind"), F.col("document_id").alias("id"))
+    turns = held.messages.join(held.conversations, "conversation_id").groupBy(F.lit("turns").alias("kind"), F.col("conversation_id").alias("id"))
+    return chunks.agg(F.count("*").alias("rows"), F.max("url").alias("name")).unionByName(
+        turns.agg(F.count("*").alias("rows"), F.md5(F.max("title")).alias("name")))
+
+
+BUCKETED_LIBRARY = "WITH " + DOCS + ", " + CHUNKS + ", " + MESSAGES + """,
+firsts AS (SELECT conversation_id, coalesce(arg_min(content, message_id) FILTER (role = 'user'), '') AS t FROM messages GROUP BY 1)
+SELECT 'chunks' AS kind, document_id AS id, count(*) AS rows, max(url) AS name FROM chunks JOIN docs USING (document_id) GROUP BY ALL
+UNION ALL SELECT 'turns', conversation_id, count(*), md5(max(substring(t, 1, 60) || CASE WHEN length(t) > 60 THEN '…' ELSE '' END))
+FROM messages JOIN firsts USING (conversation_id) GROUP BY ALL"""
+
+
 CHECKS = {
+    "distinct_pages": (distinct_pages, DISTINCT_PAGES),
+    "bucketed_library": (bucketed_library, BUCKETED_LIBRARY),
     "index_segments": (index_segments, INDEX_SEGMENTS),
     "stable_ids": (stable_ids, STABLE_IDS),
     "table_counts": (table_counts, TABLE_COUNTS),

@@ -12,6 +12,9 @@ from pagelens.functions.text import bind, nonempty, strip
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 # scheme, authority, path, query, fragment
 WEB = r"(?i)^(https?):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+# Characters that are written as bytes in a path, a query and a fragment; segments that mean here and up.
+IN_PATH, IN_QUERY, IN_FRAGMENT = (rf"[^\x21-\x7e]|[{more}]" for more in (r'"#<>?^`{}', r"\"#<>'", r'"<>`'))
+HERE, UP = r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
 HOST_OK = r"^([^\x00-\x20#%/:<>?@\[\\\]^|\x7f]+|\[[0-9A-Fa-f:.]+\])$"
 
 
@@ -40,9 +43,36 @@ def _is_web(tidy: Column) -> Column:
     return F.coalesce(tidy.rlike(WEB) & _name(tidy).rlike(HOST_OK) & port_ok, F.lit(False))
 
 
+def _escaped(part: Column, characters: str) -> Column:
+    """``part`` with the given characters as ``%`` and two digits for each byte; nearly all have none of them."""
+    def written(c: Column) -> Column:
+        return F.when(c.rlike(characters), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c)
+
+    return F.when(part.rlike(characters), F.array_join(F.transform(F.split(part, ""), written), "")).otherwise(part)
+
+
 def _path(tidy: Column) -> Column:
-    raw = F.regexp_replace(F.regexp_extract(tidy, WEB, 3), r"\\", "/")
-    return F.coalesce(nonempty(raw), F.lit("/"))
+    """Path in normal form: ``.`` and ``..`` are followed, and gone."""
+    raw = _escaped(F.regexp_replace(F.regexp_extract(tidy, WEB, 3), r"\\", "/"), IN_PATH)
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, segment: Column) -> Column:
+        back = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(segment.rlike(UP), back).when(segment.rlike(HERE), done).otherwise(F.concat(done, F.array(segment)))
+
+    def followed(path: Column) -> Column:
+        segments = F.split(F.regexp_replace(path, "^/", ""), "/")
+        last = F.element_at(segments, -1)
+        walked = F.aggregate(segments, none, step)
+        # A path that ends with such a segment ends in the folder it means.
+        whole = F.when(last.rlike(HERE) | last.rlike(UP), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+        return F.concat(F.lit("/"), F.array_join(whole, "/"))
+
+    return bind(raw, lambda path: F.when(path.rlike(r"(?i)/(\.|%2e)"), followed(path)).otherwise(F.coalesce(nonempty(path), F.lit("/"))))
+
+
+def _query(tidy: Column) -> Column:
+    return _escaped(F.regexp_extract(tidy, WEB, 4), IN_QUERY)
 
 
 def _scheme(tidy: Column) -> Column:
@@ -96,19 +126,19 @@ def path(url: Column) -> Column:
 
 def path_and_query(url: Column) -> Column:
     return _web(
-        url, lambda t: F.concat(_path(t), F.regexp_replace(F.regexp_extract(t, WEB, 4), r"^\?$", ""))
+        url, lambda t: F.concat(_path(t), F.regexp_replace(_query(t), r"^\?$", ""))
     )
 
 
 def strip_fragment(url: Column) -> Column:
     """Web address without its fragment, in normal form; null for anything else."""
-    return _web(url, lambda t: F.concat(_base(t), F.regexp_extract(t, WEB, 4)))
+    return _web(url, lambda t: F.concat(_base(t), _query(t)))
 
 
 def safe_http(url: Column) -> Column:
     """Normal form of a web address that is safe to link to; null for anything else."""
     return _web(
-        url, lambda t: F.concat(_base(t), F.regexp_extract(t, WEB, 4), F.regexp_extract(t, WEB, 5))
+        url, lambda t: F.concat(_base(t), _query(t), _escaped(F.regexp_extract(t, WEB, 5), IN_FRAGMENT))
     )
 
 

@@ -61,6 +61,29 @@ def write_library(library: Library, directory: str) -> None:
             write_table(df, directory, name)
 
 
+#: The key by which each table is dealt into buckets, and the order inside one.
+BUCKETS = {
+    "documents": ("document_id", ["document_id"]),
+    "chunks": ("document_id", ["document_id", "chunk_id"]),
+    "conversations": ("conversation_id", ["conversation_id"]),
+    "messages": ("conversation_id", ["conversation_id", "message_id"]),
+}
+
+
+def write_buckets(library: Library, directory: str, name: str, buckets: int = 64) -> None:
+    """Tables ``name_documents`` and so on, dealt by the keys of their joins: those need no shuffle, a lookup reads one bucket."""
+    for table, (key, order) in BUCKETS.items():
+        df = getattr(library, table)
+        if df is not None:
+            out = df.repartition(buckets, key)  # one file for each bucket
+            out.write.mode("overwrite").bucketBy(buckets, key).sortBy(*order).option("path", f"{directory}/{table}").saveAsTable(f"{name}_{table}")
+
+
+def read_buckets(spark: SparkSession, name: str, library: Library) -> Library:
+    """``library`` with those of its tables that ``write_buckets`` wrote."""
+    return library.with_tables(**{t: spark.table(f"{name}_{t}") for t in BUCKETS if spark.catalog.tableExists(f"{name}_{t}")})
+
+
 def save_digests(digests: DataFrame, directory: str) -> None:
     """Replace the stored digests of the given ranges and leave the others alone."""
     (

@@ -80,3 +80,14 @@ def test_rate_limits_read_what_was_numbered_once(spark, tmp_path):
     spark.createDataFrame(rows, "call_id long, key string, ts timestamp").write.parquet(str(tmp_path / "calls"))
     plan = A.rate_limit(spark.read.parquet(str(tmp_path / "calls")), "key", 5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") <= 8 and "Window" not in plan
+
+
+def test_sketches_of_days_unite(spark):
+    rows = [(f"u{i % 700}", f"h{i % 3}.test", NOW + timedelta(days=i % 20)) for i in range(9_000)]
+    visits = spark.createDataFrame(rows, "url string, hostname string, visited_at timestamp")
+    daily = A.daily_sketches(visits)
+    got = A.sketched_counts(daily.withColumn("all", F.lit(1)), ["all"]).first()
+    assert got["visits"] == 9_000 and abs(got["pages"] - 700) < 0.05 * 700
+    per = {r["domain"]: r["pages"] for r in A.sketched_counts(daily.filter("day < '2023-11-20'"), ["domain"]).collect()}
+    exact = {h: len({u for u, host, at in rows if host == h and at.date().isoformat() < "2023-11-20"}) for h in per}
+    assert len(per) == 3 and all(abs(per[h] - n) <= 1 + 0.06 * n for h, n in exact.items())

@@ -2,7 +2,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from helpers import NOW, ago, as_of
+from helpers import NOW, ago, as_of, library
 from pyspark.sql import functions as F
 
 from pagelens.functions.questions import DAY_MS  # noqa: F401
@@ -32,6 +32,23 @@ def fold(rows, known):
     return out
 
 
+def test_tables_in_buckets_are_joined_where_they_lie(spark, tmp_path):
+    lib = library(spark, [(i, f"u{i}", f"t{i}", ago(days=i), 0.5) for i in range(40)], [(i, o, f"text {o}", None) for i in range(40) for o in range(3)])
+    asked = spark.createDataFrame([(i, ago(days=1), ago(hours=1), f"c{i}") for i in range(9)], TABLES["conversations"])
+    turns = spark.createDataFrame([(i % 9, i, "user", f"m{i}", ago(minutes=i), None, None) for i in range(30)], TABLES["messages"])
+    lib = lib.with_tables(conversations=asked, messages=turns)
+    ST.write_buckets(lib, str(tmp_path), "shelf", 4)
+    held = ST.read_buckets(spark, "shelf", lib)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for joined, rows in ((held.chunks.join(held.documents, "document_id"), 120), (held.messages.join(held.conversations, "conversation_id"), 30)):
+            assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == rows
+        one = held.documents.filter("document_id = 7")
+        assert one.count() == 1 and one.rdd.getNumPartitions() == 1 < held.documents.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_upsert_equals_one_visit_at_a_time(spark):
     rng = random.Random(3)
     rows = [(f"u{rng.randint(0, 8)}", rng.choice(["", "d"]), rng.choice(["", f"t{i}"]), "s" * rng.choice([0, 100, 3_750, 9_000]),

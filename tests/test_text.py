@@ -110,3 +110,11 @@ def test_snippet_opens_near_the_first_word_found(spark):
     got = one(spark, lambda c: T.snippet(c, F.lit("zz needle")), text)[0]
     assert "needle" in got and got.endswith("…")
     assert one(spark, lambda c: T.snippet(c, F.lit("x")), "", "short") == ["", "short"]
+
+
+def test_addresses_in_normal_form(spark):
+    given = ["https://a.test/a/./b/../c", "https://a.test/..", "https://a.test/a/%2E%2e/b/.", "https://a.test/.a/..b/...", "https://a.test/a//../b",
+             "http://A.test:80/é x?q=ü'<#>", "https://a.test/%7e%zz", "https://a.test", "https://a.test/a\\..\\b"]
+    assert one(spark, U.strip_fragment, *given) == [
+        "https://a.test/a/c", "https://a.test/", "https://a.test/b/", "https://a.test/.a/..b/...", "https://a.test/a/b",
+        "http://a.test/%C3%A9%20x?q=%C3%BC%27%3C", "https://a.test/%7e%zz", "https://a.test/", "https://a.test/b"]

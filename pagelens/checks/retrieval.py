@@ -313,7 +313,8 @@ def passage_holders(documents, passages):
     """Documents ``(document_id, text)`` that hold a passage, as ``(query_id, document_id)``.
 
     A token inside a passage is a whole token of any text that holds the passage, so the passage's
-    longest inner token leads to the candidates.
+    longest inner token leads to the candidates. Passages without an inner token are looked for in every text
+    by one walk.
     """
     inner = F.expr("slice(ts, 2, greatest(size(ts) - 2, 0))")
     longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
@@ -321,8 +322,18 @@ def passage_holders(documents, passages):
         "query_id", F.col("text").alias("passage"), longest.alias("term"))
     held = documents.select("document_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     candidates = held.join(keyed, "term").select("document_id", "query_id", "passage")
-    return candidates.join(documents, "document_id").filter(F.contains("text", "passage")).select(
-        "query_id", "document_id")
+    found = candidates.join(documents, "document_id").filter(F.contains("text", "passage")).select("query_id", "document_id")
+    short = {r["query_id"]: r["passage"] for r in keyed.filter("term is null").select("query_id", "passage").collect()}
+    if short:  # as many as there are queries with fewer than three words
+        whole = SE.names_in(documents.select("document_id", "text"), ["document_id"], sorted({p.lower() for p in short.values() if p}))
+        rows = spark_rows(documents, short)
+        again = whole.join(rows, F.col("key") == F.lower("passage")).join(documents, "document_id")
+        found = found.unionByName(again.filter(F.contains("text", "passage")).select("query_id", "document_id"))
+    return found
+
+
+def spark_rows(df, passages):
+    return df.sparkSession.createDataFrame(list(passages.items()), "query_id long, passage string")
 
 
 def search_quality(spark, sf):
@@ -338,12 +349,19 @@ def search_quality(spark, sf):
     return R.eval_pass_rate(hits, wanted)
 
 
+def search_gate(spark, sf):
+    return R.eval_gate(search_quality(spark, sf)).select("queries", _round("rate"), "enough")
+
+
 SEARCH_QUALITY = search_ctes(PLAIN) + """, firsts AS (SELECT query_id, min(url) AS any_url
   FROM asked, docs WHERE contains(docs.text, asked.text) GROUP BY 1)
 SELECT query_id, count(h.rank) AS hits, count(h.rank) >= 1 AND (any_value(any_url) IS NULL OR bool_or(contains(d.url, any_url))) AS passed
 FROM asked LEFT JOIN firsts USING (query_id) LEFT JOIN hits h USING (query_id) LEFT JOIN docs d USING (document_id) GROUP BY query_id"""
 
 
+SEARCH_GATE = f"""SELECT count(*) AS queries, round(avg(passed::INT), 6) AS rate, avg(passed::INT) >= 0.85 AS enough FROM ({SEARCH_QUALITY})"""
+
+
 def annotated_texts(spark, sf):
     """Hints read from every passage and every turn, and from the queries that name things."""
     turns = TD.table(spark, sf, "conversations").select(
@@ -397,4 +415,5 @@ CHECKS = {
     "search_confidence": (search_confidence, SEARCH_CONFIDENCE),
     "search_evidence": (search_evidence, SEARCH_EVIDENCE),
     "search_quality": (search_quality, SEARCH_QUALITY),
+    "search_gate": (search_gate, SEARCH_GATE),
 }

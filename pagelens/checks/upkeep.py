@@ -24,7 +24,7 @@ from pagelens.plans.report import library_report
 from pagelens.session import materialise, shared_folder
 from pagelens.sources import html as HT
 from pagelens.sources import testdata as TD
-from pagelens.sources.tables import read_buckets, write_buckets
+from pagelens.sources.tables import read_buckets, read_library, save_digests, write_buckets, write_library
 from pagelens.streaming.events import drop_repeats
 from pagelens.streaming.ingest import stream_ingest
 from pagelens.streaming.limits import rate_limit_stream
@@ -490,7 +490,42 @@ UNION ALL SELECT 'turns', conversation_id, count(*), md5(max(substring(t, 1, 60)
 FROM messages JOIN firsts USING (conversation_id) GROUP BY ALL"""
 
 
+def stored_library(spark, sf):
+    """Rows of a library's tables as they are written, kept within limits, cleared; and of its digests, one range stored anew."""
+    home, lib = _library_home(spark), TD.library(spark, sf)
+    lib = lib.with_tables(messages=TD.messages(spark, sf).select(
+        "conversation_id", "message_id", "role", "content", "sent_at", F.lit(None).cast(TABLES["messages"]["cited"].dataType).alias("cited"),
+        F.lit(None).cast("string").alias("provider")), conversations=TD.conversations(spark, sf))
+
+    def digests(ranges, narrative):
+        return spark.createDataFrame([(r, None, 1, 1, narrative, [], [], []) for r in ranges], TABLES["digests"])
+
+    write_library(lib.with_tables(digests=digests([], "")), home)
+    save_digests(digests(["today", "yesterday"], "old"), home)
+    save_digests(digests(["today"], "new"), home)
+    held = read_library(spark, home)
+    steps = [("written", held), ("kept", L.enforce_retention(held, max_documents=300, max_chunks=10**9))]
+    counts = [materialise(L.library_counts(x).withColumn("step", F.lit(step))) for step, x in steps]
+    told = materialise(spark.read.parquet(f"{home}/digests").groupBy(F.concat_ws(" ", F.col("range").cast("string"), "narrative").alias("table_name")).agg(
+        F.count("*").alias("rows")).withColumn("step", F.lit("digests")))
+    L.clear_library(spark, home)
+    counts += [L.library_counts(read_library(spark, home)).withColumn("step", F.lit("cleared")), told]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+STORED_LIBRARY = "WITH " + DOCS + ", " + CHUNKS + ", " + VISITS + """,
+kept AS (SELECT document_id FROM docs ORDER BY visited_ms DESC, document_id DESC LIMIT 300)
+SELECT 'written' AS step, 'documents' AS table_name, count(*) AS rows FROM docs UNION ALL SELECT 'written', 'chunks', count(*) FROM chunks
+UNION ALL SELECT 'written', 'visits', count(*) FROM visits UNION ALL SELECT 'kept', 'visits', count(*) FROM visits
+UNION ALL SELECT 'kept', 'documents', count(*) FROM kept UNION ALL SELECT 'kept', 'chunks', count(*) FROM chunks JOIN kept USING (document_id)
+UNION ALL SELECT 'cleared', unnest(['chunks', 'documents', 'visits']), 0 UNION ALL SELECT 'digests', unnest(['today new', 'yesterday old']), 1"""
+
+
 CHECKS = {
+    "stored_library": (stored_library, STORED_LIBRARY),
     "distinct_pages": (distinct_pages, DISTINCT_PAGES),
     "bucketed_library": (bucketed_library, BUCKETED_LIBRARY),
     "index_segments": (index_segments, INDEX_SEGMENTS),

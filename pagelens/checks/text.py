@@ -132,8 +132,13 @@ def _redacted_cte():
         on(2, "é123-45-6789 "), on(3, "eyJhbGci.eyJzdWIi.c2ln_nature "),
         on(5, "API_KEY_ABCDEFGH12345678= "), on(7, "bearer abcdefghij.klmnopqrst-uv "), "text",
         on(11, " 4111 1111-1111 1111"), on(13, " 4111111111111112")])
+    return with_(*redaction_steps(f"SELECT doc_id, {text} AS t FROM documents"))
+
+
+def redaction_steps(source: str) -> list[str]:
+    """CTEs that redact column ``t`` of ``source(doc_id, t)``; the last one is the result."""
     parts = [
-        f"src AS (SELECT doc_id, {text} AS t FROM documents)",
+        f"src AS ({source})",
         f"cut AS (SELECT doc_id, string_split_regex(t, '{CARD}') AS pieces, "
         f"regexp_extract_all(t, '{CARD}') AS runs FROM src)",
         "t0 AS (SELECT doc_id, array_to_string(list_transform(list_zip(pieces, runs), lambda z: z[1] || "
@@ -145,7 +150,7 @@ def _redacted_cte():
         parts.append(
             f"t{i + 1} AS (SELECT doc_id, regexp_replace(t, '{pattern}', '[REDACTED]', 'g') AS t, "
             f"CASE WHEN regexp_matches(t, '{pattern}') THEN list_append(kinds, '{kind}') ELSE kinds END AS kinds FROM t{i})")
-    return with_(*parts)
+    return parts
 
 
 def questions_gate(spark, sf):

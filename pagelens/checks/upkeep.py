@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagelens.checks import sql as Q
 from pagelens.checks.sql import AS_OF, CHUNKS, DAY, DOCS, MESSAGES, PAGE_VISITS, VISITS, WS, with_
+from pagelens.checks.text import SECRETS, redaction_steps
 from pagelens.functions import text as T
 from pagelens.model import TABLES, Library, Policy
 from pagelens.operators import activity as A
@@ -254,7 +255,37 @@ def _empty(spark):
 
 def html_extraction(spark, sf):
     pages = TD.table(spark, sf, "pages").select("page_id", "url", "html")
-    return HT.extract_html(pages).select("page_id", "title", F.length("text").alias("n"), F.md5("text").alias("digest"))
+    return HT.extract_html(pages).select("page_id", "title", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
+
+
+# The test pages nest nothing that patterns can't follow: what is between the tags behind the head, block by block.
+_BLOCKS = "|".join(sorted(HT.BLOCK))
+
+
+def _decoded(x: str) -> str:
+    for name, sign in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{sign}')"
+    return x
+
+
+EXTRACTED = f"""markup AS (SELECT page_id, url, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
+  regexp_replace(regexp_extract(html, '(?is)</head>(.*)$', 1), '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g') AS body FROM pages),
+spaced AS (SELECT page_id, url, title, regexp_replace(regexp_replace(body, '(?i)</?({_BLOCKS})(\\s[^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g') AS body FROM markup),
+extracted AS (SELECT page_id, url, {Q.collapse(_decoded('title'))} AS title, {Q.collapse(_decoded('body'))} AS text FROM spaced)"""
+HTML_EXTRACTION = f"WITH {EXTRACTED} SELECT page_id, title, length(text) AS n, md5(text) AS digest FROM extracted"
+
+
+# Every page by its redacted text: whether it is long enough, and how many windows it makes.
+INGESTED = "WITH " + EXTRACTED + ", " + ", ".join(redaction_steps("SELECT page_id AS doc_id, text AS t FROM extracted")) + f""",
+counted AS (SELECT url, page_id, length(t) >= 80 AS fits, len({Q.words('t')}) AS n FROM t{len(SECRETS)} JOIN pages ON page_id = doc_id),
+lasts AS (SELECT url, arg_max(n, page_id) AS n FROM counted WHERE fits GROUP BY url),
+sizes AS (SELECT 'documents' AS table_name, count(*) AS rows FROM lasts
+  UNION ALL SELECT 'visits', count(*) FROM counted WHERE fits
+  UNION ALL SELECT 'chunks', sum(CASE WHEN n = 0 THEN 0 WHEN n <= 420 THEN 1 ELSE ceil((n - 420) / 345.0) + 1 END)::BIGINT FROM lasts)
+"""
+INGEST_OUTCOMES = INGESTED + """SELECT CASE WHEN fits THEN 'indexed' ELSE 'skipped too_short' END AS what, count(*) AS n FROM counted GROUP BY 1
+UNION ALL SELECT 'table ' || table_name, rows FROM sizes"""
+STREAM_PAGES = INGESTED + "SELECT table_name, rows FROM sizes"
 
 
 def message_log(spark, sf):
@@ -547,8 +578,8 @@ CHECKS = {
     "history_dedupe": (history_dedupe, HISTORY_DEDUPE),
     "history_slice": (history_recent, HISTORY_RECENT),
     "import_funnel": (import_funnel, _funnel_sql()),
-    "html_extraction": (html_extraction, None),
-    "ingest_outcomes": (ingest_outcomes, None),
+    "html_extraction": (html_extraction, HTML_EXTRACTION),
+    "ingest_outcomes": (ingest_outcomes, INGEST_OUTCOMES),
     "message_log": (message_log, MESSAGE_LOG),
     "transcripts": (transcripts, TRANSCRIPTS),
     "recent_conversations": (recent_conversations, RECENT_CONVERSATIONS),
@@ -556,7 +587,7 @@ CHECKS = {
     "rate_limits": (rate_limits, RATE_LIMITS),
     "stream_rate_limits": (stream_rate_limits, RATE_LIMITS),
     "stream_repeats": (stream_repeats, STREAM_REPEATS),
-    "stream_pages": (stream_pages, None),
+    "stream_pages": (stream_pages, STREAM_PAGES),
     "idle_captures": (idle_captures, IDLE),
     "visit_activity": (visit_activity, VISIT_ACTIVITY),
 }

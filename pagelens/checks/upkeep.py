@@ -200,6 +200,21 @@ SELECT document_id, n_chunks FROM (SELECT *, count(*) {over} AS a, sum(n_chunks)
 WHERE a <= {docs} AND b <= {chunks}"""
 
 
+def retention_by_tenant(spark, sf):
+    """Documents that stay if each tenant has room for a few of them, and their chunks."""
+    kept = L.enforce_retention(TD.library(spark, sf), scope="tenant", max_documents=4, max_chunks=5)
+    counts = kept.chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"))
+    return kept.documents.join(counts, "document_id", "left").select("document_id", F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"))
+
+
+RETENTION_BY_TENANT = "WITH " + DOCS + ", " + CHUNKS + ", " + VISITS + """, sized AS (SELECT document_id, count(*) AS n_chunks FROM chunks GROUP BY 1),
+own AS (SELECT tenant_id, d.document_id, coalesce(n_chunks, 0) AS n_chunks, max(visited_us) AS last
+  FROM visits JOIN docs d USING (url) LEFT JOIN sized s ON s.document_id = d.document_id GROUP BY ALL),
+ranked AS (SELECT *, count(*) OVER w AS a, sum(n_chunks) OVER w AS b FROM own
+  WINDOW w AS (PARTITION BY tenant_id ORDER BY last DESC, document_id DESC ROWS UNBOUNDED PRECEDING))
+SELECT DISTINCT document_id, n_chunks FROM ranked WHERE a <= 4 AND b <= 5"""
+
+
 def history_dedupe(spark, sf):
     return H.dedupe_history(TD.history(spark, sf), TD.as_of(), block=64).select(
         "url", "title", _ms("visited_at", "visited_ms"))
@@ -574,6 +589,7 @@ CHECKS = {
     "visit_log": (visit_log, VISIT_LOG),
     "page_migration": (migration, MIGRATION),
     "retention_global": (retention_global, _retained_sql("", 700, 800)),
+    "retention_by_tenant": (retention_by_tenant, RETENTION_BY_TENANT),
     "retention_by_domain": (retention_by_domain, _retained_sql("domain", 30, 40)),
     "history_dedupe": (history_dedupe, HISTORY_DEDUPE),
     "history_slice": (history_recent, HISTORY_RECENT),

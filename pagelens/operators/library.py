@@ -189,10 +189,26 @@ def retain(
     return placed.filter("_fits").select(columns).unionByName(border.select(columns))
 
 
-def enforce_retention(library: Library, **limits) -> Library:
-    """Library without the documents beyond its limits, and without their chunks."""
+def tenant_documents(library: Library) -> DataFrame:
+    """``tenant_id, document_id, last_visited_at``: what each tenant has read, and when last."""
+    pages = library.documents.select("document_id", "url")
+    return library.visits.join(pages, "url").groupBy("tenant_id", "document_id").agg(F.max("visited_at").alias("last_visited_at"))
+
+
+def enforce_retention(library: Library, scope: str = "library", **limits) -> Library:
+    """Library without the documents beyond its limits, and without their chunks and postings.
+
+    With ``scope="tenant"`` the limits hold for what each tenant has read: a document stays as long as one tenant
+    has room for it, and documents that no tenant has read go. Visits stay, they have a limit of their own.
+    """
     counts = library.chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"))
-    documents = retain(library.documents, counts, **limits).drop("n_chunks")
+    if scope == "tenant":
+        wanted = retain(tenant_documents(library), counts, ("tenant_id",), **limits).select("document_id").distinct()
+        documents = library.documents.join(wanted, "document_id", "left_semi")
+    elif scope == "library":
+        documents = retain(library.documents, counts, **limits).drop("n_chunks")
+    else:
+        raise ValueError(f"no such scope: {scope}")
     own = documents.select("document_id")
     postings = library.postings if library.postings is None else library.postings.join(own, "document_id", "left_semi")
     return library.with_tables(documents=documents, chunks=library.chunks.join(own, "document_id", "left_semi"), postings=postings)

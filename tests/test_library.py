@@ -152,3 +152,20 @@ def test_only_html_pages_are_read(spark, tmp_path):
     rows = [("a", "text/html; charset=utf-8"), ("b", "application/pdf"), ("c", "application/xhtml+xml")]
     spark.createDataFrame(rows, "url string, content_type string").write.parquet(str(tmp_path / "p"))
     assert sorted(r["url"] for r in ST.read_pages(spark, str(tmp_path / "p")).collect()) == ["a", "c"]
+
+
+def test_a_document_stays_while_one_tenant_has_room(spark):
+    lib = library(spark, [(i, f"u{i}", f"t{i}", ago(days=i), 0.5) for i in range(6)], [(i, 0, "text", None) for i in range(6)])
+    seen = [(1, "u0", 5), (1, "u1", 4), (1, "u2", 3), (2, "u0", 1), (2, "u3", 9), (None, "u4", 2)]
+    visits = spark.createDataFrame([(t, u, ago(hours=h)) for t, u, h in seen], "tenant_id long, url string, visited_at timestamp")
+    lib = lib.with_tables(visits=visits)
+
+    def ids(**limits):
+        kept = L.enforce_retention(lib, scope="tenant", **limits)
+        assert {r["document_id"] for r in kept.chunks.collect()} == (found := {r["document_id"] for r in kept.documents.collect()})
+        return found
+
+    assert ids(max_documents=1, max_chunks=9) == {2, 0, 4} and ids(max_documents=2, max_chunks=9) == {2, 1, 0, 3, 4}
+    assert ids(max_documents=9, max_chunks=1) == {2, 0, 4} and ids(max_documents=9, max_chunks=9) == {0, 1, 2, 3, 4}
+    with pytest.raises(ValueError):
+        L.enforce_retention(lib, scope="domain")

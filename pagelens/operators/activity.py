@@ -16,6 +16,8 @@ from pagelens.session import written
 WINDOW_MS = 60_000
 #: Windows in a piece of a run without a pause, and rounds in which pieces are decided from what the ones before leave behind.
 PIECE, ROUNDS = 64, 6
+#: Calls up to which a run is not cut: a task gets through so many at once.
+LONG = 20_000
 #: A sketch of distinct values has this power of two of places; the usual error is 1.6 %.
 SKETCH_BITS = 12
 # Allowed calls per minute for each kind of request.
@@ -43,7 +45,7 @@ def rate_limit(
     """Adds ``allowed`` to ``calls(key, ts, call_id)``.
 
     A pause of a whole window clears a key's state, so calls are cut into runs at such pauses.
-    Runs of at most ``limit`` calls are all allowed without any ordering work. Others are cut into pieces of
+    Runs of at most ``limit`` calls are all allowed without any ordering work. Those of more than ``LONG`` are cut into pieces of
     ``PIECE`` windows, each decided for itself from what the piece before leaves behind: nothing at first, then
     what it left in the last round, until no piece is left anything else. Runs that still change after ``ROUNDS``
     rounds are streamed in time order through a task that remembers ``limit`` times, never a whole key.
@@ -60,7 +62,7 @@ def rate_limit(
     runs = runs.withColumn("_run", F.to_json(F.struct(key, (F.col("_ended") - last).alias("_run"))))
     runs = runs.withColumn("_piece", F.floor(F.col("_ms") / (PIECE * window_ms)))
     runs = written(runs.select(*calls.columns, "_ms", "_run", "_piece"))
-    sizes = runs.groupBy("_run").agg(F.count("*").alias("_size"), (F.max("_piece") > F.min("_piece")).alias("_long"))
+    sizes = runs.groupBy("_run").agg(F.count("*").alias("_size"), ((F.max("_piece") > F.min("_piece")) & (F.count("*") > LONG)).alias("_long"))
     sized = runs.join(sizes, "_run")
 
     quiet = sized.filter(F.col("_size") <= limit).select(*calls.columns, F.lit(True).alias("allowed"))

@@ -40,6 +40,7 @@ def test_limits_equal_deciding_one_call_at_a_time(spark):
 
 def test_a_key_that_never_pauses_is_decided_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(A, "PIECE", 4)
+    monkeypatch.setattr(A, "LONG", 50)
     rng = random.Random(8)
     rows, at = [], 0
     for _ in range(900):  # for hours no pause of a minute; sometimes few calls, sometimes many

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +22,24 @@ PATTERNS = {
 }
 KINDS = ("credit_card", *PATTERNS)
 
+# What every match holds: quicker to look for than the patterns, whose boundaries are tried at each character.
+CARD_DIGITS = r"[0-9](?:[ \t-]*+[0-9]){12}"
+SIGNS = {
+    "ssn": lambda text: text.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+    "jwt": lambda text: F.contains(text, F.lit("eyJ")),
+    "api_key": lambda text: _holds(text, "sk-", "pk_live_", "pk_test_", "apikey", "api_key", "api-key"),
+    "bearer": lambda text: _holds(text, "bearer"),
+}
+
+
+def _holds(text: Column, *words: str) -> Column:
+    """Whether any of the words occurs, in whatever case."""
+    return bind(F.lower(text), lambda low: reduce(or_, [F.contains(low, F.lit(w)) for w in words]))
+
+
+def _replaced(text: Column, kind: str) -> Column:
+    return bind(text, lambda t: F.when(SIGNS[kind](t), F.regexp_replace(t, ws(PATTERNS[kind]), MASK)).otherwise(t))
+
 
 def luhn_ok(run: Column) -> Column:
     """Checksum over the digits of one candidate card number."""
@@ -38,31 +59,26 @@ def _mask_cards(text: Column) -> Column:
     )
     joined = F.zip_with(pieces, masked, lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
     # Most texts hold no candidate at all: skip the array work for them.
-    return F.when(text.rlike(CARD), F.array_join(joined, "")).otherwise(text)
+    return F.when(text.rlike(CARD_DIGITS) & text.rlike(CARD), F.array_join(joined, "")).otherwise(text)
 
 
 def redact(text: Column) -> Column:
-    out = _mask_cards(text)
-    for pattern in PATTERNS.values():
-        out = F.regexp_replace(out, ws(pattern), MASK)
-    return out
+    return reduce(_replaced, PATTERNS, bind(text, _mask_cards))
 
 
 def pii_types(text: Column) -> Column:
     """Kinds found, in the order applied; later kinds look at the text as masked so far."""
-    found = F.filter(
-        F.array(F.when(F.exists(_cards(text), luhn_ok), F.lit("credit_card"))),
-        lambda kind: kind.isNotNull(),
-    )
+    def cards(t: Column) -> Column:
+        return F.when(t.rlike(CARD_DIGITS) & F.exists(_cards(t), luhn_ok), F.array(F.lit("credit_card"))).otherwise(
+            F.array().cast("array<string>"))
 
-    def look(rest: list[tuple[str, str]], masked: Column) -> Column:
+    def look(rest: list[str], masked: Column) -> Column:
         if not rest:
             return F.array().cast("array<string>")
-        (kind, pattern), *later = rest
-        here = F.when(masked.rlike(ws(pattern)), F.array(F.lit(kind))).otherwise(
+        kind, *later = rest
+        here = F.when(SIGNS[kind](masked) & masked.rlike(ws(PATTERNS[kind])), F.array(F.lit(kind))).otherwise(
             F.array().cast("array<string>")
         )
-        after = bind(F.regexp_replace(masked, ws(pattern), MASK), lambda t: look(later, t))
-        return F.concat(here, after)
+        return F.concat(here, bind(_replaced(masked, kind), lambda t: look(later, t)))
 
-    return F.concat(found, bind(_mask_cards(text), lambda t: look(list(PATTERNS.items()), t)))
+    return bind(text, lambda whole: F.concat(cards(whole), bind(_mask_cards(whole), lambda t: look(list(PATTERNS), t))))

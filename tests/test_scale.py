@@ -1,10 +1,12 @@
 """What keeps the work of large tables small: plans and sizes, next to the results."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pagelens.functions import redact as R
 from pagelens.functions import text as T
 from pagelens.operators import chunks as C
+from pagelens.operators import vectors as V
 from pagelens.plans import index as I
 
 
@@ -45,3 +47,17 @@ def test_secrets_are_first_looked_for_by_what_every_match_holds(spark):
     assert "(?:[ \\t-]*+[0-9]){12}" in plan(out)
     got = [(r["r"], r["k"]) for r in out.orderBy("i").collect()]
     assert got == [("no secret at all", ""), ("[REDACTED]", "bearer"), ("[REDACTED]", "credit_card"), ("4111 1111 1111 1112", "")]
+
+
+def test_nearest_vectors_come_from_tiles_and_bad_components_hide_none(spark, monkeypatch):
+    monkeypatch.setattr(V, "TILE", 3)
+    rng = np.random.default_rng(5)
+    given = np.round(rng.normal(size=(40, 3)))
+    units = V.unit_rows(given.tolist())
+    units[4, 1] = np.nan
+    places, cosine = V._best(units[:7], units, 5)
+    scores = np.round(units[:7] @ units.T, 10)
+    for q in range(7):
+        want = [] if q == 4 else sorted((i for i in range(40) if np.isfinite(scores[q, i])), key=lambda i: (-scores[q, i], i))[:5]
+        assert [p for p in places[q] if p >= 0] == want
+        assert np.allclose([c for c in cosine[q] if np.isfinite(c)], scores[q, want])

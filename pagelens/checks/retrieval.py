@@ -312,10 +312,17 @@ FROM hits GROUP BY query_id"""
 def passage_holders(documents, passages):
     """Documents ``(document_id, text)`` that hold a passage, as ``(query_id, document_id)``.
 
-    A token inside a passage is a whole token of any text that holds the passage, so the passage's
+    Passages of a block's size are all looked for by one walk over each text, which stays where it is. Of more
+    passages, a token inside one is a whole token of any text that holds the passage, so the passage's
     longest inner token leads to the candidates. Passages without an inner token are looked for in every text
     by one walk.
     """
+    size = passages.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    if size["n"] <= SE.BLOCK_QUERIES and (size["chars"] or 0) <= SE.BLOCK_CHARS:
+        asked = passages.filter("text <> ''").select("query_id", F.col("text").alias("key"))
+        wanted = sorted({r["key"] for r in asked.select("key").collect()})  # at most a block's characters
+        held = SE.names_in(documents.select("document_id", "text"), ["document_id"], wanted, exact=True)
+        return held.join(F.broadcast(asked), "key").select("query_id", "document_id")
     inner = F.expr("slice(ts, 2, greatest(size(ts) - 2, 0))")
     longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
     keyed = passages.withColumn("ts", T.tokens(F.col("text"))).select(

@@ -8,6 +8,7 @@ from pagelens.functions import text as T
 from pagelens.operators import chunks as C
 from pagelens.operators import vectors as V
 from pagelens.plans import index as I
+from pagelens.plans import ingest as IN
 
 
 def plan(df):
@@ -61,3 +62,13 @@ def test_nearest_vectors_come_from_tiles_and_bad_components_hide_none(spark, mon
         want = [] if q == 4 else sorted((i for i in range(40) if np.isfinite(scores[q, i])), key=lambda i: (-scores[q, i], i))[:5]
         assert [p for p in places[q] if p >= 0] == want
         assert np.allclose([c for c in cosine[q] if np.isfinite(c)], scores[q, want])
+
+
+def test_a_segment_has_a_row_for_each_chunk_and_moves_no_terms(spark):
+    rows = [("u", 1, "old words"), ("u", 2, "ab ab " + "cd " * 420), ("v", 1, None), (None, 1, "ef")]
+    pages = spark.createDataFrame(rows, "url string, seq long, text string")
+    segment = IN.page_postings(pages)
+    # One exchange at most, for the last page of each address; none behind the counting.
+    assert plan(segment).split("MapInArrow")[0].count("Exchange") == 0
+    got = {(r["url"], r["ord"]): dict(zip(r["terms"], r["tfs"], strict=True)) for r in segment.collect()}
+    assert got == {("u", 0): {"ab": 2, "cd": 418, "": 420}, ("u", 1): {"cd": 77, "": 77}, ("v", 0): {"": 0}, (None, 0): {"ef": 1, "": 1}}

@@ -64,16 +64,21 @@ def _opened(spark, sf):
     return SE.spans_of(spark, asked), SE.matched_pairs(asked, chunks, facts, lib, SE.MAX_HITS)
 
 
+def pair_counts(found, terms):
+    """Terms a query and a chunk share, and how often they occur; a chunk's rows lie together, so pairs are added up without a shuffle."""
+    return (
+        found.join(broadcast_if_small(terms), "key")
+        .groupBy("query_id", "document_id", "chunk_id")
+        .agg(F.count("*").alias("terms"), F.sum("tf").cast("long").alias("occurrences")).drop("document_id")
+    )
+
+
 def term_matches(spark, sf):
     """Inverted join of query terms and chunk terms."""
     lib = TD.library(spark, sf)
     block = SE.open_block(SE.prepare_queries(TD.queries(spark, sf), TD.as_of()))
     terms = block.queries.select("query_id", F.explode("terms").alias("key"))
-    return (
-        SE.signals(lib, block, None).filter("kind = 'term'").join(broadcast_if_small(terms), "key")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.count("*").alias("terms"), F.sum("tf").cast("long").alias("occurrences"))
-    )
+    return pair_counts(SE.signals(lib, block, None).filter("kind = 'term'"), terms)
 
 
 def bm25_scores(spark, sf):

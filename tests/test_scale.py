@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from pagelens.checks import retrieval as CR
 from pagelens.functions import redact as R
 from pagelens.functions import text as T
 from pagelens.operators import chunks as C
@@ -72,3 +73,11 @@ def test_a_segment_has_a_row_for_each_chunk_and_moves_no_terms(spark):
     assert plan(segment).split("MapInArrow")[0].count("Exchange") == 0
     got = {(r["url"], r["ord"]): dict(zip(r["terms"], r["tfs"], strict=True)) for r in segment.collect()}
     assert got == {("u", 0): {"ab": 2, "cd": 418, "": 420}, ("u", 1): {"cd": 77, "": 77}, ("v", 0): {"": 0}, (None, 0): {"ef": 1, "": 1}}
+
+
+def test_pairs_of_queries_and_chunks_are_added_up_where_the_chunks_lie(spark):
+    found = spark.createDataFrame([(1, 10, "ab", 2), (1, 10, "cd", 1), (2, 20, "ab", 5), (2, 20, "zz", 1)], "document_id long, chunk_id long, key string, tf long")
+    terms = spark.createDataFrame([(7, "ab"), (7, "cd"), (8, "ab")], "query_id long, key string")
+    counted = CR.pair_counts(found.repartition("document_id", "chunk_id"), terms)
+    assert plan(counted).count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, counted.collect())) == [(7, 10, 2, 3), (7, 20, 1, 5), (8, 10, 1, 2), (8, 20, 1, 5)]

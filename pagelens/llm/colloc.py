@@ -30,6 +30,8 @@ PAIRS = 4_000_000
 BROADCAST_ROWS = 200_000
 #: Bytes of text that windows are counted in before they are handed on.
 BLOCK_BYTES = 8 << 20
+#: Windows that a task holds, to add up those of its blocks that are alike, before it hands them on.
+HELD_ROWS = 1_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PIECE_END, GAP = ".,;:!?\n\x0b\x0c\r", " \t"
@@ -112,8 +114,8 @@ def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return first << 32 | second
 
 
-def counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Rows that are alike made one, with their number. Their hashes only bring them together: rows are compared by their words."""
+def counted(columns: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows that are alike made one, with their number, or the sum of ``n``. Their hashes only bring them together: rows are compared by their words."""
     size = len(columns[0])
     hashes = np.zeros(size, np.uint64)
     for c in columns:
@@ -123,7 +125,8 @@ def counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     new = np.ones(size, bool)
     new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
     first = np.flatnonzero(new)
-    return [c[first] for c in columns], np.diff(np.append(first, size))
+    times = np.diff(np.append(first, size)) if n is None else np.add.reduceat(n[order], first)
+    return [c[first] for c in columns], times.astype(np.int64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
@@ -174,8 +177,40 @@ def frequent_pairs(docs: DataFrame, text: str, lang: str, frequent: np.ndarray,
     return stored(each.filter(F.col("n") >= least).select("pair").distinct(), "pairs")
 
 
+def held_windows(batches: Iterator[pa.RecordBatch], known: np.ndarray | None, pairs: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """The longest windows of a task's texts with their numbers, combined over its blocks as long as few enough are held."""
+    held: dict[str, list[tuple[list[np.ndarray], np.ndarray]]] = {}
+
+    def rows() -> int:
+        return sum(len(n) for some in held.values() for _, n in some)
+
+    def combined() -> None:
+        for language, some in held.items():
+            if len(some) > 1:
+                columns = [np.concatenate(c) for c in zip(*(c for c, _ in some), strict=True)]
+                held[language] = [counted(columns, np.concatenate([n for _, n in some]))]
+
+    def handed() -> Iterator[pa.RecordBatch]:
+        for language, some in held.items():
+            for columns, n in some:
+                yield pa.RecordBatch.from_arrays([_named(language, n), *map(pa.array, columns), pa.array(n)], ["lang", *LEADS, "n"])
+        held.clear()
+
+    for language, data in _blocks(batches):
+        found, pieces = places(data)
+        columns = leads(_numbers(found, known), pieces, pairs=pairs)
+        if len(columns[0]):
+            held.setdefault(language, []).append(counted(columns))
+        if rows() >= HELD_ROWS:
+            combined()
+            if 2 * rows() >= HELD_ROWS:
+                yield from handed()
+    combined()
+    yield from handed()
+
+
 def windows(docs: DataFrame, text: str, lang: str, frequent: np.ndarray | None, pairs: np.ndarray | None = None) -> DataFrame:
-    """``lang, w1 ... w5, n``: the longest windows, combined in each block of texts.
+    """``lang, w1 ... w5, n``: the longest windows, combined in each task.
 
     Words are their places in ``frequent``, sorted fingerprints, from 1 on; without it they are their fingerprints.
     """
@@ -183,13 +218,7 @@ def windows(docs: DataFrame, text: str, lang: str, frequent: np.ndarray | None,
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, both = shared.value
-        for language, data in _blocks(batches):
-            found, pieces = places(data)
-            columns = leads(_numbers(found, known), pieces, pairs=both)
-            if len(columns[0]):
-                columns, n = counted(columns)
-                yield pa.RecordBatch.from_arrays([_named(language, n), *map(pa.array, columns), pa.array(n.astype(np.int64))], ["lang", *LEADS, "n"])
+        yield from held_windows(batches, *shared.value)
 
     return _texts(docs, text, lang).mapInArrow(run, f"lang string, {', '.join(f'{c} long' for c in LEADS)}, n long")
 

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagelens.llm import colloc
@@ -87,3 +88,21 @@ def test_long_texts_are_cut_between_pieces(monkeypatch):
     text = b"one two three. four five, six seven eight nine ten\nend"
     cut = list(colloc.parts(text))
     assert b"".join(cut) == text and len(cut) > 2 and all(p[-1:] in b".,\n" for p in cut[:-1])
+
+
+@pytest.mark.parametrize("limit", [10**6, 4])
+def test_windows_of_a_tasks_blocks_are_added_up(monkeypatch, limit):
+    monkeypatch.setattr(colloc, "BLOCK_BYTES", 16)
+    monkeypatch.setattr(colloc, "HELD_ROWS", limit)
+    texts = [("en", "one two three. one two"), ("de", "one two"), ("en", "one two three"), ("en", ". ,"), ("de", "one two")] * 6
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*texts, strict=True)], ["lang", "text"])
+    rows = [tuple(r.values()) for out in colloc.held_windows(iter([batch]), None, None) for r in out.to_pylist()]
+    sums, want = Counter(), Counter()
+    for *window, n in rows:
+        sums[tuple(window)] += n
+    one, two, three = (int(colloc.places(w)[0].view(np.int64)[0]) for w in (b"one", b"two", b"three"))
+    for lang, words, n in [("en", (one, two, three), 12), ("en", (two, three), 12), ("en", (three,), 12), ("en", (one, two), 6), ("en", (two,), 6), ("de", (one, two), 12), ("de", (two,), 12)]:
+        want[lang, *words, *[0] * (5 - len(words))] = n
+    assert sums == want
+    if limit > 100:
+        assert len(rows) == len(sums)

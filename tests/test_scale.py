@@ -1,11 +1,13 @@
 """What keeps the work of large tables small: plans and sizes, next to the results."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagelens.checks import retrieval as CR
 from pagelens.functions import redact as R
 from pagelens.functions import text as T
+from pagelens.operators import bounds as B
 from pagelens.operators import chunks as C
 from pagelens.operators import vectors as V
 from pagelens.plans import index as I
@@ -81,3 +83,24 @@ def test_pairs_of_queries_and_chunks_are_added_up_where_the_chunks_lie(spark):
     counted = CR.pair_counts(found.repartition("document_id", "chunk_id"), terms)
     assert plan(counted).count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, counted.collect())) == [(7, 10, 2, 3), (7, 20, 1, 5), (8, 10, 1, 2), (8, 20, 1, 5)]
+
+
+def test_all_pairs_are_scored_in_matrices_when_none_is_cut(monkeypatch):
+    def never(*_):
+        raise AssertionError("pairs scored one at a time")
+
+    monkeypatch.setattr(B.Entries, "add", never)
+    weights = np.array([5.0, 0.1, 3.0])
+    none = B.Entries(*[np.array([], t) for t in (int, int, float, float)])
+    asked = B.Asked(
+        np.array([7, 8]), 2, np.array([True, True]), 4.0, np.zeros(2), np.array([-1, -1]), [], [None, None],
+        B.Entries(np.array([0, 0, 1]), np.array([0, 1, 0]), weights, 2.4 * weights), none, none, np.zeros(2), np.array([12.0, 7.0]))
+    rows = [(1, 10, 4, [0, 1], [1, 2]), (2, 20, 4, [1], [1]), (3, 30, 4, [], [])]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+    bare = [pa.array([0.5] * 3), pa.array([0.5] * 3), pa.array([False] * 3), pa.array([[]] * 3, pa.list_(pa.int32()))]
+    batch = pa.RecordBatch.from_arrays([*columns, *bare], ["document_id", "chunk_id", "dl", "keys", "times", "recency", "engagement", "on_profile", "nodes"])
+    got = {(r["query_id"], r["chunk_id"]): r["bm25"] for out in B.contenders(asked, 3)(iter([batch])) for r in out.to_pylist()}
+    once, twice = 2.35 / 2.35, 2 * 2.35 / 3.35
+    assert got.keys() == {(7, 10), (7, 20), (8, 10)}
+    assert np.allclose([got[7, 10], got[7, 20], got[8, 10]], [5 * once + 0.1 * twice, 0.1 * once, 3 * once])

@@ -1,6 +1,7 @@
 """What keeps the work of large tables small: plans and sizes, next to the results."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from pagelens.operators import chunks as C
 from pagelens.operators import vectors as V
 from pagelens.plans import index as I
 from pagelens.plans import ingest as IN
+from pagelens.plans import search as SE
 
 
 def plan(df):
@@ -104,3 +106,13 @@ def test_all_pairs_are_scored_in_matrices_when_none_is_cut(monkeypatch):
     once, twice = 2.35 / 2.35, 2 * 2.35 / 3.35
     assert got.keys() == {(7, 10), (7, 20), (8, 10)}
     assert np.allclose([got[7, 10], got[7, 20], got[8, 10]], [5 * once + 0.1 * twice, 0.1 * once, 3 * once])
+
+
+def test_large_batches_are_worked_on_in_parts(monkeypatch):
+    monkeypatch.setattr(SE, "TEXT_ROWS", 3)
+    monkeypatch.setattr(SE, "VECTOR_ROWS", 2)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7))], ["i"])
+    assert [p.column(0).to_pylist() for p in SE.pieces(iter([batch]))] == [[0, 1, 2], [3, 4, 5], [6]]
+    rows = pd.DataFrame([(2, 21), (1, 11), (2, 20)], columns=["document_id", "chunk_id"])
+    assert [p.values.tolist() for p in SE.sorted_parts(iter([rows, rows[:0]]))] == [[[1, 11], [2, 20]], [[2, 21]]]
+    assert all(list(p.index) == list(range(len(p))) for p in SE.sorted_parts(iter([rows])))

@@ -11,7 +11,6 @@ are sums of the conditional log probabilities.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,22 +30,33 @@ SIZE = (EDGE + 1) // CLASSES
 ROUNDS, RATE, BATCH = 2, 0.5, 2048
 #: A round trains on every ``SHARE``-th window, the next one from another offset on: together on all of them.
 SHARE = ROUNDS
-#: Tokens of a text that are scored together.
-TOKENS = 1 << 16
+#: Tokens that are scored together; so few that what is computed of them stays in a core's cache.
+TOKENS = 1 << 13
+#: Counts of words that a task holds before those of one word are added up; half as many left are handed on.
+COUNTS = 1 << 20
 #: Rows of the table of rare words' counts that are sent to all executors; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 LOWER = np.array([c | 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+#: Where the numbers of an id's embedding lie.
+ROWS = np.arange((EDGE + 1) * WIDTH).reshape(EDGE + 1, WIDTH)
 PLACES = [p for p in range(-REACH, REACH + 1) if p]
 
 
+def hashed_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the words between blanks of some texts, A-Z lower-cased, and how many words each text has."""
+    raw = [(t or "").encode() for t in texts]
+    ends_of = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
+    data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+    full = np.concatenate([[False], data > 32])
+    edges = np.flatnonzero(full[1:] != full[:-1])  # the last byte is a blank, so every word has an end
+    starts, ends = edges[::2], edges[1::2]
+    return of_ranges(LOWER[data], starts, ends), np.diff(np.searchsorted(starts, ends_of), prepend=0)
+
+
 def hashed_words(text: str) -> np.ndarray:
-    """Fingerprints of the words between blanks, A-Z lower-cased."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    full = data > 32
-    starts = np.flatnonzero(full & ~np.append(False, full[:-1])) if len(data) else np.zeros(0, np.int64)
-    ends = np.flatnonzero(full & ~np.append(full[1:], False)) + 1 if len(data) else starts
-    return of_ranges(LOWER[data], starts, ends)
+    """Fingerprints of the words of one text."""
+    return hashed_texts([text])[0]
 
 
 class Vocabulary:
@@ -62,13 +72,17 @@ class Vocabulary:
         found = np.array(frequent[:WORDS], np.int64).view(np.uint64)
         order = np.argsort(found)
         self.hashes, self.ids = found[order], order.astype(np.int32)
+        # Where the fingerprints with the same highest bits begin, and how many there are at most.
+        buckets = (self.hashes >> np.uint64(48)).astype(np.int64)
+        self.firsts = np.searchsorted(buckets, np.arange(1 << 16)).astype(np.int32)
+        self.most = int(np.bincount(buckets).max()) if len(buckets) else 0
 
     def __call__(self, words: np.ndarray) -> np.ndarray:
         out = (WORDS + (words >> np.uint64(7)) % np.uint64(RARE)).astype(np.int32)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-            known = self.hashes[at] == words
-            out[known] = self.ids[at[known]]
+        firsts = self.firsts[words >> np.uint64(48)]
+        for i in range(self.most):
+            at = np.minimum(firsts + i, len(self.hashes) - 1)
+            out = np.where(self.hashes[at] == words, self.ids[at], out)
         return out
 
     def __getstate__(self) -> dict:
@@ -90,68 +104,102 @@ class Network:
         self.embed, self.bias, self.group, self.group_bias, self.word, self.word_bias = parts
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = np.repeat(self.bias[None], context.shape[1], axis=0)
-        for place, ids in zip(self.embed, context, strict=True):
-            total += place[ids]
-        return np.tanh(total)
+        """A row for each window, and a last column of ones for the biases."""
+        out = np.ones((context.shape[1], WIDTH + 1), np.float32)
+        total = np.take(self.embed[0], context[0], axis=0) + self.bias
+        for place, ids in zip(self.embed[1:], context[1:], strict=True):
+            total += np.take(place, ids, axis=0)
+        np.tanh(total, out=out[:, :WIDTH])
+        return out
+
+    def logits(self, h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the classes and of the words within each window's class, a column for each window; the words' weights with biases.
+
+        Windows are sorted by class; those of class ``g`` lie between ``ends[g]`` and ``ends[g + 1]``.
+        """
+        groups = np.concatenate([self.group, self.group_bias[:, None]], axis=1) @ h.T
+        weights = np.concatenate([self.word, self.word_bias[:, :, None]], axis=2)
+        words = np.empty((SIZE, len(h)), np.float32)
+        for g, (start, end) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if start < end:
+                words[:, start:end] = weights[g] @ h[start:end].T
+        return groups, words, weights
 
     def log_probabilities(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Of each id, given the ids around it (a row of ``context`` for each place)."""
-        h, at = self.hidden(context), np.arange(len(ids))
-        groups, members = ids // SIZE, ids % SIZE
-        logits = h @ self.group.T + self.group_bias
-        out = logits[at, groups] - _log_sum(logits)
-        order = np.argsort(groups, kind="stable")
-        ends = np.searchsorted(groups[order], np.arange(CLASSES + 1))
-        for g in range(CLASSES):
-            rows = order[ends[g] : ends[g + 1]]
-            if len(rows):
-                logits = h[rows] @ self.word[g].T + self.word_bias[g]
-                out[rows] += logits[np.arange(len(rows)), members[rows]] - _log_sum(logits)
+        order, ends, at = *_by_class(ids), np.arange(len(ids))
+        ids = ids[order]
+        groups, words, _ = self.logits(self.hidden(np.take(context, order, axis=1)), ends)
+        out = np.empty(len(ids), np.float32)
+        out[order] = groups[ids // SIZE, at] - _log_sum(groups) + words[ids % SIZE, at] - _log_sum(words)
         return out
 
     def step(self, context: np.ndarray, ids: np.ndarray, rate: float) -> None:
         """Down the gradient of the mean negative log probability."""
-        h, n, at = self.hidden(context), len(ids), np.arange(len(ids))
-        groups, members = ids // SIZE, ids % SIZE
-        error = _softmax(h @ self.group.T + self.group_bias)
-        error[at, groups] -= 1
-        back = error @ self.group
-        self.group -= rate / n * (error.T @ h)
-        self.group_bias -= rate / n * error.sum(axis=0)
-        order = np.argsort(groups, kind="stable")
-        ends = np.searchsorted(groups[order], np.arange(CLASSES + 1))
-        for g in range(CLASSES):
-            rows = order[ends[g] : ends[g + 1]]
-            if len(rows):
-                error = _softmax(h[rows] @ self.word[g].T + self.word_bias[g])
-                error[np.arange(len(rows)), members[rows]] -= 1
-                back[rows] += error @ self.word[g]
-                self.word[g] -= rate / n * (error.T @ h[rows])
-                self.word_bias[g] -= rate / n * error.sum(axis=0)
-        back *= (1 - h * h) * (rate / n)
+        n, order, ends, at = len(ids), *_by_class(ids), np.arange(len(ids))
+        context, ids = np.take(context, order, axis=1), ids[order]
+        h = self.hidden(context)
+        error, errors, weights = self.logits(h, ends)
+        _softmax(error)
+        _softmax(errors)
+        error[ids // SIZE, at] -= 1
+        errors[ids % SIZE, at] -= 1
+        back = error.T @ self.group
+        down = rate / n * (error @ h)
+        self.group -= down[:, :WIDTH]
+        self.group_bias -= down[:, WIDTH]
+        downs = np.zeros_like(weights)
+        for g, (start, end) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if start < end:
+                back[start:end] += errors[:, start:end].T @ self.word[g]
+                downs[g] = errors[:, start:end] @ h[start:end]
+        downs *= rate / n
+        self.word -= downs[:, :, :WIDTH]
+        self.word_bias -= downs[:, :, WIDTH]
+        back *= (1 - h[:, :WIDTH] * h[:, :WIDTH]) * (rate / n)
         self.bias -= back.sum(axis=0)
         for place, around in zip(self.embed, context, strict=True):
-            order = np.argsort(around, kind="stable")
-            sorted_ = around[order]
-            starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-            place[sorted_[starts]] -= np.add.reduceat(back[order], starts, axis=0)
+            sums = np.bincount(np.take(ROWS, around, axis=0).reshape(-1), back.reshape(-1), place.size)
+            place -= sums.reshape(place.shape).astype(np.float32)
+
+
+def _by_class(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ids by their class, and where in it each class ends."""
+    groups = (ids // SIZE).astype(np.uint16)
+    return np.argsort(groups, kind="stable"), np.append(0, np.cumsum(np.bincount(groups, minlength=CLASSES)))
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1)
-    return top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    """Over the rows of each column."""
+    top = logits.max(axis=0)
+    return top + np.log(np.exp(logits - top).sum(axis=0))
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    out = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return out / out.sum(axis=1, keepdims=True)
+def _softmax(logits: np.ndarray) -> None:
+    """Over the rows of each column, in place."""
+    logits -= logits.max(axis=0)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=0)
 
 
-def contexts(ids: np.ndarray) -> np.ndarray:
-    """The ids around each of a text's ids, a row for each place; beyond its ends the edge."""
-    wide = np.concatenate([np.full(REACH, EDGE, np.int32), ids, np.full(REACH, EDGE, np.int32)])
-    return np.stack([wide[REACH + p : REACH + p + len(ids)] for p in PLACES])
+def contexts(ids: np.ndarray, sizes: np.ndarray | None = None, taken: np.ndarray | None = None) -> np.ndarray:
+    """The ids around each id of a text, or of texts of so many ids each, a row for each place; beyond a text's ends the edge.
+
+    With ``taken``, a truth value for each id, only around those.
+    """
+    sizes = np.array([len(ids)]) if sizes is None else sizes
+    at = np.arange(len(ids)) + REACH * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    wide = np.full(len(ids) + REACH * (len(sizes) + 1), EDGE, np.int32)
+    wide[at] = ids
+    at = at if taken is None else at[taken]
+    return np.stack([wide[at + p] for p in PLACES])
+
+
+def share(sizes: np.ndarray, turn: int) -> np.ndarray:
+    """Which ids of texts of so many ids each a round trains on."""
+    firsts = (sizes + turn) % np.clip(sizes, 1, SHARE)
+    places = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes + firsts, sizes)
+    return (places >= 0) & (places % SHARE == 0)
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -159,22 +207,31 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
     @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
 
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        def combined() -> pa.RecordBatch:
+            words, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(words)
+            words = words[order]
+            firsts = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+            held[:] = [(words[firsts], np.add.reduceat(n[order], firsts))]
+            return pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["word", "n"])
 
         for batch in batches:
             for part in slices(batch, 0):
-                found = [hashed_words(t) for t in part.column(0).to_pylist() if t]
-                if found:
-                    words, n = np.unique(np.concatenate(found), return_counts=True)
-                    for w, c in zip(words.view(np.int64).tolist(), n.tolist(), strict=True):
-                        seen[w] += c
-                if len(seen) > 400_000:
-                    yield flush()
-                    seen.clear()
-        yield flush()
+                words, n = np.unique(hashed_texts(part.column(0).to_pylist())[0], return_counts=True)
+                if len(words):
+                    held.append((words, n.astype(np.int64)))
+                    waiting += len(words)
+                if waiting >= COUNTS:
+                    out = combined()
+                    waiting = out.num_rows
+                    if 2 * waiting >= COUNTS:
+                        yield out
+                        held, waiting = [], 0
+        if held:
+            yield combined()
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -214,13 +271,11 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, Network]:
 
             for batch in batches:
                 for part in slices(batch, 0):
-                    for t in part.column(0).to_pylist():
-                        found = vocabulary(hashed_words(t or ""))
-                        if len(found):
-                            first = (len(found) + turn) % min(SHARE, len(found))
-                            around.append(contexts(found)[:, first::SHARE])
-                            ids.append(found[first::SHARE])
-                            waiting += len(ids[-1])
+                    words, sizes = hashed_texts(part.column(0).to_pylist())
+                    found, taken = vocabulary(words), share(sizes, turn)
+                    around.append(contexts(found, sizes, taken))
+                    ids.append(found[taken])
+                    waiting += len(ids[-1])
                     if waiting >= 32 * BATCH:
                         learned += descend()
                         waiting = 0
@@ -248,9 +303,14 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, Network]:
     return vocabulary, network
 
 
+def each_log_likelihood(around: np.ndarray, ids: np.ndarray, network: Network) -> np.ndarray:
+    """``log_probabilities`` of any number of ids."""
+    parts = [network.log_probabilities(around[:, s : s + TOKENS], ids[s : s + TOKENS]) for s in range(0, len(ids), TOKENS)]
+    return np.concatenate([np.zeros(0, np.float32), *parts]).astype(float)
+
+
 def log_likelihoods(ids: np.ndarray, network: Network) -> float:
-    around = contexts(ids)
-    return float(sum(network.log_probabilities(around[:, s : s + TOKENS], ids[s : s + TOKENS]).astype(float).sum() for s in range(0, len(ids), TOKENS)))
+    return float(each_log_likelihood(contexts(ids), ids, network).sum())
 
 
 def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -268,27 +328,15 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, id: str = "
         net = Network(weights)
         for batch in batches:
             for part in slices(batch, 2):
-                words = [hashed_words(t or "") for t in part.column(2).to_pylist()]
-                found = [known(w) for w in words]
-                sizes = np.array([len(f) for f in found])
-                sums = np.zeros(len(found))
-                # Short texts are scored together, up to so many tokens.
-                start = 0
-                while start < len(found):
-                    end = start + 1
-                    while end < len(found) and sizes[start:end + 1].sum() <= TOKENS:
-                        end += 1
-                    if end == start + 1:
-                        sums[start] = log_likelihoods(found[start], net)
-                    else:
-                        each = net.log_probabilities(np.concatenate([contexts(f) for f in found[start:end]], axis=1), np.concatenate(found[start:end]))
-                        sums[start:end] = np.bincount(np.repeat(np.arange(end - start), sizes[start:end]), each, end - start)
-                    start = end
-                all, of, ids = np.concatenate(words), np.repeat(np.arange(len(found)), sizes), np.concatenate(found)
+                all, sizes = hashed_texts(part.column(2).to_pylist())
+                ids, of = known(all), np.repeat(np.arange(len(sizes)), sizes)
+                sums = np.bincount(of, each_log_likelihood(contexts(ids, sizes), ids, net), len(sizes)).astype(float)  # whole numbers if there is no word
                 rare = ids >= WORDS
                 all, of = all[rare], of[rare]
-                sums -= np.bincount(of, known.log_shared[ids[rare] - WORDS], len(found))
-                order = np.lexsort((all, of))
+                sums -= np.bincount(of, known.log_shared[ids[rare] - WORDS], len(sizes))
+                # By text and word. Parts have few rows, so that their numbers are sorted by their digits.
+                order = np.argsort(all)
+                order = order[np.argsort(of[order].astype(np.uint16), kind="stable")]
                 all, of = all[order], of[order]
                 firsts = np.flatnonzero(np.append(True, (all[1:] != all[:-1]) | (of[1:] != of[:-1]))[: len(all)])
                 times = np.diff(np.append(firsts, len(all)))

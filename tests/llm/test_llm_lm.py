@@ -94,3 +94,41 @@ def test_odd_rows(spark):
     assert got == sorted([(1, 0, True), (1, 0, True), (None, 0, True), (2, 150_000, False), (3, 1, False)], key=str)
     vocabulary, network = lm.fit(docs.limit(0))
     assert lm.score(docs.limit(0), vocabulary, network).count() == 0
+
+
+def test_many_texts_are_read_at_once_as_one_by_one():
+    texts = ["The cat\tsat", None, "", " \n ", "x", "Ünder the über-long\x00 words  ", *sentences(5, 3)]
+    words, sizes = lm.hashed_texts(texts)
+    alone = [lm.hashed_words(t or "") for t in texts]
+    assert sizes.tolist() == [len(a) for a in alone] and (words == np.concatenate(alone)).all()
+    vocabulary = lm.Vocabulary(np.unique(words)[::2].view(np.int64).tolist())
+    places = {w: i for i, w in enumerate(np.unique(words)[::2].tolist())}
+    ids = vocabulary(words)
+    assert ids.tolist() == [places.get(w, lm.WORDS + (w >> 7) % lm.RARE) for w in words.tolist()]
+    each = np.split(ids, np.cumsum(sizes)[:-1])
+    assert (lm.contexts(ids, sizes) == np.concatenate([lm.contexts(e) for e in each], axis=1)).all()
+    # The rounds share the windows: each is in one of them, but a single one, which is in all.
+    taken = [lm.share(sizes, turn) for turn in range(lm.ROUNDS)]
+    assert (sum(t.astype(int) for t in taken) == np.where(np.repeat(sizes, sizes) == 1, lm.ROUNDS, 1)).all()
+    assert (lm.contexts(ids, sizes, taken[1]) == lm.contexts(ids, sizes)[:, taken[1]]).all()
+
+
+def test_counts_are_whole_however_few_a_task_holds(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"word{i % 7} Word{i % 5} rare{i}",) for i in range(600)] + [(None,), ("",)], "text string")
+    wanted = Counter(w for i in range(600) for w in (f"word{i % 7}", f"word{i % 5}", f"rare{i}"))
+    wanted = {int(lm.hashed_words(w).view(np.int64)[0]): n for w, n in wanted.items()}
+    for bound in (1 << 20, 8):
+        monkeypatch.setattr(lm, "COUNTS", bound)
+        assert {r["word"]: r["n"] for r in lm.count_words(docs).collect()} == wanted
+
+
+def test_a_step_is_the_gradient():
+    random_ = np.random.default_rng(2)
+    ids = random_.integers(0, lm.EDGE, 300).astype(np.int32)
+    start = lm.Network().flat * 5
+    network = lm.Network(start)
+    network.step(lm.contexts(ids), ids, 1e-2)
+    way = (network.flat - start).astype(float)
+    loss = [-lm.log_likelihoods(ids, lm.Network(start + 20 * s * way)) / len(ids) for s in (-1, 1)]
+    # Along the step, the loss falls by the rate times the squared length of the gradient.
+    assert abs((loss[0] - loss[1]) / 40 - (way @ way) / 1e-2) < 0.02 * (way @ way) / 1e-2

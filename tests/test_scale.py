@@ -14,6 +14,7 @@ from pagelens.operators import vectors as V
 from pagelens.plans import index as I
 from pagelens.plans import ingest as IN
 from pagelens.plans import search as SE
+from pagelens.sources import testdata as TD
 
 
 def plan(df):
@@ -69,6 +70,25 @@ def test_nearest_vectors_come_from_tiles_and_bad_components_hide_none(spark, mon
         assert np.allclose([c for c in cosine[q] if np.isfinite(c)], scores[q, want])
 
 
+def test_texts_without_a_vector_are_not_shuffled_to_meet_one(spark, tmp_path, monkeypatch):
+    long = " ".join(["word"] * 500)
+    texts = [(1, long), (2, "b " * 30), (2, "again " * 20), (None, "c " * 30), (4, None), (5, long)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(1, [1.0]), (2, [2.0]), (2, [3.0]), (None, [4.0]), (9, [5.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = []
+    for limit in (TD.VECTOR_IDS, 0):
+        monkeypatch.setattr(TD, "VECTOR_IDS", limit)
+        df = TD.chunks(spark, str(tmp_path))
+        assert ("LeftAnti" in plan(df)) == (limit > 0)
+        key = F.coalesce("document_id", F.lit(0))
+        got.append([(r["document_id"], r["ord"], r["text"], r["embedding"], r["embed_state"]) for r in df.orderBy(key, "ord", "text", "embedding").collect()])
+    assert got[0] == got[1]
+    assert [(d, o, e, s) for d, o, _, e, s in got[0]] == [
+        (None, 0, None, "pending"), (1, 0, [1.0], "embedded"), (1, 1, None, "pending"), (2, 0, [2.0], "embedded"), (2, 0, [3.0], "embedded"),
+        (2, 0, [2.0], "embedded"), (2, 0, [3.0], "embedded"), (4, 0, None, "pending"), (5, 0, None, "pending"), (5, 1, None, "pending")]
+
+
 def test_a_segment_has_a_row_for_each_chunk_and_moves_no_terms(spark):
     rows = [("u", 1, "old words"), ("u", 2, "ab ab " + "cd " * 420), ("v", 1, None), (None, 1, "ef")]
     pages = spark.createDataFrame(rows, "url string, seq long, text string")
